@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codelake.functions.dates import lit_like, ntz
 from codelake.operators import slices
 
 # Fixed enum values.
@@ -28,12 +29,12 @@ def filter_runs(df: DataFrame, user=None, project=None, status=None, after=None,
         ("created_at", "__ge__", after), ("created_at", "__le__", before),
     ):
         if value is not None:
-            df = df.filter(getattr(F.col(col), op)(F.lit(value)))
+            df = df.filter(getattr(F.col(col), op)(lit_like(df, col, value)))
     return df.orderBy(F.desc("created_at"), "run_id")
 
 
 def stale(df: DataFrame, status: str, cutoff: dt.datetime) -> DataFrame:
-    return df.filter((F.col("status") == status) & (F.col("updated_at") < F.lit(cutoff)))
+    return df.filter((F.col("status") == status) & (F.col("updated_at") < lit_like(df, "updated_at", cutoff)))
 
 
 def active(df: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def search_runs(df: DataFrame, status: str = "ALL", text: str = "") -> DataFrame
 
 def retain(df: DataFrame, col: str, cutoff: dt.datetime) -> DataFrame:
     """Drop rows older than the cutoff."""
-    return df.filter(F.col(col) >= F.lit(cutoff))
+    return df.filter(F.col(col) >= lit_like(df, col, cutoff))
 
 
 def domain_violations(df: DataFrame, col: str, allowed: Sequence[str]) -> DataFrame:
@@ -71,11 +72,11 @@ def status_counts(runs: DataFrame, statuses: Sequence[str] = JOB_STATUSES) -> Da
 
 def org_summary(runs: DataFrame) -> DataFrame:
     done = F.col("status") == "DONE"
-    seconds = F.timestamp_diff("MICROSECOND", F.col("created_at"), F.col("updated_at")) / 1e6
+    micros = F.timestamp_diff("MICROSECOND", F.col("created_at"), F.col("updated_at"))
     return runs.agg(
         F.count(F.lit(1)).alias("total"),
         F.coalesce(F.try_divide(F.count_if(done), F.count(F.lit(1))), F.lit(0.0)).alias("success_rate"),
-        F.coalesce(F.avg(F.when(done, seconds)), F.lit(0.0)).alias("avg_seconds"),
+        F.coalesce(F.avg(F.when(done, micros)) / 1e6, F.lit(0.0)).alias("avg_seconds"),
     )
 
 
@@ -102,7 +103,7 @@ def runs_by_day(df: DataFrame, ts: str, now: dt.datetime, n: int = 14) -> DataFr
         f"SELECT date_format(d, 'yyyy-MM-dd') AS day FROM (SELECT explode(sequence(date'{first}', date'{last}')) AS d)"
     )
     counted = (
-        df.filter((F.col(ts) >= F.lit(first)) & (F.col(ts) < F.lit(last + dt.timedelta(days=1))))
+        df.filter((F.col(ts) >= lit_like(df, ts, first)) & (F.col(ts) < lit_like(df, ts, last + dt.timedelta(days=1))))
         .groupBy(F.date_format(ts, "yyyy-MM-dd").alias("day"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -123,7 +124,7 @@ def eta(steps: DataFrame, by: Sequence[str], now: dt.datetime) -> DataFrame:
     mean = F.avg(F.when(done, micros(F.col("started_at"), F.col("ended_at"))))
     left = F.count_if(F.col("state").isin("PENDING", "ACTIVE"))
     spent = F.coalesce(
-        F.sum(F.when(F.col("state") == "ACTIVE", micros(F.col("started_at"), F.lit(now).cast("timestamp_ntz")))),
+        F.sum(F.when(F.col("state") == "ACTIVE", micros(F.col("started_at"), ntz(now)))),
         F.lit(0),
     )
     return (
@@ -243,7 +244,7 @@ def stage_durations(log: DataFrame, now: dt.datetime) -> DataFrame:
         F.min("ts").alias("started_at"), F.max("ts").alias("last_at"), last.alias("state")
     )
     end = F.when(F.col("state").isin("DONE", "ERROR"), F.col("last_at")).otherwise(
-        F.lit(now).cast("timestamp_ntz")
+        ntz(now)
     )
     micros = F.timestamp_diff("MICROSECOND", F.col("started_at"), end)
     return span.select(
@@ -286,10 +287,10 @@ def rolling_failure(calls: DataFrame, slice_by: Column, n: int = 10, rate: float
 
 def page(df: DataFrame, page_no: int, size: int, sort: str, desc: bool, tie: str) -> DataFrame:
     """One page plus the total element and page counts on every row."""
-    total = df.agg(F.count(F.lit(1)).alias("total_elements"))
+    total = df.agg(F.count(F.lit(1)).alias("total_elements")).scalar()
     order = F.desc(sort) if desc else F.asc(sort)
     rows = df.orderBy(order, tie).offset(page_no * size).limit(size)
-    return rows.join(F.broadcast(total)).withColumn(
+    return rows.withColumn("total_elements", total).withColumn(
         "total_pages", F.ceil(F.col("total_elements") / size)
     )
 
@@ -306,21 +307,6 @@ def recent(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(F.desc("created_at"), F.desc("run_id")).limit(n)
 
 
-def tier_order(df: DataFrame, preferred: Column, position: str) -> DataFrame:
-    """Preferred class first, original order inside both classes."""
-    return df.orderBy(F.when(preferred, 0).otherwise(1), position)
-
-
-def explicit_order(df: DataFrame, id_col: str, ids: Sequence, position: str) -> DataFrame:
-    """Listed ids first in list order, the rest in original order."""
-    spark = df.sparkSession
-    rows = ", ".join(f"({i!r}, {n})" for n, i in enumerate(ids))
-    listed = spark.sql(f"SELECT * FROM VALUES {rows} AS l({id_col}, listed_pos)")
-    return df.join(listed, id_col, "left").orderBy(
-        F.col("listed_pos").isNull(), "listed_pos", position
-    )
-
-
 def resolve_config(system: DataFrame, override: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """Override value when it is non-null and non-blank, else the system value."""
     o = override.select(key, *[F.col(c).alias(f"_o_{c}") for c in cols])

@@ -42,23 +42,23 @@ def _carried(df: DataFrame, keys: Sequence[str], summary: dict[str, Column], car
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, out: str, slice_by: Column) -> DataFrame:
     """Inclusive running sum of ``value`` (ROWS UNBOUNDED PRECEDING)."""
     df = df.withColumn(SLICE, slice_by)
-    carry = _carried(df, keys, {"_t": F.sum(value)}, {"_base": lambda w: F.sum("_t").over(w)})
+    carry = _carried(df, keys, {"_t": F.sum(value)}, {"_carry": lambda w: F.sum("_t").over(w)})
     frame = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         df.join(carry, [*keys, SLICE])
-        .withColumn(out, F.coalesce(F.sum(value).over(frame), F.lit(0)) + F.coalesce("_base", F.lit(0)))
-        .drop(SLICE, "_base")
+        .withColumn(out, F.coalesce(F.sum(value).over(frame), F.lit(0)) + F.coalesce("_carry", F.lit(0)))
+        .drop(SLICE, "_carry")
     )
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence, out: str, slice_by: Column) -> DataFrame:
     """Dense 1-based position of every row within its key."""
     df = df.withColumn(SLICE, slice_by)
-    carry = _carried(df, keys, {"_n": F.count(F.lit(1))}, {"_base": lambda w: F.sum("_n").over(w)})
+    carry = _carried(df, keys, {"_n": F.count(F.lit(1))}, {"_carry": lambda w: F.sum("_n").over(w)})
     return (
         df.join(carry, [*keys, SLICE])
-        .withColumn(out, F.row_number().over(_local(keys, order)) + F.coalesce("_base", F.lit(0)))
-        .drop(SLICE, "_base")
+        .withColumn(out, F.row_number().over(_local(keys, order)) + F.coalesce("_carry", F.lit(0)))
+        .drop(SLICE, "_carry")
     )
 
 
@@ -90,13 +90,13 @@ def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: st
     rank = F.when(F.col(col).isNotNull(), F.struct(*order))
     carry = _carried(
         df, keys, {"_last": F.max_by(col, rank)},
-        {"_base": lambda w: F.last("_last", ignorenulls=True).over(w)},
+        {"_carry": lambda w: F.last("_last", ignorenulls=True).over(w)},
     )
     frame = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     return (
         df.join(carry, [*keys, SLICE])
-        .withColumn(out, F.coalesce(F.last(col, ignorenulls=True).over(frame), F.col("_base")))
-        .drop(SLICE, "_base")
+        .withColumn(out, F.coalesce(F.last(col, ignorenulls=True).over(frame), F.col("_carry")))
+        .drop(SLICE, "_carry")
     )
 
 

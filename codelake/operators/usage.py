@@ -7,15 +7,16 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelake.functions.dates import lit_like
 from codelake.functions.numbers import cost_estimate
 
 
 def time_range(df: DataFrame, col: str, from_, to) -> DataFrame:
     """Half-open range ``[from_, to)``; either end may be None.  Pushed to the scan."""
     if from_ is not None:
-        df = df.filter(F.col(col) >= F.lit(from_))
+        df = df.filter(F.col(col) >= lit_like(df, col, from_))
     if to is not None:
-        df = df.filter(F.col(col) < F.lit(to))
+        df = df.filter(F.col(col) < lit_like(df, col, to))
     return df
 
 

@@ -83,6 +83,7 @@ def files(spark: SparkSession, d: str) -> DataFrame:
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), ext).alias("path"),
         F.col("text").alias("content"),
         "doc_id",
+        "lang",
     )
 
 
@@ -185,7 +186,7 @@ SQL_VIEWS = {
     "files": """
         SELECT source AS project_id,
                source || '/' || doc_id || (['.java', '.yml', '.txt', '.md'])[CAST(doc_id % 4 + 1 AS INT)] AS path,
-               text AS content, doc_id
+               text AS content, doc_id, lang
         FROM documents""",
     "chunks": """
         SELECT vec_id, label, 'v' || vec_id AS path,
