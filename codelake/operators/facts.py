@@ -48,9 +48,10 @@ def blank_comments(code: Column) -> Column:
 
 
 def strip_type_args(text: Column) -> Column:
+    flat = text
     for _ in range(3):
-        text = F.regexp_replace(text, "<[\\w\\s,.?&\\[\\]@$]*>", "")
-    return text
+        flat = F.regexp_replace(flat, "<[\\w\\s,.?&\\[\\]@$]*>", "")
+    return F.when(text.contains("<"), flat).otherwise(text)
 
 
 def _mark_lines(code: Column) -> Column:
@@ -71,16 +72,17 @@ def _segments(code: Column) -> Column:
             F.regexp_extract(s, f"^(?:\\s*{A}\\d+{B})*\\s*{A}(\\d+){B}", 1).cast("int").alias("line"),
             text.alias("text"), F.right(s, F.lit(1)).alias("term"))
 
-    def named(s):
-        flat = strip_type_args(s["text"])
-        kind = F.regexp_extract(flat, TYPE_RX, 4)
-        method = F.regexp_extract(flat, METHOD_RX, 4)
-        return F.struct(
-            s["line"].alias("line"), s["text"].alias("text"), flat.alias("flat"), s["term"].alias("term"),
-            kind.alias("tname"),
-            F.when(kind != "", "").when(method != "", method).otherwise(F.regexp_extract(flat, CTOR_RX, 3)).alias("mname"))
-
-    return F.transform(F.transform(raw, one), named)
+    # Lambdas share nothing with each other, so every costly value gets its own pass.
+    keep = lambda s: [s[n].alias(n) for n in ("line", "text", "term")]
+    out = F.transform(raw, one)
+    out = F.transform(out, lambda s: F.struct(*keep(s), strip_type_args(s["text"]).alias("flat")))
+    out = F.transform(out, lambda s: F.struct(*keep(s), s["flat"].alias("flat"), F.regexp_extract(s["flat"], TYPE_RX, 4).alias("tname")))
+    callable_ = lambda s: (s["tname"] == "") & s["flat"].endswith(")") | s["flat"].contains(") throws ")
+    method = lambda s: F.when(callable_(s), F.regexp_extract(s["flat"], METHOD_RX, 4)).otherwise("")
+    out = F.transform(out, lambda s: F.struct(*keep(s), s["flat"].alias("flat"), s["tname"].alias("tname"), method(s).alias("m")))
+    ctor = lambda s: F.when(callable_(s), F.regexp_extract(s["flat"], CTOR_RX, 3)).otherwise("")
+    return F.transform(out, lambda s: F.struct(
+        *keep(s), s["flat"].alias("flat"), s["tname"].alias("tname"), F.when(s["m"] != "", s["m"]).otherwise(ctor(s)).alias("mname")))
 
 
 # Walks the statements once, keeping brace depth, the stack of open types and the open method.

@@ -63,7 +63,6 @@ def _scored(t):
     return N.confidence(f.filter(F.col("runner_id") != "docker"), risk)
 
 
-FILE_RISK = "risk0 AS (SELECT path AS project_id, level FROM risk WHERE path IS NOT NULL)"
 FILE_SCORE_SQL = SCORE_SQL.replace("FROM risk GROUP BY 1)", "FROM (SELECT path AS project_id, level FROM risk WHERE path IS NOT NULL) GROUP BY 1)")
 
 
@@ -126,11 +125,10 @@ def _(t):
 
 
 @query("cd2_classify", f"""
-    WITH {HITS_SQL}, own AS (SELECT fh.doc_id, feature_id, arg_max(regexp_extract(l.text, '^(\\w+) ', 1), l.line) AS method
+    WITH {HITS_SQL}, own AS (SELECT fh.doc_id, feature_id, arg_max(regexp_extract({STRIPPED.format('l.text')}, '^(\\w+) ', 1), l.line) AS method
         FROM fh JOIN ln l ON l.doc_id = fh.doc_id AND l.line <= fh.line AND regexp_matches({STRIPPED.format('l.text')}, '^(\\w+) ') GROUP BY 1, 2)
     SELECT fh.doc_id, fh.feature_id, line, method, target, coalesce(description, 'Detected ' || fh.feature_id) AS description
-    FROM fh LEFT JOIN own USING (doc_id, feature_id) LEFT JOIN (VALUES ('license', 'keep', 'Keep it.'), ('mail', 'mask', NULL)) AS k(feature_id, target, description) ON k.feature_id = fh.feature_id""".replace(
-        "regexp_extract(l.text, '^(\\w+) ', 1)", "regexp_extract(" + STRIPPED.format("l.text") + ", '^(\\w+) ', 1)"), "files")
+    FROM fh LEFT JOIN own USING (doc_id, feature_id) LEFT JOIN (VALUES ('license', 'keep', 'Keep it.'), ('mail', 'mask', NULL)) AS k(feature_id, target, description) ON k.feature_id = fh.feature_id""", "files")
 def _(t):
     kb = t.spark.sql("SELECT * FROM VALUES ('license', 'keep', 'Keep it.'), ('mail', 'mask', NULL) AS k(feature_id, target, description)")
     hits = N.first_hits(t.files.select("doc_id", "content"), DOC_RULES, declaration="^(\\w+) ")

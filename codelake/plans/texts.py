@@ -228,12 +228,11 @@ def _(t):
 
 
 @query("cp4_search", f"""
-    WITH {INDEX_SQL}, q AS (SELECT * FROM ix WHERE term IN ('tion', 'ation')),
+    WITH {INDEX_SQL}, q AS (SELECT * FROM ix WHERE term IN ('le', 'tre')),
     df AS (SELECT term, count(*) AS df FROM q GROUP BY term),
     m AS (SELECT session_id, version, round(sum(tf * ln((SELECT count(*) FROM reports)::DOUBLE / df)), 6) AS rank
           FROM q JOIN df USING (term) GROUP BY 1, 2 HAVING count(*) = 2)
-    SELECT session_id, version, rank, (SELECT count(*) FROM m) AS total FROM m ORDER BY rank DESC, version DESC, session_id LIMIT 20""".replace(
-        "'tion', 'ation'", "'le', 'tre'"), "reports")
+    SELECT session_id, version, rank, (SELECT count(*) FROM m) AS total FROM m ORDER BY rank DESC, version DESC, session_id LIMIT 20""", "reports")
 def _(t):
     docs = t.reports.agg(F.count(F.lit(1))).scalar()
     return C.search(_index(t), docs, "The LE, tre!", ["session_id", "version"], "version")
@@ -290,7 +289,7 @@ def _hosts(t):
     return t.pages.select(F.array_join(F.reverse(F.split(F.try_parse_url("url", F.lit("HOST")), "\\.", -1)), ".").alias("pkg"))
 
 
-@query("ag22_common_prefix", f"WITH {HOSTS_SQL.format('segs[1]').replace('segs[1] AS grp', 'str_split(pkg, chr(46))[1] AS grp')} "
+@query("ag22_common_prefix", f"WITH {HOSTS_SQL.format("split_part(pkg, '.', 1)")} "
        "SELECT grp, array_to_string(lo[1:k], '.') AS prefix FROM n")
 def _(t):
     return C.common_prefix(_hosts(t).withColumn("grp", F.substring_index("pkg", ".", 1)), ["grp"], "pkg")
