@@ -260,7 +260,8 @@ def _one(severity: str, message: Column) -> Column:
 
 def parse_compile_log(logs: DataFrame, max_findings: int = MAX_LOG_FINDINGS) -> DataFrame:
     """(…, exit_code, log) to findings: one per compiler error line, else the log's tail."""
-    hits = F.slice(F.regexp_extract_all("log", F.lit(COMPILE_ERROR), 0), 1, max_findings)
+    found = logs.withColumn("_hits", F.slice(F.regexp_extract_all("log", F.lit(COMPILE_ERROR), 0), 1, max_findings))
+    hits = F.col("_hits")
 
     def finding(x):
         path = F.regexp_extract(x, COMPILE_ERROR, 1)
@@ -276,7 +277,7 @@ def parse_compile_log(logs: DataFrame, max_findings: int = MAX_LOG_FINDINGS) ->
         .otherwise(_one("ERROR", F.concat(F.lit("Sandbox compile failed (exit "), code.cast("string"), F.lit("); tail: "), _tail(F.col("log")))))
     )
     rest = [c for c in logs.columns if c not in ("exit_code", "log")]
-    return logs.select(*rest, F.posexplode(out).alias("pos", "f")).select(*rest, "pos", "f.*")
+    return found.select(*rest, F.posexplode(out).alias("pos", "f")).select(*rest, "pos", "f.*")
 
 
 def parse_test_log(logs: DataFrame, max_findings: int = MAX_LOG_FINDINGS) -> DataFrame:
@@ -285,7 +286,8 @@ def parse_test_log(logs: DataFrame, max_findings: int = MAX_LOG_FINDINGS) -> Dat
     n = lambda g: F.coalesce(F.regexp_extract(last, TEST_SUMMARY, g).cast("int"), F.lit(0))
     df = logs.withColumn("_t", n(1)).withColumn("_f", n(2)).withColumn("_e", n(3)).withColumn("_s", n(4))
     text = lambda c: F.col(c).cast("string")
-    hits = F.slice(F.regexp_extract_all("log", F.lit(TEST_FAILURE), 0), 1, max_findings)
+    df = df.withColumn("_hits", F.slice(F.regexp_extract_all("log", F.lit(TEST_FAILURE), 0), 1, max_findings))
+    hits = F.col("_hits")
 
     def finding(x):
         name = F.concat(F.regexp_extract(x, TEST_FAILURE, 1), F.lit("."), F.regexp_extract(x, TEST_FAILURE, 2), F.lit("()"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,10 @@ def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     return found
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def dependency_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, pass, cyclic): dependencies first, then by (pass, node).
 
@@ -62,23 +68,24 @@ def dependency_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         .join(own, "node", "left_semi")
         .join(own.select(F.col("node").alias("dep")), "dep", "left_semi")
     )
-    # Open edges carry the pass of their dependency once that is known.
-    open_edges = checkpoint(live.select("node", "dep"))
-    settled = checkpoint(own.join(open_edges.select("node").distinct(), "node", "left_anti").withColumn("pass", F.lit(1)))
-    fresh, earliest = settled, None
-    while not fresh.isEmpty():
-        # Count each node's dependencies still open; remember the latest pass of the settled ones.
-        hit = open_edges.join(fresh.select(F.col("node").alias("dep"), "pass"), "dep", "left")
-        done = hit.filter("pass IS NOT NULL").groupBy("node").agg(
-            F.max(F.col("pass") + F.when(F.col("dep") > F.col("node"), 1).otherwise(0)).alias("pass"))
-        earliest = done if earliest is None else (
-            earliest.unionByName(done).groupBy("node").agg(F.max("pass").alias("pass")))
-        open_edges = checkpoint(hit.filter("pass IS NULL").select("node", "dep"))
-        ready = earliest.join(open_edges.select("node").distinct(), "node", "left_anti")
-        fresh = checkpoint(ready.select("node", F.greatest(F.col("pass"), F.lit(1)).alias("pass")))
-        earliest = checkpoint(earliest.join(fresh.select("node"), "node", "left_anti"))
-        settled = checkpoint(settled.unionByName(fresh))
-    rest = own.join(settled.select("node"), "node", "left_anti")
+    live = checkpoint(live)
+    degree_ = live.groupBy("node").agg(F.count(F.lit(1)).alias("waits"))
+    state = checkpoint(own.join(degree_, "node", "left").select(
+        "node", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(1).alias("pass")))
+    parts = []
+    while True:
+        fresh, waiting = state.filter("waits = 0").select("node", "pass"), state.filter("waits > 0")
+        if fresh.isEmpty():
+            break
+        parts.append(fresh)
+        if len(parts) == 32:  # keep the final union short on deep graphs
+            parts = [checkpoint(_union(parts))]
+        told = live.join(fresh.select(F.col("node").alias("dep"), F.col("pass").alias("p")), "dep").groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.col("p") + F.when(F.col("dep") > F.col("node"), 1).otherwise(0)).alias("p"))
+        state = checkpoint(waiting.join(told, "node", "left").select(
+            "node", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"), F.greatest("pass", F.coalesce("p", F.lit(1))).alias("pass")))
+    settled = _union(parts) if parts else state.select("node", "pass")
+    rest = state.filter("waits > 0")
     return (
         settled.withColumn("cyclic", F.lit(False))
         .unionByName(rest.select("node", F.lit(None).cast("int").alias("pass"), F.lit(True).alias("cyclic")))

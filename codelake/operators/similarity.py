@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelake.session import checkpoint
+
 
 def signature(tokens: Column) -> Column:
     """Sorted distinct lowercase non-blank tokens."""
@@ -73,10 +75,10 @@ def similar_plans(queries: DataFrame, cache: DataFrame, threshold: float = 0.85,
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     q_rows = queries.filter(F.size("sig") > 0)
-    q_units = _units(q_rows).select("unit", "version", "sig")
-    c_units = _units(q_rows)
-    if cache is not queries:
-        c_units = _units(cache.filter(F.size("sig") > 0))
+    # The distinct signatures are read several times below: written once.
+    q_full = checkpoint(_units(q_rows))
+    c_units = q_full if cache is queries else checkpoint(_units(cache.filter(F.size("sig") > 0)))
+    q_units = q_full.select("unit", "version", "sig")
 
     tokens = c_units.select(F.explode("sig").alias("token"))
     # At most (tokens per signature) * 1000 tokens pass this cut, whatever the table's size.
@@ -85,9 +87,11 @@ def similar_plans(queries: DataFrame, cache: DataFrame, threshold: float = 0.85,
         tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
         .withColumn("_cut", total / 1000).filter(F.col("df") > F.col("_cut")).drop("_cut")
     )
-    q_pre = _prefix(_ranked(q_units, frequent), threshold).select(
-        F.col("unit").alias("q_unit"), F.col("n").alias("q_n"), "token")
-    c_pre = _prefix(_ranked(c_units, frequent), threshold).select(
+    frequent = checkpoint(frequent)
+    c_prefix = checkpoint(_prefix(_ranked(c_units, frequent), threshold))
+    q_prefix = c_prefix if cache is queries else _prefix(_ranked(q_units, frequent), threshold)
+    q_pre = q_prefix.select(F.col("unit").alias("q_unit"), F.col("n").alias("q_n"), "token")
+    c_pre = c_prefix.select(
         F.col("unit").alias("c_unit"), F.col("n").alias("c_n"), "token")
     # Join on (token, size band): a query probes only the bands that its size allows.
     band = 1.0 / math.log(1 / threshold) if threshold < 1 else 1.0

@@ -7,12 +7,13 @@ import zipfile
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codelake.plans.registry import query
 from codelake.sources.archives import list_paths, read_archives
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _pack(doc_id: pd.Series, text: pd.Series) -> pd.Series:
     def one(i, body):
         out = io.BytesIO()

@@ -181,12 +181,17 @@ def _span(k):
     return F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>"))
 
 
+def _spread(t):
+    """Events over all cores: a short row becomes a log of several kilobytes."""
+    return t.events.repartition(4 * t.spark.sparkContext.defaultParallelism, "event_id")
+
+
 def compile_logs(t):
     errors = F.transform(_span(_k()), lambda i: F.concat(
         F.lit("[ERROR]  /tmp/workspace/src/F"), F.col("user_id").cast("string"), F.lit(".java:["), i.cast("string"), F.lit(",7] "), F.col("event_type"), F.lit(" broke ")))
     text = F.when(F.col("event_type") == "view", F.repeat(F.concat(F.lit("plain failure "), F.col("event_id").cast("string"), F.lit("\n")), _k())).otherwise(
         F.concat(F.lit("Building\n"), F.array_join(errors, "\n")))
-    return t.events.select("event_id", (_k() % 4).alias("exit_code"), text.alias("log"))
+    return _spread(t).select("event_id", (_k() % 4).alias("exit_code"), text.alias("log"))
 
 
 @query("cd20_parse_compile_log", f"""
@@ -218,7 +223,7 @@ def test_logs(t):
         .when((kind == "purchase") & (_k() > 50), F.concat(F.lit("Tests run: "), k, F.lit(", Failures: 0, Errors: 0, Skipped: 1")))
         .otherwise(F.concat(F.lit("nothing here "), F.col("event_id").cast("string")))
     )
-    return t.events.select("event_id", F.when(kind == "purchase", 0).otherwise(1).alias("exit_code"), text.alias("log"))
+    return _spread(t).select("event_id", F.when(kind == "purchase", 0).otherwise(1).alias("exit_code"), text.alias("log"))
 
 
 @query("cd21_parse_test_log", f"""

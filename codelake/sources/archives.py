@@ -17,7 +17,7 @@ SKIP_FRAGMENTS = [
 ]
 # Limits of an interactive upload; batch readers leave them off.
 UPLOAD_MAX_FILES, UPLOAD_MAX_BYTES = 1000, 32 * 1024
-BATCH_ROWS = 256
+BATCH_ROWS, BATCH_CHARS = 1024, 8 * 1024 * 1024
 
 
 def open_archives(spark: SparkSession, folder: str, pattern: str = "*.zip") -> DataFrame:
@@ -59,16 +59,16 @@ def read_archives(archives: DataFrame, mode: str = "source", suffixes: Sequence[
     skipped = tuple(skip)
 
     def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for pdf in batches:
             for archive, blob in zip(pdf["archive"], pdf["content"]):
-                rows = []
                 for path, text in _entries(blob, wanted, skipped, max_files, cap, mode == "all"):
                     rows.append((archive, path, text))
-                    if len(rows) == BATCH_ROWS:
+                    size += len(text)
+                    if len(rows) >= BATCH_ROWS or size >= BATCH_CHARS:
                         yield pd.DataFrame(rows, columns=["archive", "path", "content"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["archive", "path", "content"])
+                        rows, size = [], 0
+        yield pd.DataFrame(rows, columns=["archive", "path", "content"])
 
     return archives.select("archive", "content").mapInPandas(unzip, "archive string, path string, content string")
 
