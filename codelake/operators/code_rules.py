@@ -362,13 +362,13 @@ def blueprint(f: Facts, features: DataFrame) -> DataFrame:
     ``features`` is (project_id, path, ord, feature_id, target).
     """
     primary = f.types.groupBy(*KEYS).agg(F.min_by(F.struct("name", "fqn", "kind", "package", "annotations"), "pos").alias("t")).select(*KEYS, "t.*")
-    feats = features.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("ord", F.col("feature_id").alias("id"), "target"))).alias("features"))
+    feats = features.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("ord", F.col("feature_id").alias("id"), "target"))).alias("features"))
     inh = inheritance_edges(f)
     sup = inh.groupBy("project_id", F.col("subtype").alias("fqn")).agg(
         F.max(F.when(F.col("kind") == "EXTENDS", F.col("supertype"))).alias("extends"),
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "IMPLEMENTS", F.col("supertype")))).alias("implements"))
+        F.sort_array(F.collect_set(F.when(F.col("kind") == "IMPLEMENTS", F.col("supertype")))).alias("implements"))
     edges = call_edges(f)
-    out = edges.filter("project_owned").groupBy("project_id", F.col("caller").alias("fqn")).agg(F.array_sort(F.collect_set("callee")).alias("depends_on"))
+    out = edges.filter("project_owned").groupBy("project_id", F.col("caller").alias("fqn")).agg(F.sort_array(F.collect_set("callee")).alias("depends_on"))
     called = edges.select("project_id", F.col("callee").alias("fqn"), "caller").distinct().groupBy("project_id", "fqn").agg(F.count(F.lit(1)).alias("called_by"))
     joined = primary.join(feats, KEYS, "left")
     for side in (sup, out, called):

@@ -239,7 +239,7 @@ def retry_context(findings: DataFrame, order: Sequence[str], budget: int = TOKEN
     used = F.sum("cost").over(Window.partitionBy("project_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     kept = lines.withColumn("used", used).filter(F.col("used") <= budget - header_cost)
     body = kept.groupBy("project_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "entry"))), lambda x: x["entry"]), "").alias("body"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "entry"))), lambda x: x["entry"]), "").alias("body"),
         F.count(F.lit(1)).alias("included"),
     )
     more = F.col("n") - F.coalesce("included", F.lit(0))
@@ -271,12 +271,12 @@ def fingerprint(files: DataFrame, flat_limit: int = FLAT_LIMIT, fanout: int = 3)
     flat = (
         tagged.filter(F.col("_size") <= flat_limit)
         .groupBy("project_id")
-        .agg(F.array_sort(F.collect_list(F.struct("path", record.alias("rec")))).alias("r"))
+        .agg(F.sort_array(F.collect_list(F.struct("path", record.alias("rec")))).alias("r"))
         .select("project_id", F.sha2(F.array_join(F.transform("r", lambda x: x["rec"]), ""), 256).alias("digest"),
                 F.lit("flat").alias("layout"))
     )
     leaf = F.struct("path", F.sha2(record, 256).alias("h"))
-    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["h"]), ""), 256)
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["h"]), ""), 256)
     tree = (
         tagged.filter(F.col("_size") > flat_limit)
         .groupBy("project_id", F.substring(F.sha2("path", 256), 1, fanout).alias("bucket"))

@@ -137,4 +137,4 @@ def clusters(edges: DataFrame, files: DataFrame, max_files: int = 6) -> DataFram
     """
     placed = components(edges).join(files, "node").select("component", "path").distinct()
     sized = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, max_files))
-    return placed.join(sized, "component").groupBy("component", "n").agg(F.array_sort(F.collect_list("path")).alias("files"))
+    return placed.join(sized, "component").groupBy("component", "n").agg(F.sort_array(F.collect_list("path")).alias("files"))

@@ -13,7 +13,7 @@ from codelake.session import checkpoint
 def signature(tokens: Column) -> Column:
     """Sorted distinct lowercase non-blank tokens."""
     clean = F.transform(tokens, lambda t: F.trim(F.lower(t)))
-    return F.array_sort(F.array_distinct(F.filter(clean, lambda t: t.isNotNull() & (t != ""))))
+    return F.sort_array(F.array_distinct(F.filter(clean, lambda t: t.isNotNull() & (t != ""))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -27,13 +27,18 @@ def versions_compatible(a: Column, b: Column) -> Column:
     return (F.trim(a) == "") | (F.trim(b) == "") | (a == b)
 
 
-def _units(df: DataFrame) -> DataFrame:
+def _rows(df: DataFrame) -> DataFrame:
+    """Non-empty signatures with their unit key, written once: computing them is the costly part."""
+    unit = F.sha2(F.concat_ws("\u0001", F.col("version"), F.array_join("sig", "\u0002")), 256)
+    return checkpoint(df.filter(F.size("sig") > 0).select("id", "version", "sig", unit.alias("unit")))
+
+
+def _units(sig: DataFrame) -> DataFrame:
     """One row per distinct (signature, version) with its two smallest ids.
 
     Copies collapse here, so a signature shared by a third of the rows is one row
     in the join below.
     """
-    sig = df.withColumn("unit", F.sha2(F.concat_ws("\u0001", F.col("version"), F.array_join("sig", "\u0002")), 256))
     smallest = Window.partitionBy("unit").orderBy("id")
     low = sig.select("unit", "id").withColumn("_n", F.row_number().over(smallest)).filter("_n <= 2")
     ids = low.groupBy("unit").agg(F.min("id").alias("id1"), F.max(F.when(F.col("_n") == 2, F.col("id"))).alias("id2"))
@@ -52,7 +57,7 @@ def _ranked(units: DataFrame, frequent: DataFrame) -> DataFrame:
     return (
         exploded.join(frequent, "token", "left")
         .groupBy("unit", "n")
-        .agg(F.array_sort(F.collect_list(weight)).alias("ordered"))
+        .agg(F.sort_array(F.collect_list(weight)).alias("ordered"))
         .select("unit", "n", F.transform("ordered", lambda w: w["token"]).alias("ordered"))
     )
 
@@ -74,10 +79,10 @@ def similar_plans(queries: DataFrame, cache: DataFrame, threshold: float = 0.85,
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    q_rows = queries.filter(F.size("sig") > 0)
+    q_rows = _rows(queries)
     # The distinct signatures are read several times below: written once.
     q_full = checkpoint(_units(q_rows))
-    c_units = q_full if cache is queries else checkpoint(_units(cache.filter(F.size("sig") > 0)))
+    c_units = q_full if cache is queries else checkpoint(_units(_rows(cache)))
     q_units = q_full.select("unit", "version", "sig")
 
     tokens = c_units.select(F.explode("sig").alias("token"))
@@ -117,9 +122,7 @@ def similar_plans(queries: DataFrame, cache: DataFrame, threshold: float = 0.85,
     ids = scored.select("q_unit", "score", F.explode(F.array("id1", "id2")).alias("match_id")).filter("match_id IS NOT NULL")
     best = Window.partitionBy("q_unit").orderBy(F.desc("score"), "match_id")
     top = ids.withColumn("_n", F.row_number().over(best)).filter("_n <= 2")
-    members = q_rows.withColumn(
-        "q_unit", F.sha2(F.concat_ws("\u0001", F.col("version"), F.array_join("sig", "\u0002")), 256)
-    ).select("id", "q_unit")
+    members = q_rows.select("id", F.col("unit").alias("q_unit"))
     matched = members.join(top, "q_unit")
     if skip_self:
         matched = matched.filter(F.col("id") != F.col("match_id"))

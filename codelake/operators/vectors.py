@@ -151,7 +151,7 @@ def provenance(hits: DataFrame, texts: DataFrame) -> DataFrame:
     return (
         hits.join(texts, "vec_id", "left")
         .groupBy("query_id")
-        .agg(F.array_sort(F.collect_list(F.struct(
+        .agg(F.sort_array(F.collect_list(F.struct(
             "rank", F.coalesce("path", F.lit("doc")).alias("path"), F.coalesce("source_url", F.lit("")).alias("url"),
             snippet.alias("snippet")))).alias("sources"))
     )

@@ -230,7 +230,7 @@ def _queries(t):
     return (
         t.embeddings.select("label", F.posexplode("embedding").alias("i", "v"))
         .groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
-        .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("e"))
+        .groupBy("label").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("e"))
         .select(F.col("label").alias("query_id"), F.transform("e", lambda x: x["v"]).alias("embedding"))
     )
 

@@ -141,7 +141,7 @@ def _(t):
 def _(t):
     hits = N.first_hits(t.files.select("doc_id", "content"), DOC_RULES)
     target = F.when(F.col("feature_id") == "license", "keep").when(F.col("feature_id") == "mail", "mask")
-    per_file = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("feature_id").alias("id"), target.alias("target")))).alias("f"))
+    per_file = hits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", F.col("feature_id").alias("id"), target.alias("target")))).alias("f"))
     return per_file.select("doc_id", notes(F.col("f")).alias("notes"))
 
 

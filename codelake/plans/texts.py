@@ -105,7 +105,7 @@ def _(t):
     reply = F.concat(
         F.lit("Here you go\n=== FILE: src/a.java ===\nold\n=== FILE: src/b.yml ===\n"), F.col("text"),
         F.lit("\n=====FILE: src/a.java ==\n\n"), F.col("text"), F.lit("\n"))
-    parts = F.transform(F.array_sort(X.split_files(reply)), lambda p: F.concat_ws("=>", p["path"], p["body"]))
+    parts = F.transform(F.sort_array(X.split_files(reply)), lambda p: F.concat_ws("=>", p["path"], p["body"]))
     return t.documents.select("doc_id", F.array_join(parts, "##").alias("files"))
 
 
