@@ -24,16 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _WRITTEN: dict[str, list[str]] = {}
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, until_end: bool = False) -> DataFrame:
     """Write the rows to the shared folder and read them back: lineage ends here.
 
     A lost executor costs a read of these files, not a run of what made them.  The files
-    go with ``release`` or when the session ends.
+    go with ``release``, or when the session ends if ``until_end``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if not until_end:
+        _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)

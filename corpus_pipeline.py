@@ -40,5 +40,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result but the last is written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir))
+        docs = saved(stage(spark, docs, sf_dir), until_end=True)
     return STAGES[-1][1](spark, docs, sf_dir)
