@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from codelake.llm import byte_bpe, language_id, licenses, media, packing, pii, quality_rules, suffix_dedup, url_filters  # noqa: F401
+from codelake.llm import byte_bpe, language_id, licenses, media, ngram_join, packing, pii, quality_rules, suffix_dedup, url_filters  # noqa: F401
 from codelake.llm.registry import ORACLES, QUERIES  # noqa: F401
