@@ -23,7 +23,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases that are looked for as they stand, in any case.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: label, keyword, expression of the name.
+#: label, keyword (a word of every match), expression of the name.
 NAMES = [
     ("apache-1.0", "apache", r"apache (?:software )?licen[cs]e (?:version |v)?1 0"),
     ("apache-1.1", "apache", r"apache (?:software )?licen[cs]e (?:version |v)?1 1"),
@@ -62,7 +62,8 @@ NAMES = [
     ("zlib", "zlib", r"(?:the )?zlib(?: libpng)? licen[cs]e"),
     ("libpng", "libpng", r"(?:the )?libpng licen[cs]e"),
     ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public licen[cs]e"),
+    ("wtfpl", "wtfpl", r"wtfpl"),
+    ("wtfpl", "want", r"do what the fuck you want to public licen[cs]e"),
     ("bsl-1.0", "boost", r"boost software licen[cs]e(?: (?:version |v)?1 0)?"),
     ("mpl-1.0", "mozilla", r"mozilla public licen[cs]e (?:version |v)?1 0"),
     ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e (?:version |v)?1 1"),
@@ -108,7 +109,7 @@ NAMES = [
     ("sspl-1.0", "server", r"server side public licen[cs]e(?: (?:version |v)?1(?: 0)?)?"),
     ("busl-1.1", "business", r"business source licen[cs]e(?: (?:version |v)?1 1)?"),
     ("llama", "llama", r"llama [0-9]+(?: [0-9]+)? community licen[cs]e(?: agreement)?"),
-    ("openrail", "openrail", r"(?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[cs]e)?"),
+    ("openrail", "openrail", r"(?:creativeml |bigscience )?openrail(?: m)?(?: licen[cs]e)?"),
 ]
 
 #: Creative Commons: the parts of a licence's short name and its long name.

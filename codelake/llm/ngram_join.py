@@ -319,7 +319,8 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, in
     shared = _openings(docs, words, percent, buckets).groupBy("bucket").applyInArrow(_shared, "k1 bigint, n int, n_shared int, token binary, sets binary")
     routes = saved(_routes(shared, percent))
     ways = routes.select("k1", F.explode("route").alias("way"))
-    leaders = ways.groupBy("way").agg(F.min("k1").alias("leader"), F.max("k1").alias("other")).filter("leader != other").select("way", "leader")
+    # written, so that the join deals out both sides itself and can split a way that very many sets take
+    leaders = saved(ways.groupBy("way").agg(F.min("k1").alias("leader"), F.max("k1").alias("other")).filter("leader != other").select("way", "leader"))
     edges = ways.join(leaders, "way").filter("k1 != leader").select(F.col("k1").alias("src"), F.col("leader").alias("dst")).distinct()
     clusters = components(edges)
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
@@ -375,7 +376,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     found = similar_sets(docs.select("text"), words, percent, **sizes)
     own = saved(members(docs, words, keep))
     named = own.join(found.select(F.col("node").alias("k1"), "component"), "k1", "left").withColumn("group_key", F.coalesce("component", "k1")).drop("component")
-    least = named.filter("group_key IS NOT NULL").groupBy("group_key").agg(F.min(doc_id).alias("component_id"))
+    least = saved(named.filter("group_key IS NOT NULL").groupBy("group_key").agg(F.min(doc_id).alias("component_id")))
     out = named.join(least, "group_key", "left").withColumn("component_id", F.when(F.col("group_key").isNull(), F.col(doc_id)).otherwise(F.col("component_id")))
     return out.select(*keep, "n_shingles", "component_id", "group_key")
 
