@@ -57,7 +57,7 @@ def lace(frames: list[bytes], kind: int) -> bytes:
     head = bytes([len(frames) - 1])
     if kind == 1:
         head += b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
-    elif kind == 3:
+    elif kind == 3 and len(sizes) > 1:
         head += _size(sizes[0])
         for a, b in zip(sizes[:-2], sizes[1:-1], strict=True):
             k = 1
