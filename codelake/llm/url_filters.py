@@ -115,7 +115,9 @@ def _by_join(df: DataFrame, rules: DataFrame) -> DataFrame:
     folders = F.transform(
         F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/")))
     urls = df.select("host", "path").distinct().filter(F.col("path").startswith("/"))
-    seen = urls.select("*", F.explode(suffixes).alias("rule_host")).select("*", F.explode(folders).alias("folder"))
+    # a url's folders are listed only for the hosts of its that have rules
+    hosted = urls.select("*", F.explode(suffixes).alias("rule_host")).join(cut.select("rule_host").distinct(), "rule_host", "left_semi")
+    seen = hosted.select("*", F.explode(folders).alias("folder"))
     fits = seen.join(cut, ["rule_host", "folder"]).filter(F.col("path").startswith(F.col("rule_path")))
     rank = F.struct(F.size(F.split("rule_host", r"\.")), F.length("rule_path"), F.col("action") == "block")
     best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "action"), rank).alias("b"))
