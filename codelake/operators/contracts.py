@@ -15,17 +15,20 @@ from codelake.operators.graph import closure
 OUT = ["project_id", "path", "line", "symbol", "kind"]
 
 # Fixed list of names that need no import.
-JAVA_LANG = (
-    "String Object Integer Long Double Float Short Byte Boolean Character Number Math System Thread Runnable Void Class "
-    "Enum Iterable Comparable CharSequence StringBuilder StringBuffer Exception RuntimeException Throwable Error Override "
-    "Deprecated SuppressWarnings FunctionalInterface SafeVarargs Cloneable AutoCloseable Record Process Appendable "
-    "IllegalStateException IllegalArgumentException NullPointerException UnsupportedOperationException "
-    "IndexOutOfBoundsException ArrayIndexOutOfBoundsException StringIndexOutOfBoundsException ClassCastException "
-    "NumberFormatException ArithmeticException InterruptedException SecurityException ClassNotFoundException "
-    "CloneNotSupportedException IllegalAccessException InstantiationException NoSuchMethodException NoSuchFieldException "
-    "NegativeArraySizeException ArrayStoreException IllegalMonitorStateException AssertionError StackOverflowError "
-    "OutOfMemoryError NoClassDefFoundError Runtime ThreadLocal ClassLoader ProcessBuilder StackTraceElement"
-).split()
+JAVA_LANG = [
+    "String", "Object", "Integer", "Long", "Double", "Float", "Short", "Byte", "Boolean", "Character", "Number",
+    "Math", "System", "Thread", "Runnable", "Void", "Class", "Enum", "Iterable", "Comparable", "CharSequence",
+    "StringBuilder", "StringBuffer", "Exception", "RuntimeException", "Throwable", "Error", "Override", "Deprecated",
+    "SuppressWarnings", "FunctionalInterface", "SafeVarargs", "Cloneable", "AutoCloseable", "Record", "Process",
+    "Appendable", "IllegalStateException", "IllegalArgumentException", "NullPointerException",
+    "UnsupportedOperationException", "IndexOutOfBoundsException", "ArrayIndexOutOfBoundsException",
+    "StringIndexOutOfBoundsException", "ClassCastException", "NumberFormatException", "ArithmeticException",
+    "InterruptedException", "SecurityException", "ClassNotFoundException", "CloneNotSupportedException",
+    "IllegalAccessException", "InstantiationException", "NoSuchMethodException", "NoSuchFieldException",
+    "NegativeArraySizeException", "ArrayStoreException", "IllegalMonitorStateException", "AssertionError",
+    "StackOverflowError", "OutOfMemoryError", "NoClassDefFoundError", "Runtime", "ThreadLocal", "ClassLoader",
+    "ProcessBuilder", "StackTraceElement",
+]
 
 
 def _out(df: DataFrame, symbol: Column, kind: str) -> DataFrame:

@@ -169,7 +169,7 @@ def _(t):
 COMPILE_SQL = """lg AS (SELECT event_id, k % 4 AS exit_code, CASE WHEN event_type = 'view' THEN repeat('plain failure ' || event_id || chr(10), k) ELSE
       'Building' || chr(10) || array_to_string(list_transform(range(1, k + 1), lambda i: '[ERROR]  /tmp/workspace/src/F' || user_id || '.java:[' || i || ',7] ' || event_type || ' broke '), chr(10)) END AS log
     FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)),
-    h AS (SELECT event_id, exit_code, log, regexp_extract_all(log, '\\[ERROR\\]\\s+(.+?\\.java):\\[(\\d+),\\d+\\]\\s+(.+)')[1:50] AS hits FROM lg),
+    h AS (SELECT event_id, exit_code, log, regexp_extract_all(log, '\\[ERROR\\]\\s+(.+?\\.java):\\[(\\d+),\\d+\\]\\s+(.+)') AS hits FROM lg),
     x AS (SELECT event_id, unnest(hits) AS m, generate_subscripts(hits, 1) - 1 AS pos FROM h WHERE exit_code <> 0)"""
 
 
@@ -199,7 +199,7 @@ def compile_logs(t):
     SELECT event_id, pos, 'ERROR' AS severity, replace(regexp_extract(m, '\\s+(.+?\\.java):', 1), '/tmp/workspace/', '') AS path,
            CAST(regexp_extract(m, ':\\[(\\d+),', 1) AS BIGINT) AS line, trim(regexp_extract(m, '\\d\\]\\s+(.+)', 1)) AS message FROM x
     UNION ALL SELECT event_id, 0, 'INFO', NULL, NULL, 'Sandbox compile passed (mvn -DskipTests compile)' FROM h WHERE exit_code = 0
-    UNION ALL SELECT event_id, 0, 'ERROR', NULL, NULL, 'Sandbox compile failed (exit ' || exit_code || '); tail: ' || right(log, 2000) FROM h WHERE exit_code <> 0 AND len(hits) = 0""")
+    UNION ALL SELECT event_id, 0, 'ERROR', NULL, NULL, 'Sandbox compile failed (exit ' || exit_code || '); tail: ' || log FROM h WHERE exit_code <> 0 AND len(hits) = 0""")
 def _(t):
     return N.parse_compile_log(compile_logs(t)).select("event_id", F.col("pos").cast("bigint").alias("pos"), "severity", "path", F.col("line").cast("bigint").alias("line"), "message")
 
@@ -209,7 +209,7 @@ TEST_SQL = """lg AS (SELECT event_id, event_type, k, CASE WHEN event_type = 'pur
              || CASE event_type WHEN 'error' THEN array_to_string(list_transform(range(1, k + 1), lambda i: '  com.acme.Run' || user_id || 'Test.case' || i || ': expected ' || i || '  '), chr(10)) ELSE '' END
            WHEN event_type = 'purchase' AND k > 50 THEN 'Tests run: ' || k || ', Failures: 0, Errors: 0, Skipped: 1' ELSE 'nothing here ' || event_id END AS log
     FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)),
-    h AS (SELECT *, regexp_extract_all(log, '(?m)^\\s*([\\w.$]+(?:Test|IT))\\.(\\w+):\\s*(.+)$')[1:50] AS hits FROM lg)"""
+    h AS (SELECT *, regexp_extract_all(log, '(?m)^\\s*([\\w.$]+(?:Test|IT))\\.(\\w+):\\s*(.+)$') AS hits FROM lg)"""
 
 
 def test_logs(t):

@@ -16,7 +16,6 @@ SKIP_FRAGMENTS = [
     "gradle-wrapper.properties",
 ]
 # Limits of an interactive upload; batch readers leave them off.
-UPLOAD_MAX_FILES, UPLOAD_MAX_BYTES = 1000, 32 * 1024
 BATCH_ROWS, BATCH_CHARS = 1024, 8 * 1024 * 1024
 
 

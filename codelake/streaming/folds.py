@@ -40,7 +40,7 @@ def _pass(df: DataFrame, keys: list[str], order: list[str], keep: list[str], mac
             rows = []
             inputs = [pdf[c].tolist() for c in extra]
             keeps = [pdf[c].tolist() for c in keep]
-            for i, key in enumerate(zip(*[pdf[c].tolist() for c in group])):
+            for i, key in enumerate(zip(*[[None if pd.isna(v) else v for v in pdf[c].tolist()] for c in group])):
                 if key != current:
                     if current is not None and not emit:
                         rows.append((*current, json.dumps(state, sort_keys=True)))
@@ -68,16 +68,18 @@ def fold(events: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str,
     """
     keys, order, keep = list(keys), list(order), list(keep)
     ms = F.unix_micros(F.col(ts).cast("timestamp")) / 1000
-    rows = events.withColumn("ts_ms", F.floor(ms)).withColumn("_cut", slice_by.cast("string"))
+    rows = events.withColumn("ts_ms", F.floor(ms)).withColumn("_cut", slice_by)
     # At most total / hot_rows keys can be hot.
     hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).drop("_n")
     none = F.lit(None).cast("string")
+    # the slice keeps its own type: as text, 10 would sort before 2
+    no_slice = F.lit(None).cast(rows.schema["_cut"].dataType)
     if hot.isEmpty():
-        plain = rows.withColumn("slice", none).withColumn("carry", none)
+        plain = rows.withColumn("slice", no_slice).withColumn("carry", none)
         return _pass(plain, keys, order, keep, machine, emit=True)
 
     hot = checkpoint(hot)
-    cold_rows = rows.join(hot, keys, "left_anti").withColumn("slice", none)
+    cold_rows = rows.join(hot, keys, "left_anti").withColumn("slice", no_slice)
     hot_side = rows.join(hot, keys, "left_semi").withColumn("slice", F.col("_cut"))
     group = [*keys, "slice"]
     start = json.dumps(machine.start(), sort_keys=True)

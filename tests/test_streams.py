@@ -98,6 +98,23 @@ def test_hot_keys_fold_to_the_same_result(spark, make):
     assert rows(plain) == rows(hot)
 
 
+def test_more_than_ten_numeric_slices_and_null_keys(spark):
+    """Slice 10 comes after slice 2, and the rows of a null key are one key's."""
+    events = [(None if k % 2 else 1, k, "failure" if k % 5 else "success") for k in range(120)]
+    df = spark.createDataFrame(events, "key int, n int, outcome string").withColumn("ts", F.timestamp_seconds("n"))
+    cut = F.floor(F.col("n") / 6)
+    plain = fold(df, ["key"], ["ts", "n"], "ts", machines.AutoPause(), cut, ["key", "n"])
+    streaks, seen = {}, []
+    for key, n, outcome in events:
+        streaks[key] = streaks.get(key, 0) + 1 if outcome == "failure" else 0
+        if outcome == "failure":
+            seen.append((key, n, streaks[key]))
+    assert sorted(seen, key=str) == sorted(((r.key, r.n, r.streak) for r in plain.collect()), key=str)
+    one_key = df.filter("key IS NOT NULL")
+    hot = fold(one_key, ["key"], ["ts", "n"], "ts", machines.AutoPause(), cut, ["key", "n"], hot_rows=5)
+    assert sorted(x for x in seen if x[0] == 1) == sorted((r.key, r.n, r.streak) for r in hot.collect())
+
+
 def stream_of(spark, df, tmp_path, n=4):
     """The rows of ``df`` as a file stream, in event order, one file per micro-batch."""
     folder = str(tmp_path / "in")
