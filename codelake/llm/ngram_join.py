@@ -31,7 +31,7 @@ WORDS, PERCENT = 5, 80
 #: Sets in one index, and sets that one task looks up.
 INDEX_SETS, QUERY_SETS = 2000, 4000
 #: Shingles of openings that one task counts.
-COUNTED = 2_000_000
+COUNTED = 1_000_000
 
 
 # ---------------------------------------------------------------- sets
@@ -101,7 +101,7 @@ def _openings(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFr
     """The shingles of all openings, packed by bucket: each value holds those of one slice of texts."""
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
+            for part in slices(batch, "text"):
                 sets = [s for s in shingle_sets(part.column("text"), words) if len(s)]
                 for k in range(0, len(sets), 1 << 16):
                     own = sets[k : k + (1 << 16)]
@@ -137,6 +137,7 @@ def _shared(part: pa.Table) -> pa.Table:
         size.append(np.frombuffer(row[1], np.int32)[owner])
         token.append(np.frombuffer(row[3], np.uint32))
     name, size, token = np.concatenate(name), np.concatenate(size), np.concatenate(token)
+    pa.default_memory_pool().release_unused()
     by = np.lexsort((name, token))
     name, size, token = name[by], size[by], token[by]
     new = np.append(True, (token[1:] != token[:-1]) | (name[1:] != name[:-1]))
