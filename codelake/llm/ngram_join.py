@@ -127,8 +127,11 @@ def _packed(names, sizes, of, token):
     return names[held].tobytes(), sizes[held].tobytes(), back.astype(np.uint16).tobytes(), token.tobytes()
 
 
-def _shared(part: pa.Table) -> pa.Table:
-    """For each set of a bucket its shingles that stand in other sets' openings too, with the number of those sets."""
+def _shared(part: pa.Table, buckets: int) -> pa.Table:
+    """The shingles of a bucket that stand in openings of several sets, with the number of those sets.
+
+    They are packed again, by the sets' names: what is known of one set meets in one place.
+    """
     bucket = part.column("bucket")[0].as_py()
     name, size, token = [], [], []
     for row in zip(*(part.column(c).to_pylist() for c in ("names", "sizes", "owner", "token")), strict=True):
@@ -147,35 +150,35 @@ def _shared(part: pa.Table) -> pa.Table:
     found = np.repeat(sets, sets)
     keep = found > 1
     name, size, token, found = name[keep], size[keep], token[keep], found[keep]
-    by = np.argsort(name, kind="stable")
-    name, size = name[by], size[by]
+    to = name % buckets
+    by = np.lexsort((name, to))
+    name, size, to, found = name[by], size[by], to[by], np.minimum(found[by], 65535).astype(np.uint16)
     token = np.int64(bucket) << 32 | token[by].astype(np.int64)
-    found = np.minimum(found[by], 65535).astype(np.uint16)
-    first = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.zeros(0, np.int64)
-    ends = np.append(first, len(name)).astype(np.int32)
-    binary = lambda values, width: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends * np.int32(width)), pa.py_buffer(np.ascontiguousarray(values))])
-    return pa.table([pa.array(name[first]), pa.array(size[first]), pa.array(np.diff(ends).astype(np.int32)), binary(token, 8), binary(found, 2)], names=["k1", "n", "n_shared", "token", "sets"])
+    ends = np.searchsorted(to, np.arange(buckets + 1))
+    rows = []
+    for k, (x, y) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        if y > x:
+            first = np.flatnonzero(np.append(True, name[x + 1 : y] != name[x : y - 1])) + x
+            held = np.diff(np.append(first, y)).astype(np.int32)
+            rows.append((k, *(v.tobytes() for v in (name[first], size[first], held, token[x:y], found[x:y]))))
+    return pa.table([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6)]], names=["to", "names", "sizes", "held", "token", "sets"])
 
 
-def _routes(shared: DataFrame, percent: int) -> DataFrame:
+def _routes_part(part: pa.Table, percent: int) -> pa.Table:
     """(k1, n, route): the rarest shared shingles of each set that may have a partner; partners share one of them."""
-    least = F.greatest(F.lit(1), F.floor(F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100)) / 5))
-    gathered = (
-        shared.groupBy("k1", "n").agg(F.sum("n_shared").alias("n_shared"), F.collect_list(F.struct("token", "sets")).alias("parts"))
-        .filter(F.col("n_shared") >= least)
-    )
-
-    def run(batches):
-        for batch in batches:
-            routes = []
-            for n, parts in zip(batch.column("n").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-                token = np.concatenate([np.frombuffer(p["token"], np.int64) for p in parts])
-                sets = np.concatenate([np.frombuffer(p["sets"], np.uint16) for p in parts])
-                # what no other opening holds is rarer still and comes before these
-                routes.append(token[np.lexsort((token, sets))][: len(token) - required(n, percent) + 1])
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("n"), pa.array(routes, pa.list_(pa.int64()))], ["k1", "n", "route"])
-
-    return gathered.mapInArrow(run, "k1 bigint, n int, route array<bigint>")
+    kinds = {"names": np.int64, "sizes": np.int32, "held": np.int32, "token": np.int64, "sets": np.uint16}
+    name, size, held, token, sets = (np.concatenate([np.frombuffer(b, kind) for b in part.column(c).to_pylist()]) for c, kind in kinds.items())
+    name, size = np.repeat(name, held), np.repeat(size, held)
+    # what no other opening holds is rarer still and would come before these
+    by = np.lexsort((token, sets, name))
+    name, size, token = name[by], size[by], token[by]
+    first = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+    count = np.diff(np.append(first, len(name)))
+    take = np.maximum(0, count + 1 - np.array([required(int(n), percent) for n in size[first]], np.int64))
+    chosen = np.arange(len(name)) - np.repeat(first, count) < np.repeat(take, count)
+    some = take > 0
+    ends = np.append(0, np.cumsum(take[some])).astype(np.int32)
+    return pa.table([pa.array(name[first][some]), pa.array(size[first][some]), pa.ListArray.from_arrays(pa.array(ends), pa.array(token[chosen]))], names=["k1", "n", "route"])
 
 
 # ---------------------------------------------------------------- T-occurrence search
@@ -317,8 +320,8 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, in
     """
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
     buckets = max(1, round(size / 16 / COUNTED))  # a shingle takes some 6 bytes of text, and openings hold two fifths of them
-    shared = _openings(docs, words, percent, buckets).groupBy("bucket").applyInArrow(_shared, "k1 bigint, n int, n_shared int, token binary, sets binary")
-    routes = saved(_routes(shared, percent))
+    shared = _openings(docs, words, percent, buckets).groupBy("bucket").applyInArrow(lambda part: _shared(part, buckets), "to int, names binary, sizes binary, held binary, token binary, sets binary")
+    routes = saved(shared.groupBy("to").applyInArrow(lambda part: _routes_part(part, percent), "k1 bigint, n int, route array<bigint>"))
     ways = routes.select("k1", F.explode("route").alias("way"))
     # written, so that the join deals out both sides itself and can split a way that very many sets take
     leaders = saved(ways.groupBy("way").agg(F.min("k1").alias("leader"), F.max("k1").alias("other")).filter("leader != other").select("way", "leader"))
