@@ -23,6 +23,8 @@ UNDETERMINED = "und"
 BUCKETS = 1 << 14
 #: Bound of the sample that the model is fitted on, for each language.
 MAX_TEXTS_PER_LANGUAGE = 400
+#: Their counts and a column of weights each are held by the driver and broadcast.
+MAX_LANGUAGES = 5000
 
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes other than letters are blanks here; bytes over 127 are parts of letters.
@@ -108,9 +110,13 @@ def fit(samples, width: int = 16, epochs: int = 6, rate: float = 0.5, seed: int
 
 def training_sample(labelled: DataFrame, order: Column, per_language: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """At most about ``per_language`` texts of each language, chosen by a hash; only their bucket counts reach the driver."""
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # a row for each language, so every text is judged where it is read
+    counts = labelled.sparkSession.createDataFrame(counts, "lang string, _n bigint")
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("_n"))
-    chosen = labelled.join(counts, "lang").filter(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    chosen = labelled.join(F.broadcast(counts), "lang").filter(F.pmod(order, F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
 
     def count(batches):
         for batch in batches:
