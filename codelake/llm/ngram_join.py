@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from codelake.llm.common import LOWER, SPACE, flat, hash_segments, mix, output, saved, segments, slices, spread, table, unclashed, windows
 from codelake.llm.registry import query
-from codelake.llm.suffix_dedup import filtered, key_filter
+from codelake.llm.suffix_dedup import key_filter, may_hold
 from codelake.operators.graph import components
 
 WORDS, PERCENT = 5, 80
@@ -303,14 +303,19 @@ def _searched(rows: DataFrame, percent: int) -> DataFrame:
 
 def _sets_of(docs: DataFrame, words: int, names: DataFrame) -> DataFrame:
     """(k1, shingles) of the named sets, once for each task that reads one of their documents."""
+    shared = key_filter(names)
+
     def run(batches):
+        seen = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [s for s in shingle_sets(part.column("text"), words) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["k1", "shingles"])
+                own = {set_id(s): s for s in shingle_sets(part.column("text"), words) if len(s)}
+                asked = may_hold(shared.value, np.array(list(own), np.int64))
+                new = [k for k, a in zip(own, asked.tolist(), strict=True) if a and k not in seen]
+                seen.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([own[k].tobytes() for k in new], pa.binary())], ["k1", "shingles"])
 
-    made = docs.select("text").mapInArrow(run, "k1 bigint, shingles binary").withColumn("k2", F.lit(0).cast("bigint"))
-    return filtered(made, key_filter(names), once=True).drop("k2")
+    return docs.select("text").mapInArrow(run, "k1 bigint, shingles binary")
 
 
 def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, index_sets: int = INDEX_SETS, query_sets: int = QUERY_SETS) -> DataFrame:

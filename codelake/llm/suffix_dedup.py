@@ -92,7 +92,7 @@ def key_filter(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(words)
 
 
-def _may_hold(words: np.ndarray, k1: np.ndarray) -> np.ndarray:
+def may_hold(words: np.ndarray, k1: np.ndarray) -> np.ndarray:
     place = k1 & ((1 << FILTER_BITS) - 1)
     return (words[place >> 6] >> (k1 & 63) & 1).astype(bool)
 
@@ -103,7 +103,7 @@ def filtered(keyed: DataFrame, shared, keep: bool = True, once: bool = False) ->
         seen = set()
         for batch in batches:
             k1 = batch.column("k1").to_numpy()
-            take = _may_hold(shared.value, k1) == keep
+            take = may_hold(shared.value, k1) == keep
             if once:
                 k2 = batch.column("k2").to_numpy()
                 for k in np.flatnonzero(take):
@@ -193,11 +193,15 @@ def repeats(strings: list[list], span: int):
     return repeated & whole, whole, of, text, first
 
 
-FOUND = "h bigint, ctx bigint, lo int, hi int, window bigint, place bigint"
+FOUND = "h bigint, ctx bigint, lo int, hi int, bucket int, windows binary"
+#: A window of a dealt-out anchor; a settled one was found twice in its shard already.
+WINDOW = np.dtype([("window", "i8"), ("place", "i8"), ("h", "i8"), ("ctx", "i8"), ("rel", "i4"), ("settled", "?")])
+#: Windows that one task compares.
+COMPARED = 2_000_000
 
 
-def _search_shard(part: pa.Table, span: int) -> pa.Table:
-    """Repeated ranges of each surrounding, from the anchor on; and windows of dealt-out anchors that are still open."""
+def _search_shard(part: pa.Table, span: int, buckets: int) -> pa.Table:
+    """Repeated ranges of each surrounding, from the anchor on; and the windows of dealt-out anchors, packed by hash."""
     columns = [part.column(c).to_pylist() for c in ("h", "ctx", "several", "split", "left", "place", "bytes")]
     rows = {(r[0], r[1]): r for r in zip(*columns, strict=True)}
     strings = candidates(sorted(rows.values(), key=lambda r: (r[0], r[1])), span)
@@ -213,23 +217,46 @@ def _search_shard(part: pa.Table, span: int) -> pa.Table:
                     for column, v in zip(out, (h, ctx, a - strings[s][1], b - strings[s][1], None, None), strict=True):
                         column.append(v)
         split = np.array([s[5] for s in strings], bool)[of] & whole
-        open_at = np.flatnonzero(split)
-        if len(open_at):
+        at = np.flatnonzero(split)
+        if len(at):
             sums, inverse = _prefix_sums(text)
-            window = mix((sums[open_at + span] - sums[open_at]) * inverse[open_at]).view(np.int64)
-            sent = set()
-            for x, w in zip(open_at.tolist(), window.tolist(), strict=True):
-                s = strings[of[x]]
-                (h, ctx), rel = s[4][0], x - int(first[of[x]]) - s[1]
-                if repeated[x]:  # settled here; one row tells the other shards
-                    if (h, w) in sent:
-                        continue
-                    sent.add((h, w))
-                row = (h, None if repeated[x] else ctx, rel, rel + span, w, s[3] + x - int(first[of[x]]))
-                for column, v in zip(out, row, strict=True):
+            rows_ = np.empty(len(at), WINDOW)
+            rows_["window"] = mix((sums[at + span] - sums[at]) * inverse[at]).view(np.int64)
+            rows_["settled"] = repeated[at]
+            rows_["rel"] = at - first[of[at]] - np.array([s[1] for s in strings])[of[at]]
+            rows_["place"] = np.array([s[3] for s in strings])[of[at]] + at - first[of[at]]
+            for k, name in enumerate(("h", "ctx")):
+                rows_[name] = np.array([s[4][0][k] for s in strings], np.int64)[of[at]]
+            # of what is settled, one row tells the other shards
+            _, one = np.unique(rows_["window"], return_index=True)
+            once = np.zeros(len(rows_), bool)
+            once[one] = True
+            rows_ = rows_[once | ~rows_["settled"]]
+            bucket = rows_["window"] % buckets
+            for k in np.unique(bucket).tolist():
+                for column, v in zip(out, (None, None, None, None, k, rows_[bucket == k].tobytes()), strict=True):
                     column.append(v)
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "ctx", "lo", "hi", "window", "place"])
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "ctx", "lo", "hi", "bucket", "windows"])
+
+
+def _settle(part: pa.Table, span: int) -> pa.Table:
+    """Windows that weren't found twice in their shard, but are in another one or at another place.
+
+    One place can stand in two shards when its text holds the anchor twice.
+    """
+    rows = np.concatenate([np.frombuffer(b, WINDOW) for b in part.column("windows").to_pylist()])
+    rows = rows[np.argsort(rows["window"], kind="stable")]
+    first = np.flatnonzero(np.append(True, rows["window"][1:] != rows["window"][:-1]))
+    twice = np.minimum.reduceat(rows["place"], first) != np.maximum.reduceat(rows["place"], first)
+    twice |= np.maximum.reduceat(rows["settled"].view(np.int8), first) > 0
+    rows = rows[np.repeat(twice, np.diff(np.append(first, len(rows)))) & ~rows["settled"]]
+    # neighbours in one surrounding are one range
+    rows = rows[np.lexsort((rows["rel"], rows["ctx"], rows["h"]))]
+    begin = np.append(True, (rows["h"][1:] != rows["h"][:-1]) | (rows["ctx"][1:] != rows["ctx"][:-1]) | (np.diff(rows["rel"]) > span))[: len(rows)]
+    starts = np.flatnonzero(begin)
+    lasts = np.append(starts[1:] - 1, len(rows) - 1)[: len(starts)]
+    return pa.table([pa.array(rows["h"][starts]), pa.array(rows["ctx"][starts]), pa.array(rows["rel"][starts]), pa.array(rows["rel"][lasts] + np.int32(span))], names=["h", "ctx", "lo", "hi"])
 
 
 def _surroundings(needed: DataFrame, span: int) -> DataFrame:
@@ -262,11 +289,12 @@ def repeated_ranges(keyed: DataFrame, span: int = SPAN, per_shard: int = PER_SHA
     ``keyed`` has (k1, k2, text), one row for each document: copies count as places.
     """
     anchors = saved(_anchors(keyed, span))
-    twice = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # written, so that the join below deals out both sides itself and can split a hot anchor
+    twice = saved(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
     hits = saved(anchors.join(twice, "h"))
     around = hits.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("at"))
     around = saved(around)
-    sizes = around.groupBy("h").agg(F.count(F.lit(1)).alias("n_around"))
+    sizes = saved(around.groupBy("h").agg(F.count(F.lit(1)).alias("n_around")))
     total = around.count()
     shards = max(1, -(-total // per_shard))
     dealt = around.join(sizes, "h").select(
@@ -276,13 +304,10 @@ def repeated_ranges(keyed: DataFrame, span: int = SPAN, per_shard: int = PER_SHA
     wants = saved(dealt.groupBy("k1", "k2").agg(F.collect_list(F.struct("shard", "h", "ctx", "several", "split", "pos")).alias("wants")))
     texts = filtered(keyed, key_filter(wants.select("k1")), once=True)
     cut = _surroundings(texts.join(wants, ["k1", "k2"]), span)
-    found = saved(cut.groupBy("shard").applyInArrow(lambda part: _search_shard(part, span), FOUND))
-    direct = found.filter("window IS NULL").select("h", "ctx", "lo", "hi")
-    open_ = found.filter("window IS NOT NULL")
-    # equal strings share the anchor; one place can stand in two shards when its text holds the anchor twice
-    across = open_.groupBy("h", "window").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count_if(F.col("ctx").isNull()).alias("settled")).filter("a != b OR settled > 0").select("h", "window")
-    settled = open_.filter("ctx IS NOT NULL").join(across, ["h", "window"]).select("h", "ctx", "lo", "hi")
-    covers = direct.unionByName(settled)
+    buckets = max(1, -(-dealt.filter("split").count() * (span - span // 2 + 1) // COMPARED))
+    found = saved(cut.groupBy("shard").applyInArrow(lambda part: _search_shard(part, span, buckets), FOUND))
+    settled = found.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(lambda part: _settle(part, span), "h bigint, ctx bigint, lo int, hi int")
+    covers = found.filter("bucket IS NULL").select("h", "ctx", "lo", "hi").unionByName(settled)
     ranges = hits.join(covers, ["h", "ctx"]).select("k1", "k2", (F.col("pos") + F.col("lo")).alias("start"), (F.col("pos") + F.col("hi")).alias("end")).distinct()
     return ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
