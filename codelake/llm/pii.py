@@ -106,11 +106,11 @@ def disclosing_terms(
     entity_texts = keyed.filter(F.size("spans") > 0).select("_k", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     # Each text's words are counted once and summed per task before the shuffle, so what moves is a task's vocabulary.
     # Copies count here: that only lowers a term's share.
-    term_texts = (
+    # Written, or Spark would join every word of every text before counting.
+    term_texts = saved(
         docs.select(F.explode(F.array_distinct(words(F.coalesce("text", F.lit(""))))).alias("term"))
         .groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     )
-    term_texts = term_texts.join(together.select("term").distinct(), "term", "left_semi")
     total = docs.count()
     share = F.least(F.lit(1.0), F.col("n_texts") / F.col("n_term"))
     return (
