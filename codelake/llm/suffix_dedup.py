@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm.common import _BYTE, _powers, flat, mix, saved, slices, table, text_key, unclashed
+from codelake.llm.common import _BYTE, SPACE, _powers, flat, hash_segments, mix, saved, segments, slices, table, text_key, unclashed
 from codelake.llm.registry import query
 from codelake.llm.suffix_array import SEPARATOR, _prefix_sums, closed, permuted_common_prefixes, suffix_array
 
@@ -283,11 +283,13 @@ def _surroundings(needed: DataFrame, span: int) -> DataFrame:
     return needed.select("k1", "text", "wants").mapInArrow(run, "shard int, h bigint, ctx bigint, several boolean, split boolean, left int, place bigint, bytes binary")
 
 
-def repeated_ranges(keyed: DataFrame, span: int = SPAN, per_shard: int = PER_SHARD) -> DataFrame:
+def repeated_ranges(keyed: DataFrame, span: int = SPAN, per_shard: int | None = None) -> DataFrame:
     """(k1, k2, ranges): the byte ranges of each distinct text that strings of ``span`` bytes found twice cover.
 
     ``keyed`` has (k1, k2, text), one row for each document: copies count as places.
+    Shorter spans have more surroundings in a shard, so that its text stays as long.
     """
+    per_shard = per_shard or PER_SHARD * SPAN // span
     anchors = saved(_anchors(keyed, span))
     # written, so that the join below deals out both sides itself and can split a hot anchor
     twice = saved(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
@@ -312,6 +314,62 @@ def repeated_ranges(keyed: DataFrame, span: int = SPAN, per_shard: int = PER_SHA
     return ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 
+# ---------------------------------------------------------------- passages of many words
+
+
+PASSAGE = "h bigint, k1 bigint, k2 bigint, place bigint, several boolean, start int, end int"
+
+
+def passages(data: np.ndarray, runs: list[tuple[int, int]], over_words: int, span: int):
+    """(starts, ends) of the strings of ``over_words`` + 1 whole words inside the runs, and of those of ``span`` bytes that hold no such string."""
+    begin, end, _ = segments(data, np.array([0, len(data)]), SPACE)
+    starts, ends = [], []
+    for a, b in runs:
+        lo, hi = np.searchsorted(begin, a), np.searchsorted(end, b, side="right")
+        if hi - lo > over_words:
+            starts.append(begin[lo : hi - over_words])
+            ends.append(end[lo + over_words : hi])
+        if b - a >= span:
+            at = np.arange(a, b - span + 1)
+            first, last = np.searchsorted(begin, at), np.searchsorted(end, at + span, side="right")
+            at = at[last - first <= over_words]
+            starts.append(at)
+            ends.append(at + span)
+    if not starts:
+        return (np.zeros(0, np.int64),) * 2
+    return np.concatenate(starts), np.concatenate(ends)
+
+
+def long_ranges(keyed: DataFrame, ranges: DataFrame, over_words: int, span: int = SPAN) -> DataFrame:
+    """(k1, k2, ranges) of what strings found twice cover that have more than ``over_words`` words or ``span`` bytes.
+
+    ``ranges`` are those of repeated strings of at most 2 * ``over_words`` + 1 bytes: what is looked for lies inside
+    them, but they may also be chains of shorter strings that repeat in different places.
+    """
+    copied = saved(keyed.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1", "k2", F.lit(True).alias("several")))
+    marked = saved(ranges.join(copied, ["k1", "k2"], "left"))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, len(batch), 64):
+                part = batch.slice(k, 64)
+                for k1, k2, text, spans, several in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "text", "ranges", "several")), strict=True):
+                    data = np.frombuffer(text.encode(), np.uint8)
+                    starts, ends = passages(data, merged([(r["start"], r["end"]) for r in spans]), over_words, span)
+                    if not len(starts):
+                        continue
+                    key = np.uint64(k1 & (1 << 64) - 1) ^ mix(np.array([k2 & (1 << 64) - 1], np.uint64))
+                    place = mix(mix(starts.astype(np.uint64)) + key)
+                    same = [np.full(len(starts), x) for x in (np.int64(k1), np.int64(k2), bool(several))]
+                    columns = [hash_segments(data, starts, ends).view(np.int64), *same[:2], place.view(np.int64), same[2], starts.astype(np.int32), ends.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "k1", "k2", "place", "several", "start", "end"])
+
+    found = saved(filtered(keyed, key_filter(marked.select("k1")), once=True).join(marked, ["k1", "k2"]).mapInArrow(run, PASSAGE))
+    # written, so that the join below can split a hot passage
+    twice = saved(found.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.max("several").alias("several")).filter("a <> b OR several").select("h"))
+    return found.join(twice, "h").select("k1", "k2", "start", "end").distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+
+
 # ---------------------------------------------------------------- removal
 
 
@@ -365,7 +423,7 @@ def _removed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
 
 
-def remove_repeats(df: DataFrame, text: str = "text", span: int = SPAN, with_text: bool = True) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", span: int = SPAN, with_text: bool = True, over_words: int | None = None) -> DataFrame:
     """All rows with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the text without its repeats.
 
     Every byte goes that a string of ``span`` bytes covers which also starts anywhere else,
@@ -373,6 +431,9 @@ def remove_repeats(df: DataFrame, text: str = "text", span: int = SPAN, with_tex
     and are judged on the input.  ``kept_sha256`` is of the remaining bytes; the text is cut
     at whole characters only, so it may keep up to three bytes at each border more.
 
+    With ``over_words`` the strings are those of more than so many whole words (runs between
+    white space), however short, and those of ``span`` bytes, however few their words.
+
     A null text is empty: nothing is removed, and it stays null.  Texts shorter than
     ``span`` bytes stay whole, copies too; longer copies lose everything.  An empty table
     gives an empty one.  Columns with the new names are replaced.
@@ -380,7 +441,11 @@ def remove_repeats(df: DataFrame, text: str = "text", span: int = SPAN, with_tex
     frame = unclashed(df, ["n_bytes", "n_removed", "n_spans", "kept_sha256", "k1", "k2"])
     keyed = frame.withColumn("_k", text_key(F.col(text))).select("*", "_k.k1", "_k.k2").drop("_k")
     plain = keyed.select("k1", "k2", F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ranges = saved(repeated_ranges(plain, span))
+    if over_words is None:
+        ranges = saved(repeated_ranges(plain, span))
+    else:
+        # so many words and one have a byte each and one between them at least
+        ranges = saved(long_ranges(plain, saved(repeated_ranges(plain, min(span, 2 * over_words + 1))), over_words, span))
     words = key_filter(ranges.select("k1"))
     done = _removed(filtered(plain, words, once=True).join(ranges, ["k1", "k2"])).dropDuplicates(["k1", "k2"])
     body = F.coalesce(F.col(text), F.lit(""))

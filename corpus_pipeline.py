@@ -43,10 +43,14 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return single.unionByName(alone).unionByName(chosen)
 
 
+#: A repeated passage of more words goes, however short they are.
+PASSAGE_WORDS = 50
+
+
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that repeat; all documents stay, an emptied one too."""
+    """Texts without the passages of over 50 words (or of 400 bytes) that repeat; all documents stay, an emptied one too."""
     release(spark)
-    done = suffix_dedup.remove_repeats(docs)
+    done = suffix_dedup.remove_repeats(docs, over_words=PASSAGE_WORDS)
     return _recounted(done, F.col("n_removed") > 0).select(*docs.columns)
 
 

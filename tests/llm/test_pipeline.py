@@ -64,3 +64,12 @@ def test_run_is_the_stages_in_order(spark):
     got, want = C.run(spark, SMALL).select(*same), docs.select(*same)
     assert sorted(got.collect()) == sorted(want.collect())
     assert got.filter(F.col("piece_len") > 0).count() > 0
+
+
+def test_a_passage_of_51_short_words_goes(spark):
+    passage = prose(998, 51)
+    assert len(passage) < 400
+    rows = [(1, prose(70) + " " + passage + " " + prose(71)), (2, prose(72) + " " + passage + " " + prose(73)), (3, prose(74))]
+    docs = spark.createDataFrame([(k, t, "xx", "s", len(t)) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r for r in C.saved(C.unrepeated(spark, docs, SMALL), until_end=True).collect()}
+    assert got[3].text == rows[2][1] and all(passage not in got[k].text and got[k].n_chars == len(got[k].text) for k in (1, 2))

@@ -84,3 +84,16 @@ def test_merged_runs_and_characters():
     assert D.merged([(5, 9), (0, 3), (3, 4), (8, 12)]) == [(0, 4), (5, 12)]
     data = "aéb".encode()
     assert D._whole_characters(data, [(2, 4)]) == [(3, 4)] and D._whole_characters(data, [(2, 3)]) == []
+
+
+def test_passages_of_over_fifty_short_words(spark):
+    """51 short words go, 50 stay, and so do two passages of 30 that only meet; 400 bytes go however few their words."""
+    short = lambda tag, n: " ".join(f"{tag}{k:02d}" for k in range(n))
+    long_one, even, first, second, wide = short("a", 51), short("b", 50), short("c", 30), short("d", 30), " ".join("é" * 10 for _ in range(1, 21))
+    assert len(long_one) < 210 and len(wide.encode()) > 400
+    docs = [(1, f"one {long_one} two"), (2, f"three {long_one} four"), (3, f"five {even} six"), (4, f"seven {even} eight"), (5, f"{first} {second} nine"), (6, f"{first} ten"), (7, f"eleven {second} nine"), (8, f"x {wide}"), (9, f"y {wide}"), (10, None), (11, short("e", 51)), (11, short("e", 51)), (12, short("f", 49)), (12, short("f", 49))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = [(r.doc_id, r.text) for r in D.remove_repeats(df, over_words=50).orderBy("doc_id").collect()]
+    gone = {1: "one  two", 2: "three  four", 8: "x", 9: "y", 11: ""}
+    assert [(k, t and t.strip()) for k, t in got] == [(k, gone.get(k, t)) for k, t in docs]
+    assert all(r.text == dict(docs)[r.doc_id] for r in D.remove_repeats(df).collect() if r.doc_id < 8)
