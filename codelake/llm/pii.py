@@ -74,7 +74,17 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), F.when(span["kind"] >= 2, _digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
-def disclosing_terms(
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(_k, text, spans) of ``docs``, one row for each text key; written, for all counts read it."""
+    return saved(docs.select(text_key(F.col("text")).alias("_k"), "text", "spans").dropDuplicates(["_k"]))
+
+
+def disclosing_terms(docs: DataFrame, **thresholds) -> DataFrame:
+    """The terms of ``docs`` with (text, spans), of whose copies one counts; see ``terms_of_texts``."""
+    return terms_of_texts(distinct_texts(docs), **thresholds)
+
+
+def terms_of_texts(
     docs: DataFrame,
     window_words: int = 8,
     window_chars: int = 160,
@@ -85,14 +95,13 @@ def disclosing_terms(
 ) -> DataFrame:
     """(entity, term, n_texts, share, bits, action) of the terms beyond the thresholds.
 
-    ``docs`` has (text, spans).  A term is a lower-case word of three characters or more
+    ``docs`` has (_k, text, spans), a row for each text.  A term is a lower-case word of three characters or more
     within ``window_words`` words and ``window_chars`` code points of the entity.  ``share``
     is P(entity | term) and ``bits`` log2 of it over P(entity), counted in distinct texts:
     copies of one text prove nothing.  A pair seen in fewer than ``min_texts`` texts is
     left alone.
     """
-    keyed = docs.withColumn("_k", text_key(F.col("text")))
-    near = keyed.filter(F.size("spans") > 0).select("_k", "text", F.explode("spans").alias("s")).select(
+    near = docs.filter(F.size("spans") > 0).select("_k", "text", F.explode("spans").alias("s")).select(
         "_k", _entity(F.col("s")).alias("entity"),
         F.regexp_extract(F.expr(f"substring(text, greatest(1, s.start + 1 - {window_chars}), s.start - greatest(0, s.start - {window_chars}))"), rf"((?:\S+\s+){{0,{window_words}}}\S*)$", 1).alias("before"),
         F.regexp_extract(F.expr(f"substring(text, s.end + 1, {window_chars})"), rf"^(\S*(?:\s+\S+){{0,{window_words}}})", 1).alias("after"))
@@ -103,9 +112,8 @@ def disclosing_terms(
     )
     together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_texts")).filter(F.col("n_texts") >= min_texts)
     together = saved(together)
-    entity_texts = keyed.filter(F.size("spans") > 0).select("_k", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    entity_texts = docs.filter(F.size("spans") > 0).select(F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     # Each text's words are counted once and summed per task before the shuffle, so what moves is a task's vocabulary.
-    # Copies count here: that only lowers a term's share.
     # Written, or Spark would join every word of every text before counting.
     term_texts = saved(
         docs.select(F.explode(F.array_distinct(words(F.coalesce("text", F.lit(""))))).alias("term"))
@@ -137,7 +145,8 @@ def find_pii(df: DataFrame, text: str = "text", **thresholds) -> DataFrame:
     replaced.
     """
     frame = unclashed(df, ["base", "spans", "_k", "_terms"]).withColumn("base", base_spans(F.col(text)))
-    terms = saved(disclosing_terms(frame.select(F.col(text).alias("text"), F.col("base").alias("spans")), **thresholds))
+    texts = distinct_texts(frame.select(F.col(text).alias("text"), F.col("base").alias("spans")))
+    terms = saved(terms_of_texts(texts, **thresholds))
     clean = frame.filter(F.size("base") == 0).withColumn("spans", F.col("base"))
     found = frame.filter(F.size("base") > 0).withColumn("_k", text_key(F.col(text)))
     # Only texts with an entity meet the terms; a text's terms are bounded by its entities' windows.

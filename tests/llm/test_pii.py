@@ -78,3 +78,17 @@ def test_written_spans_and_replacement(spark):
     names = [k for k, _ in KINDS]
     assert row.w == ",".join(f"{names[k]}:{a}:{b}" for a, k, b in plain(text))
     assert row.c == "[EMAIL] [CARD] +[CARD]"
+
+
+def terms_of(spark, texts, **thresholds):
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    return {(r.entity, r.term): r for r in P.disclosing_terms(df.select("text", P.base_spans(F.col("text")).alias("spans")), **thresholds).collect()}
+
+
+def test_copies_change_no_count(spark):
+    """Four texts of a term with three copies each give what they give once, and so do many copies elsewhere."""
+    texts = [f"memo {k} quillon wrote to x@y.example" for k in range(4)] + [f"idle talk {k}" for k in range(96)]
+    once = terms_of(spark, texts)
+    assert once["0:x@y.example", "quillon"].share == 1.0 and abs(once["0:x@y.example", "quillon"].bits - 4.643856) < 1e-5
+    assert terms_of(spark, texts[:4] * 3 + texts[4:]) == once
+    assert terms_of(spark, texts + texts[4:5] * 500) == once
