@@ -27,6 +27,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 TERM = r"[\p{L}\p{N}]+"
+FILTER_BITS = 18
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 NO_SPANS = f"array() as {SPAN}"
 
@@ -74,6 +75,29 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), F.when(span["kind"] >= 2, _digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+
+
+def _maybe(keys: DataFrame):
+    """Tests whether a long may be among ``keys``: a bitmap of 2**18 bits, whatever their number.
+
+    More keys make it let more through, never less; the join behind it decides.
+    """
+    place = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    rows = keys.select(place.alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).collect()
+    bits = {r.word: r.bits for r in rows}
+    # one constant when folded
+    table = F.split(F.lit(",".join(str(bits.get(k, 0)) for k in range(1 << FILTER_BITS - 6))), ",").cast("array<bigint>")
+
+    def test(key: Column) -> Column:
+        at = key.bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+        word = F.get(table, F.shiftright(at, 6).cast("int"))
+        return F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return test
+
+
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """(_k, text, spans) of ``docs``, one row for each text key; written, for all counts read it."""
     return saved(docs.select(text_key(F.col("text")).alias("_k"), "text", "spans").dropDuplicates(["_k"]))
@@ -105,9 +129,8 @@ def terms_of_texts(
         "_k", _entity(F.col("s")).alias("entity"),
         F.regexp_extract(F.expr(f"substring(text, greatest(1, s.start + 1 - {window_chars}), s.start - greatest(0, s.start - {window_chars}))"), rf"((?:\S+\s+){{0,{window_words}}}\S*)$", 1).alias("before"),
         F.regexp_extract(F.expr(f"substring(text, s.end + 1, {window_chars})"), rf"^(\S*(?:\s+\S+){{0,{window_words}}})", 1).alias("after"))
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
     pairs = (
-        near.select("_k", "entity", F.explode(F.array_distinct(F.concat(words(F.col("before")), words(F.col("after"))))).alias("term"))
+        near.select("_k", "entity", F.explode(F.array_distinct(F.concat(_words(F.col("before")), _words(F.col("after"))))).alias("term"))
         .filter((F.length("term") >= 3) & ~F.regexp_like("term", F.lit("^[0-9]+$"))).distinct()
     )
     together = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_texts")).filter(F.col("n_texts") >= min_texts)
@@ -116,7 +139,7 @@ def terms_of_texts(
     # Each text's words are counted once and summed per task before the shuffle, so what moves is a task's vocabulary.
     # Written, or Spark would join every word of every text before counting.
     term_texts = saved(
-        docs.select(F.explode(F.array_distinct(words(F.coalesce("text", F.lit(""))))).alias("term"))
+        docs.select(F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("term"))
         .groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     )
     total = docs.count()
@@ -139,24 +162,24 @@ def find_pii(df: DataFrame, text: str = "text", **thresholds) -> DataFrame:
     """All rows with ``base`` and ``spans``: arrays of (start, kind, end, value) in code points.
 
     Kinds 0 to 3 are the base kinds in their order, 4 a term to generalise, 5 one to
-    remove.  ``spans`` holds the base spans and every place of a disclosing term in the
-    texts that hold its entity, other than inside a base span.  A null or empty text has
-    none.  Repeated rows get the same spans and stay.  Columns named base or spans are
-    replaced.
+    remove.  ``spans`` holds the base spans and every place of a disclosing term in any
+    text, with its entity or without, other than inside a base span.  A term that is one to
+    remove for any entity is removed everywhere.  A null or empty text has none.  Repeated
+    rows get the same spans and stay.  Columns named base or spans are replaced.
     """
     frame = unclashed(df, ["base", "spans", "_k", "_terms"]).withColumn("base", base_spans(F.col(text)))
     texts = distinct_texts(frame.select(F.col(text).alias("text"), F.col("base").alias("spans")))
     terms = saved(terms_of_texts(texts, **thresholds))
-    clean = frame.filter(F.size("base") == 0).withColumn("spans", F.col("base"))
-    found = frame.filter(F.size("base") > 0).withColumn("_k", text_key(F.col(text)))
-    # Only texts with an entity meet the terms; a text's terms are bounded by its entities' windows.
-    held = found.select("_k", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity")).distinct()
-    own = (
-        held.join(terms.select("entity", "term", "action"), "entity")
-        .groupBy("_k", "term").agg(F.max("action").alias("action"))
-        .groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("term", "action"))).alias("_terms"))
-    )
-    marked = found.join(own, "_k", "left")
+    keyed = frame.withColumn("_k", text_key(F.col(text)))
+    actions = saved(terms.groupBy("term").agg(F.max("action").alias("action")))
+    # Only words that may be terms travel; both sides are written, so that a hot term can be split.
+    term_words = _maybe(actions.select(F.xxhash64("term").alias("key")))
+    candidates = saved(texts.select("_k", F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("term")).filter(term_words(F.xxhash64("term"))))
+    own = saved(candidates.join(actions, "term").groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("term", "action"))).alias("_terms")))
+    # Rows whose text surely holds no term pass without a shuffle.
+    met = _maybe(own.select(F.col("_k.k1").alias("key")))
+    clean = keyed.filter(~met(F.col("_k.k1"))).withColumn("spans", F.col("base")).drop("_k")
+    marked = keyed.filter(met(F.col("_k.k1"))).join(own, "_k", "left")
 
     def of(action: str, kind: int) -> Column:
         chosen = F.transform(F.filter("_terms", lambda t: t["action"] == action), lambda t: t["term"])

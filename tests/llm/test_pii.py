@@ -92,3 +92,14 @@ def test_copies_change_no_count(spark):
     assert once["0:x@y.example", "quillon"].share == 1.0 and abs(once["0:x@y.example", "quillon"].bits - 4.643856) < 1e-5
     assert terms_of(spark, texts[:4] * 3 + texts[4:]) == once
     assert terms_of(spark, texts + texts[4:5] * 500) == once
+
+
+def test_terms_go_where_the_entity_is_not(spark):
+    """A term beyond the thresholds is marked in every text, whatever its case, and nothing else is."""
+    texts = [f"memo {k} quillon wrote to x@y.example" for k in range(4)] + ["Ask QUILLON, not quillons", "Ask Quillon", None, ""] + [f"idle talk {k}" for k in range(96)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, texts[4]])], "doc_id bigint, text string")
+    got = P.find_pii(df).withColumn("clean", P.sanitised(F.col("text"), F.col("spans"))).orderBy("doc_id").collect()
+    assert len(got) == len(texts) + 1 and got[4].clean == got[-1].clean == "Ask [TERM], not quillons" and got[5].clean == "Ask [TERM]"
+    assert all("quillon" not in r.clean and "[EMAIL]" in r.clean for r in got[:4])
+    assert all(r.clean == r.text and not r.spans for r in got[6:-1])
+    assert P.find_pii(df.limit(0)).count() == 0
