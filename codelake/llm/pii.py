@@ -115,6 +115,7 @@ def terms_of_texts(
     min_texts: int = 3,
     min_share: float = 0.5,
     min_bits: float = 4.0,
+    min_bits_part: float = 0.8,
     remove_share: float = 0.9,
 ) -> DataFrame:
     """(entity, term, n_texts, share, bits, action) of the terms beyond the thresholds.
@@ -122,8 +123,11 @@ def terms_of_texts(
     ``docs`` has (_k, text, spans), a row for each text.  A term is a lower-case word of three characters or more
     within ``window_words`` words and ``window_chars`` code points of the entity.  ``share``
     is P(entity | term) and ``bits`` log2 of it over P(entity), counted in distinct texts:
-    copies of one text prove nothing.  A pair seen in fewer than ``min_texts`` texts is
-    left alone.
+    copies of one text prove nothing.  The least is ``min_bits``, or ``min_bits_part`` of
+    the entity's own bits, -log2 P(entity), where that is less: no term adds more than
+    those, so a common entity's terms could never reach ``min_bits``.  A term that adds
+    nothing, as every term of an entity in all texts, and a pair seen in fewer than
+    ``min_texts`` texts are left alone.
     """
     near = docs.filter(F.size("spans") > 0).select("_k", "text", F.explode("spans").alias("s")).select(
         "_k", _entity(F.col("s")).alias("entity"),
@@ -148,7 +152,8 @@ def terms_of_texts(
         together.join(entity_texts, "entity").join(term_texts, "term")
         .withColumn("share", share)
         .withColumn("bits", F.log2(F.col("share") * F.lit(float(max(1, total))) / F.col("n_entity")))
-        .filter((F.col("share") >= min_share) & (F.col("bits") >= min_bits))
+        .withColumn("least", F.least(F.lit(min_bits), F.lit(min_bits_part) * F.log2(F.lit(float(max(1, total))) / F.col("n_entity"))))
+        .filter((F.col("share") >= min_share) & (F.col("bits") > 0) & (F.col("bits") >= F.col("least")))
         .select("entity", "term", "n_texts", "share", "bits", F.when(F.col("share") >= remove_share, "remove").otherwise("generalise").alias("action"))
     )
 

@@ -103,3 +103,14 @@ def test_terms_go_where_the_entity_is_not(spark):
     assert all("quillon" not in r.clean and "[EMAIL]" in r.clean for r in got[:4])
     assert all(r.clean == r.text and not r.spans for r in got[6:-1])
     assert P.find_pii(df.limit(0)).count() == 0
+
+
+def test_terms_of_a_common_entity(spark):
+    """An address in a third of the texts: what only ever stands by it goes, common words stay; in all texts nothing is told."""
+    hot = [f"memo {k} the quillon desk: x@y.example" for k in range(40)]
+    texts = hot + [f"idle talk {k} of the desk" for k in range(80)]
+    found = terms_of(spark, texts)
+    assert {t for _, t in found} == {"memo", "quillon"} and all(r.action == "remove" and abs(r.bits - 1.5849625) < 1e-5 for r in found.values())
+    # 40 of 54 texts: over half, but under 0.8 of the entity's bits
+    assert {t for _, t in terms_of(spark, texts + [f"quillon {k}" for k in range(14)])} == {"memo"}
+    assert terms_of(spark, hot) == {}
