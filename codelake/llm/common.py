@@ -47,6 +47,20 @@ def release(spark: SparkSession) -> None:
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def written_so_far(spark: SparkSession) -> int:
+    """How many tables ``saved`` has that ``release`` would delete."""
+    return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def release_inner(spark: SparkSession, first: int) -> None:
+    """Delete what ``saved`` has written from the table number ``first`` on, other than the last."""
+    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    for path in paths[first:-1]:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    paths[first:-1] = []
+
+
 def text_key(text: Column) -> Column:
     """A 128-bit name of a text as two longs; null counts as the empty text."""
     text = F.coalesce(text, F.lit(""))

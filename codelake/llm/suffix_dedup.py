@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm.common import _BYTE, SPACE, _powers, flat, hash_segments, mix, saved, segments, slices, table, text_key, unclashed
+from codelake.llm.common import _BYTE, SPACE, _powers, flat, hash_segments, mix, release_inner, saved, segments, slices, table, text_key, unclashed, written_so_far
 from codelake.llm.registry import query
 from codelake.llm.suffix_array import SEPARATOR, _prefix_sums, closed, permuted_common_prefixes, suffix_array
 
@@ -317,7 +317,7 @@ def repeated_ranges(keyed: DataFrame, span: int = SPAN, per_shard: int | None =
 # ---------------------------------------------------------------- passages of many words
 
 
-PASSAGE = "h bigint, k1 bigint, k2 bigint, place bigint, several boolean, start int, end int"
+PASSAGE = "h bigint, k1 bigint, k2 bigint, several boolean, start int, end int"
 
 
 def passages(data: np.ndarray, runs: list[tuple[int, int]], over_words: int, span: int):
@@ -358,16 +358,15 @@ def long_ranges(keyed: DataFrame, ranges: DataFrame, over_words: int, span: int
                     starts, ends = passages(data, merged([(r["start"], r["end"]) for r in spans]), over_words, span)
                     if not len(starts):
                         continue
-                    key = np.uint64(k1 & (1 << 64) - 1) ^ mix(np.array([k2 & (1 << 64) - 1], np.uint64))
-                    place = mix(mix(starts.astype(np.uint64)) + key)
                     same = [np.full(len(starts), x) for x in (np.int64(k1), np.int64(k2), bool(several))]
-                    columns = [hash_segments(data, starts, ends).view(np.int64), *same[:2], place.view(np.int64), same[2], starts.astype(np.int32), ends.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "k1", "k2", "place", "several", "start", "end"])
+                    columns = [hash_segments(data, starts, ends).view(np.int64), *same, starts.astype(np.int32), ends.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "k1", "k2", "several", "start", "end"])
 
     found = saved(filtered(keyed, key_filter(marked.select("k1")), once=True).join(marked, ["k1", "k2"]).mapInArrow(run, PASSAGE))
     # written, so that the join below can split a hot passage
-    twice = saved(found.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.max("several").alias("several")).filter("a <> b OR several").select("h"))
-    return found.join(twice, "h").select("k1", "k2", "start", "end").distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    place = F.xxhash64("k1", "k2", "start")
+    twice = saved(found.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("several").alias("several")).filter("a <> b OR several").select("h"))
+    return found.join(twice, "h").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
 
 # ---------------------------------------------------------------- removal
@@ -445,7 +444,11 @@ def remove_repeats(df: DataFrame, text: str = "text", span: int = SPAN, with_tex
         ranges = saved(repeated_ranges(plain, span))
     else:
         # so many words and one have a byte each and one between them at least
-        ranges = saved(long_ranges(plain, saved(repeated_ranges(plain, min(span, 2 * over_words + 1))), over_words, span))
+        spark, first = df.sparkSession, written_so_far(df.sparkSession)
+        ranges = saved(repeated_ranges(plain, min(span, 2 * over_words + 1)))
+        release_inner(spark, first)
+        ranges = saved(long_ranges(plain, ranges, over_words, span))
+        release_inner(spark, first)
     words = key_filter(ranges.select("k1"))
     done = _removed(filtered(plain, words, once=True).join(ranges, ["k1", "k2"])).dropDuplicates(["k1", "k2"])
     body = F.coalesce(F.col(text), F.lit(""))
