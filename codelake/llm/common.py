@@ -142,12 +142,31 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+#: A running polynomial modulo 2**64 repeats itself on long regular strings, so it hashes blocks of so many bytes.
+HASHED_BYTES = 32
+
+
 def hash_segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges: differences of one running polynomial."""
+    """64-bit hashes of byte ranges: those of blocks, scrambled with their place and added up."""
     power, inverse = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+
+    def blocks(a, b):
+        return mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
+
+    size = ends - starts
+    out = blocks(starts, np.minimum(starts + HASHED_BYTES, ends))
+    long = np.flatnonzero(size > HASHED_BYTES)
+    if len(long):
+        more = -(-size[long] // HASHED_BYTES) - 1
+        first = np.cumsum(more) - more
+        place = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        a = np.repeat(starts[long], more) + HASHED_BYTES * place
+        h = blocks(a, np.minimum(a + HASHED_BYTES, np.repeat(ends[long], more)))
+        rest = np.add.reduceat(mix(h ^ mix(place.astype(np.uint64) * _ODD)), first)
+        out[long] = mix(out[long] + mix(rest) + size[long].astype(np.uint64))
+    return out
 
 
 def windows(hashes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
