@@ -11,6 +11,7 @@ from codelake.operators import joins as J
 from codelake.operators import similarity as S
 from codelake.operators import vectors as V
 from codelake.operators.slices import id_slice
+from codelake.session import stored
 from codelake.plans.registry import query
 from codelake.sources import sinks
 
@@ -235,6 +236,14 @@ def _queries(t):
     )
 
 
+NLIST = 16
+
+
+def _cells(t):
+    """The stored index of all chunks: written once, searched by every query of the session."""
+    return stored(t.spark, "cells", f"{t.folder}/embeddings.parquet", lambda: V.build_cells(t.chunks, NLIST))
+
+
 TOPK_SQL = """hits AS (SELECT query_id, vec_id, path, row_number() OVER (PARTITION BY query_id
       ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv) DESC, vec_id) AS rank FROM q, chunks WHERE {0} QUALIFY rank <= {1})"""
 
@@ -242,12 +251,19 @@ TOPK_SQL = """hits AS (SELECT query_id, vec_id, path, row_number() OVER (PARTITI
 @query("jn9_vector_topk", f"""WITH {QUERIES_SQL}, {TOPK_SQL.format("doc_type IN ('DOCUMENTATION', 'SOURCE_CODE') AND (project_id IS NULL OR project_id = 'p1')", 10)}
     SELECT query_id, vec_id, rank FROM hits""", "chunks")
 def _(t):
-    return V.vector_topk(_queries(t), t.chunks, 10, ["DOCUMENTATION", "SOURCE_CODE"], "p1").select("query_id", "vec_id", "rank")
+    return V.vector_topk(_queries(t), _cells(t), 10, ["DOCUMENTATION", "SOURCE_CODE"], "p1").select("query_id", "vec_id", "rank")
 
 
 @query("jn10_ann_topk")
 def _(t):
-    return V.ann_topk(_queries(t), t.chunks, 10, nlist=16, nprobe=6, types=["DOCUMENTATION", "SOURCE_CODE"], project="p1").select("query_id", "vec_id", "rank")
+    return V.ann_topk(_queries(t), _cells(t), 10, nlist=NLIST, nprobe=6, types=["DOCUMENTATION", "SOURCE_CODE"], project="p1").select("query_id", "vec_id", "rank")
+
+
+@query("jn10_ann_all_cells", f"""WITH {QUERIES_SQL}, {TOPK_SQL.format("doc_type IN ('DOCUMENTATION', 'SOURCE_CODE') AND (project_id IS NULL OR project_id = 'p1')", 10)}
+    SELECT query_id, vec_id, rank FROM hits""", "chunks")
+def _(t):
+    """With every cell probed the approximate search is exact."""
+    return V.ann_topk(_queries(t), _cells(t), 10, nlist=NLIST, nprobe=NLIST, types=["DOCUMENTATION", "SOURCE_CODE"], project="p1").select("query_id", "vec_id", "rank")
 
 
 def _sited(t):
@@ -261,7 +277,7 @@ def _sited(t):
     WHERE NOT contains(lower(h.path), 'example.com') AND NOT contains(lower(coalesce(url, '')), 'example.com')
     QUALIFY r <= 3""", "chunks")
 def _(t):
-    return V.retrieve(_queries(t), _sited(t), 3, "example.com", ["DOCUMENTATION"]).select("query_id", "vec_id", F.col("rank").alias("r"))
+    return V.retrieve(_queries(t), _sited(t), 3, "example.com", ["DOCUMENTATION"], index=_cells(t)).select("query_id", "vec_id", F.col("rank").alias("r"))
 
 
 @query("jn12_provenance", f"""WITH {QUERIES_SQL}, {TOPK_SQL.format("doc_type = 'DOCUMENTATION' AND project_id IS NULL", 3)}
@@ -269,7 +285,7 @@ def _(t):
         CASE WHEN length(text) > 400 THEN left(text, 400) || '...' ELSE coalesce(text, '') END, '#' ORDER BY rank) AS sources
     FROM hits h LEFT JOIN pages ON page_id = h.vec_id LEFT JOIN documents ON doc_id = h.vec_id GROUP BY query_id""", "chunks")
 def _(t):
-    hits = V.vector_topk(_queries(t), t.chunks, 3, ["DOCUMENTATION"])
+    hits = V.vector_topk(_queries(t), _cells(t), 3, ["DOCUMENTATION"])
     texts = _sited(t).select("vec_id", "path", "source_url").join(t.documents.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
     joined = F.array_join(F.transform("sources", lambda s: F.concat_ws("|", s["path"], s["url"], s["snippet"])), "#")
     return V.provenance(hits, texts).select("query_id", joined.alias("sources"))

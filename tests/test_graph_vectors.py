@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from codelake.operators import graph as G
@@ -86,3 +88,62 @@ def test_plans(spark):
     for name in ("wn8_failure_streak", "jn15_match_paths", "jn3_prefix_lookup", "cp4_search", "wn13_rolling_failure"):
         text = plan(QUERIES[name](spark, SMALL))
         assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def recall(spark, rows_, queries, k=10, nlist=32, nprobe=8):
+    df = spark.createDataFrame(rows_, "vec_id bigint, doc_type string, project_id string, embedding array<float>")
+    q = spark.createDataFrame(queries, "query_id bigint, embedding array<float>")
+    cells = V.build_cells(df, nlist)
+    exact = set(rows(V.vector_topk(q, cells, k, ["D"]), "query_id", "vec_id"))
+    near = set(rows(V.ann_topk(q, cells, k, nlist, nprobe, ["D"]), "query_id", "vec_id"))
+    return cells, q, exact, len(exact & near) / max(1, len(exact))
+
+
+def test_stored_cells(spark):
+    """Exact search equals numpy, approximate recall is at least 0.9, crowded cells and many queries are dealt out."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(20, 16))
+    vectors = (centres[rng.integers(0, 20, 3000)] + 0.4 * rng.normal(size=(3000, 16))).astype(np.float32)
+    vectors[:5] = 0
+    vectors[5:9] = vectors[9]
+    kept = [(k, "D" if k % 3 else "E", "p" if k % 7 == 0 else None, v.tolist()) for k, v in enumerate(vectors)] + [(9000, "D", None, None)]
+    asked = [(k, (vectors[k * 10 + 7] + 0.2 * rng.normal(size=16)).astype(np.float32).tolist()) for k in range(200)] + [(500, None), (501, [0.0] * 16)]
+    cells, q, exact, share = recall(spark, kept, asked)
+    assert share >= 0.9
+    seen = np.array([k for k in range(3000) if k % 3 and k % 7 and k >= 5])
+    unit = vectors[seen].astype(float) / np.linalg.norm(vectors[seen].astype(float), axis=1, keepdims=True)
+    want = set()
+    for i, v in asked[:200]:
+        s = unit @ (np.array(v) / np.linalg.norm(v))
+        want |= {(i, int(seen[j])) for j in np.lexsort((seen, -s))[:10]}
+    assert len(exact) == 2000 and len(exact ^ want) <= 4  # ties by rounding
+    every = set(rows(V.ann_topk(q, cells, 10, 32, 32, ["D"]), "query_id", "vec_id"))
+    assert every == exact
+    sliced, V.SLICE_ROWS = V.SLICE_ROWS, 20
+    try:
+        assert set(rows(V.vector_topk(q, cells, 10, ["D"], block=3), "query_id", "vec_id")) == exact
+    finally:
+        V.SLICE_ROWS = sliced
+    few = V.vector_topk(q, cells, 10, ["D", "E"], "p")
+    assert few.count() == 2000
+    assert set(rows(V.vector_topk(q, V.open_cells(spark, cells.path), 10, ["D"]), "query_id", "vec_id")) == exact
+    more = spark.createDataFrame([(7000 + k, "D", None, v) for k, (_, v) in enumerate(asked[:3])], "vec_id bigint, doc_type string, project_id string, embedding array<float>")
+    best = rows(V.vector_topk(q, cells.add(more), 1, ["D"]).filter("query_id < 3"), "query_id", "vec_id")
+    assert best == [(0, 7000), (1, 7001), (2, 7002)]
+
+
+def test_search_reads_only_probed_cells(spark):
+    t = Tables(spark, SMALL)
+    cells = V.build_cells(t.chunks, 16)
+    q = t.chunks.filter("vec_id = 3").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = V.ann_topk(q, cells, 5, 16, 2, ["DOCUMENTATION", "SOURCE_CODE"])
+    hits.collect()
+    text = plan(hits)
+    assert "dynamicpruning" in text and "PartitionFilters: [isnotnull(cell" in text
+    assert "PushedFilters: [In(doc_type" in text
+
+
+def test_no_neighbours_without_vectors(spark):
+    df = spark.createDataFrame([], "vec_id bigint, doc_type string, project_id string, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id bigint, embedding array<float>")
+    assert V.vector_topk(q, df, 3, ["D"]).count() == 0
