@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelake.llm import language_id, ngram_join, packing, pii, suffix_dedup
-from codelake.llm.common import release, saved, table, text_key
+from codelake.llm.common import apart, release, saved, table, text_key
 from codelake.llm.registry import query
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those that the model rejects go, null and letterless texts among them."""
     release(spark)
-    return language_id.identify(docs).filter(~F.col("rejected")).select(*docs.columns)
+    rows, restored = apart(docs, ["doc_id", "text", "lang"])
+    return restored(language_id.identify(rows).filter(~F.col("rejected")).select(*rows.columns))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,6 +28,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Texts without words are in no group and all stay.
     """
     release(spark)
+    docs, restored = apart(docs, ["doc_id", "text"])
     keyed = docs.withColumn("_k", text_key(F.col("text"))).select("*", "_k.k1", "_k.k2").drop("_k")
     light = saved(ngram_join.near_duplicates(keyed.select("doc_id", "text", F.col("k1").alias("t1"), F.col("k2").alias("t2"))))
     groups = light.filter("group_key IS NOT NULL").groupBy("group_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group_key")
@@ -40,7 +42,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     chosen = met.filter("group_key IS NOT NULL").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
     parts = (single, met.filter("group_key IS NULL"), chosen)
     single, alone, chosen = (p.select(*docs.columns) for p in parts)
-    return single.unionByName(alone).unionByName(chosen)
+    return restored(single.unionByName(alone).unionByName(chosen))
 
 
 #: A repeated passage of more words goes, however short they are.
@@ -50,15 +52,17 @@ PASSAGE_WORDS = 50
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of over 50 words (or of 400 bytes) that repeat; all documents stay, an emptied one too."""
     release(spark)
-    done = suffix_dedup.remove_repeats(docs, over_words=PASSAGE_WORDS)
-    return _recounted(done, F.col("n_removed") > 0).select(*docs.columns)
+    rows, restored = apart(docs, ["text", "n_chars"])
+    done = suffix_dedup.remove_repeats(rows, over_words=PASSAGE_WORDS)
+    return restored(_recounted(done, F.col("n_removed") > 0).select(*rows.columns))
 
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data and disclosing terms replaced; all documents stay."""
     release(spark)
-    found = pii.find_pii(docs).withColumn("text", pii.sanitised(F.col("text"), F.col("spans")))
-    return _recounted(found, F.size("spans") > 0).select(*docs.columns)
+    rows, restored = apart(docs, ["text", "n_chars"])
+    found = pii.find_pii(rows).withColumn("text", pii.sanitised(F.col("text"), F.col("spans")))
+    return restored(_recounted(found, F.size("spans") > 0).select(*rows.columns))
 
 
 def _recounted(docs: DataFrame, changed) -> DataFrame:
