@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm.common import mix, output, saved, slices, table, unclashed
+from codelake.llm.common import extended, mix, output, saved, slices, table, unclashed
 from codelake.llm.linking import components, labels
 from codelake.llm.ngram_join import _sets_of, set_id, shingle_sets
 from codelake.llm.order import attached, placed
@@ -81,8 +81,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                     signature[k] = row.tobytes()
                 yield output(part, ["row"], k1=pa.array(names, pa.int64()), n_shingles=pa.array([len(s) for s in sets], pa.int64()), signature=pa.array(signature, pa.binary()))
 
-    row = docs.schema["row"].dataType.simpleString()
-    return docs.select("row", "text").mapInArrow(run, f"row {row}, k1 bigint, n_shingles bigint, signature binary")
+    return docs.select("row", "text").mapInArrow(run, extended(docs.select("row"), "k1 bigint, n_shingles bigint, signature binary"))
 
 
 # ---------------------------------------------------------------- the forest

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm.common import saved, table, text_key, unclashed
+from codelake.llm.common import apart, saved, table, text_key, unclashed
 from codelake.llm.registry import query
 
 KINDS = ("email", "ip", "card", "phone")
@@ -172,7 +172,8 @@ def find_pii(df: DataFrame, text: str = "text", **thresholds) -> DataFrame:
     remove for any entity is removed everywhere.  A null or empty text has none.  Repeated
     rows get the same spans and stay.  Columns named base or spans are replaced.
     """
-    frame = unclashed(df, ["base", "spans", "_k", "_terms"]).withColumn("base", base_spans(F.col(text)))
+    frame, restored = apart(unclashed(df, ["base", "spans"]), [text])
+    frame = frame.withColumn("base", base_spans(F.col(text)))
     texts = distinct_texts(frame.select(F.col(text).alias("text"), F.col("base").alias("spans")))
     terms = saved(terms_of_texts(texts, **thresholds))
     keyed = frame.withColumn("_k", text_key(F.col(text)))
@@ -194,7 +195,7 @@ def find_pii(df: DataFrame, text: str = "text", **thresholds) -> DataFrame:
     terms_at = F.when(F.col("_terms").isNotNull(), F.concat(of("generalise", GENERALISE), of("remove", REMOVE))).otherwise(F.array().cast(SPAN))
     outside = F.filter(terms_at, lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
     marked = marked.withColumn("spans", F.array_sort(F.concat("base", outside)))
-    return clean.unionByName(marked.select(*clean.columns))
+    return restored(clean.unionByName(marked.select(*clean.columns)).drop("_terms"))
 
 
 def written(spans: Column) -> Column:

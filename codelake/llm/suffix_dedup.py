@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm.common import _BYTE, SPACE, _powers, flat, hash_segments, mix, release_inner, saved, segments, slices, table, text_key, unclashed, written_so_far
+from codelake.llm.common import SPACE, _BYTE, _powers, apart, flat, hash_segments, mix, release_inner, saved, segments, slices, table, text_key, unclashed, written_so_far
 from codelake.llm.registry import query
 from codelake.llm.suffix_array import SEPARATOR, _prefix_sums, closed, permuted_common_prefixes, suffix_array
 
@@ -437,7 +437,7 @@ def remove_repeats(df: DataFrame, text: str = "text", span: int = SPAN, with_tex
     ``span`` bytes stay whole, copies too; longer copies lose everything.  An empty table
     gives an empty one.  Columns with the new names are replaced.
     """
-    frame = unclashed(df, ["n_bytes", "n_removed", "n_spans", "kept_sha256", "k1", "k2"])
+    frame, restored = apart(unclashed(df, ["n_bytes", "n_removed", "n_spans", "kept_sha256"]), [text])
     keyed = frame.withColumn("_k", text_key(F.col(text))).select("*", "_k.k1", "_k.k2").drop("_k")
     plain = keyed.select("k1", "k2", F.coalesce(F.col(text), F.lit("")).alias("text"))
     if over_words is None:
@@ -455,16 +455,16 @@ def remove_repeats(df: DataFrame, text: str = "text", span: int = SPAN, with_tex
     if not with_text:
         rows = keyed.withColumns({"n_bytes": F.octet_length(body).cast("bigint"), "_whole": F.sha2(body, 256)}).drop(text)
         out = rows.join(saved(done.drop("kept")), ["k1", "k2"], "left")
-        return out.withColumns({
+        return restored(out.withColumns({
             "n_removed": F.coalesce("n_removed", F.lit(0).cast("bigint")), "n_spans": F.coalesce("n_spans", F.lit(0).cast("bigint")),
-            "kept_sha256": F.coalesce("kept_sha256", "_whole")}).drop("k1", "k2", "_whole")
+            "kept_sha256": F.coalesce("kept_sha256", "_whole")}).drop("k1", "k2", "_whole"))
     # only rows that may have lost something meet the results; the others pass without a shuffle
     passed = filtered(keyed, words, keep=False).withColumns({
         "n_bytes": F.octet_length(body).cast("bigint"), "n_removed": F.lit(0).cast("bigint"), "n_spans": F.lit(0).cast("bigint"), "kept_sha256": F.sha2(body, 256)})
     met = filtered(keyed, words).join(done, ["k1", "k2"], "left").withColumns({
         "n_bytes": F.octet_length(body).cast("bigint"), "n_removed": F.coalesce("n_removed", F.lit(0).cast("bigint")), "n_spans": F.coalesce("n_spans", F.lit(0).cast("bigint")),
         "kept_sha256": F.coalesce("kept_sha256", F.sha2(body, 256)), text: F.coalesce("kept", text)})
-    return passed.unionByName(met.drop("kept").select(*passed.columns)).drop("k1", "k2")
+    return restored(passed.unionByName(met.drop("kept").select(*passed.columns)).drop("k1", "k2"))
 
 
 @query("op3_suffix_dedup")

@@ -55,9 +55,9 @@ def docs_of(seed):
             (404, "one two"), (405, "ONE  two"), (406, "two one"), (407, long), (408, long + " more"), (409, "É x"), (410, "é x")]
 
 
-@pytest.mark.parametrize("seed, sizes", [(3, {}), (3, {"index_sets": 5, "query_sets": 7})])
+@pytest.mark.parametrize("seed, sizes", [(3, {}), (3, {"index_shingles": 300, "query_shingles": 500})])
 def test_components(spark, seed, sizes):
-    """With five sets in an index almost every cluster is searched in slices."""
+    """With few shingles in an index almost every cluster is searched in slices."""
     docs = docs_of(seed)
     df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("K1", F.lit("old"))
     got = N.near_duplicates(df, **sizes).collect()

@@ -73,3 +73,15 @@ def test_a_passage_of_51_short_words_goes(spark):
     docs = spark.createDataFrame([(k, t, "xx", "s", len(t)) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = {r.doc_id: r for r in C.saved(C.unrepeated(spark, docs, SMALL), until_end=True).collect()}
     assert got[3].text == rows[2][1] and all(passage not in got[k].text and got[k].n_chars == len(got[k].text) for k in (1, 2))
+
+
+def test_columns_with_inner_names_pass_all_stages(spark):
+    names = ["k1", "k2", "kept", "_k", "_terms", "group_key", "rejected", "n_removed", "base", "spans", "score", "_n"]
+    docs = fixture(spark)[0]
+    for c in names:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    for _, stage in C.STAGES[:-1]:
+        before, docs = docs.columns, C.saved(stage(spark, docs, SMALL), until_end=True)
+        assert docs.columns == before
+    rows = docs.collect()
+    assert len(rows) == 44 and all(r[c] == f"{c}{'' if r.doc_id is None else r.doc_id}" for r in rows for c in names)
