@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -73,6 +74,8 @@ def lower_ascii(text: Column) -> Column:
 
 # ---------------------------------------------------------------- texts as flat byte arrays
 
+_LIBC = ctypes.CDLL(None)
+
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts hold about ``max_bytes`` together; a longer text is a run of its own."""
@@ -186,6 +189,14 @@ def spread(docs: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(docs, minlength=n).astype(np.int64)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers wait for later stages beside other tasks."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(_LIBC, "malloc_trim", None)
+    if free is not None:
+        free(0)
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -205,3 +216,19 @@ def unclashed(df: DataFrame, names: list[str]) -> DataFrame:
 def extended(df: DataFrame, more: str, without: tuple[str, ...] = ()) -> T.StructType:
     """The schema of a table, less some columns, with those of a DDL string behind it."""
     return T.StructType([f for f in df.schema.fields if f.name not in without] + T._parse_datatype_string(more).fields)
+
+
+def apart(df: DataFrame, own: list[str]):
+    """The table with neutral names for all columns but ``own``, and what gives a result its names back.
+
+    Inner columns of an operator can't clash with the input's then; the result has the
+    input's columns, as far as it still has them, and the new ones behind.
+    """
+    inner = {c: c if c in own else f"__column_{k}" for k, c in enumerate(df.columns)}
+
+    def restored(out: DataFrame) -> DataFrame:
+        held = [(c, n) for c, n in inner.items() if n in out.columns]
+        new = [c for c in out.columns if c not in inner.values()]
+        return out.select(*[F.col(n).alias(c) for c, n in held], *new)
+
+    return df.select([F.col(f"`{c}`").alias(n) for c, n in inner.items()]), restored
