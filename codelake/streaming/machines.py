@@ -2,7 +2,9 @@
 
 A machine has ``inputs`` (column names it reads after ``ts_ms``), ``outputs`` (its
 result columns), ``start()`` giving a JSON-able state, and ``step(state, ts_ms, *inputs)``
-that updates the state in place and returns the output values.
+that updates the state in place and returns the output values.  A machine whose state means
+nothing some time after its last row says so in ``memory_ms``.  One that acts by itself has
+``deadline(state)``, the last millisecond before it does, and ``expire(state)``, its output.
 """
 
 from __future__ import annotations
@@ -101,7 +103,7 @@ class RateLimit:
 
     def __init__(self, limit: int, window_ms: int):
         self.limit = limit
-        self.window_ms = window_ms
+        self.window_ms = self.memory_ms = window_ms
 
     def start(self):
         return {"log": []}
@@ -122,6 +124,7 @@ class Lockout:
     outputs = "blocked boolean, failures int, lock_seconds bigint"
     # Fixed limits, seconds.
     window, day, base, longest = 300, 86_400, 60, 3_600
+    memory_ms = day * 1000
 
     def __init__(self, max_attempts: int = 5):
         self.max_attempts = max_attempts
@@ -151,10 +154,16 @@ class TokenReplay:
     inputs = ["kind", "token", "new_token", "ttl_ms"]
     outputs = "result string"
 
+    def __init__(self, forget_ms: int | None = None):
+        """``forget_ms`` after a token's expiry it is unknown, so a user's map stays bounded; by default none is forgotten."""
+        self.forget_ms = forget_ms
+
     def start(self):
         return {"tokens": {}}
 
     def step(self, s, ts_ms, kind, token, new_token, ttl_ms):
+        if self.forget_ms is not None:
+            s["tokens"] = {k: t for k, t in s["tokens"].items() if ts_ms < t[1] + self.forget_ms}
         tokens = s["tokens"]
         if kind == "issue":
             tokens[token] = [False, ts_ms + ttl_ms]
@@ -175,3 +184,58 @@ class TokenReplay:
         known[0] = True
         tokens[new_token] = [False, ts_ms + ttl_ms]
         return ("rotated",)
+
+
+class ApprovalTimeout:
+    """A run that waits longer than the limit fails; a wait starts anew with each waiting row."""
+
+    inputs = ["status"]
+    outputs = "waiting_ms bigint, status string, decided_by string"
+
+    def __init__(self, timeout_ms: int, waiting: str):
+        self.timeout_ms, self.waiting = timeout_ms, waiting
+
+    def start(self):
+        return {"since": None}
+
+    def step(self, s, ts_ms, status):
+        s["since"] = ts_ms if status == self.waiting else None
+
+    def deadline(self, s):
+        return None if s["since"] is None else s["since"] + self.timeout_ms
+
+    def expire(self, s):
+        since, s["since"] = s["since"], None
+        return since, "FAILED", "system:approval-timeout"
+
+
+class Latest:
+    """The status of the newest row."""
+
+    inputs = ["status"]
+    outputs = "status string"
+
+    def start(self):
+        return {}
+
+    def step(self, s, ts_ms, status):
+        return (status,)
+
+
+class StatusCache:
+    """Read-through status cache: a write lives some time, a read gives what lives."""
+
+    inputs = ["is_read", "status"]
+    outputs = "cached string"
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = self.memory_ms = ttl_ms
+
+    def start(self):
+        return {"status": None, "ms": None}
+
+    def step(self, s, ts_ms, is_read, status):
+        if not is_read:
+            s["status"], s["ms"] = status, ts_ms
+            return None
+        return (s["status"] if s["ms"] is not None and ts_ms - s["ms"] < self.ttl_ms else None,)

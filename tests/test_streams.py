@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,3 +218,66 @@ def test_triggers_and_event_source(spark, tmp_path):
                               "delivery_id string, event_type string, status string, payload string")
     assert rows(S.push_triggers(d, True)) == [("1", "u", "main", "s")]
     assert S.push_triggers(d, False).count() == 0
+
+
+def shuffled_stream(spark, df, tmp_path, minutes, n=4, seed=3):
+    """Rows in files by their time plus up to ``minutes`` of delay, so each file mixes times; a last row far ahead lets all go."""
+    folder = str(tmp_path / "in")
+    arrival = F.col("ts").cast("double") + F.rand(seed) * minutes * 60
+    rows_ = df.withColumn("_at", arrival).toPandas().sort_values("_at")
+    last = rows_["ts"].max()
+    for part in np.array_split(rows_, n):
+        spark.createDataFrame(part.drop(columns="_at").sample(frac=1, random_state=seed), df.schema).coalesce(1).write.mode("append").parquet(folder)
+    far = rows_.tail(1).drop(columns="_at").assign(ts=last + pd.Timedelta(days=400))
+    far[df.columns[0]] = -1
+    spark.createDataFrame(far, df.schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@pytest.mark.parametrize("name, make", [
+    ("ss2_session_state", lambda t: (streams.session_log(t), S.session_state)),
+    ("ss5_rate_limit", lambda t: (t.events.select("user_id", "event_id", "ts"), lambda s, **k: S.rate_limit(s, 3, 12 * 3_600_000, ["user_id"], **k))),
+    ("ss10_cached_status", lambda t: (streams.cache_log(t), S.cached_status_stream)),
+])
+def test_shuffled_stream_equals_batch_and_state_goes(spark, tmp_path, name, make):
+    df, run = make(Tables(spark, SMALL))
+    stream = shuffled_stream(spark, with_ts(df), tmp_path, 600)
+    out = drain(run(stream, lateness="10 hours"), tmp_path, "x_" + name)
+    want = QUERIES[name](spark, SMALL)
+    got, late = S.split_late(out)
+    assert late.count() == 0
+    assert rows(got.filter(F.col(want.columns[0]) != -1), *want.columns) == rows(want, *want.columns)
+    for held in ("machine", "waiting"):
+        state = spark.read.format("statestore").option("stateVarName", held).load(str(tmp_path / "ck"))
+        assert state.filter("key." + want.columns[0] + " != -1").count() == 0
+
+
+def test_late_rows_go_to_their_own_output(spark, tmp_path):
+    """Without tolerance, rows behind the watermark change nothing and are counted; the rest is in order."""
+    df = with_ts(open_view(spark, SMALL, "status_log"))
+    out = drain(S.run_state(shuffled_stream(spark, df, tmp_path, 3000)), tmp_path, "x_late")
+    got, late = S.split_late(out)
+    assert late.count() > 0 and got.count() + late.count() == df.count() + 1
+    on_time = df.join(late.select("event_id"), "event_id", "left_anti")
+    want = fold(on_time, ["run_id"], ["ts", "event_id"], "ts", machines.RunState(), F.to_date("ts"), ["run_id", "event_id"])
+    assert rows(got.filter("run_id != -1"), *want.columns) == rows(want)
+
+
+def test_approval_timeout_out_of_order(spark, tmp_path):
+    log = with_ts(open_view(spark, SMALL, "status_log"))
+    out = drain(S.approval_timeout(shuffled_stream(spark, log, tmp_path, 300), 30, "PENDING", lateness="5 hours"), tmp_path, "x_approval")
+    key = ["run_id", F.date_format("waiting_since", "yyyy-MM-dd HH:mm:ss").alias("w")]
+    assert out.filter("late").count() == 0
+    assert rows(out.filter("run_id != -1").select(*key)) == rows(QUERIES["ss4_approval_timeout"](spark, SMALL).select(*key))
+
+
+def test_progress_stream(spark, tmp_path):
+    log = with_ts(streams.progress_log(Tables(spark, SMALL)))
+    out = drain(S.progress_stream(shuffled_stream(spark, log, tmp_path, 120), lateness="2 hours"), tmp_path, "x_progress")
+    last = out.filter("job_id != -1").join(log.select("event_id", "ts"), "event_id").groupBy("job_id", "stage").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+    assert rows(last) == rows(S.latest_progress(log))
+
+
+def test_forgotten_tokens_are_unknown():
+    got = play(machines.TokenReplay(50), (0, "issue", "a", None, 100), (1, "rotate", "a", "b", 100), (149, "rotate", "a", "c", 1), (152, "rotate", "a", "c", 1))
+    assert [g[0] for g in got] == ["issued", "rotated", "replay", "unknown"]
