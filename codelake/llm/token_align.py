@@ -11,6 +11,8 @@ the totals of its own pairs back, once each, however often its texts hold them.
 from __future__ import annotations
 
 import hashlib
+import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codelake.llm.common import flat, saved, slices, table, unclashed
+from codelake.llm.common import flat, saved, slices, table, trim, unclashed
 from codelake.llm.order import attached
 from codelake.llm.registry import query
 
 #: Bytes of text in a segment; a longer text is in one of its own.
-SEGMENT_BYTES = 16 << 20
-#: Bytes of distinct parts after which a task forgets them.
-PARTS_BYTES = 32 << 20
+SEGMENT_BYTES = 8 << 20
+#: Bytes of distinct parts after which a task forgets them, and of those that are encoded as one text.
+PARTS_BYTES, RUN_BYTES = 2 << 20, 1 << 14
 
 
 # ---------------------------------------------------------------- two tokenizers
@@ -60,26 +62,55 @@ class Pair:
         # a piece with a blank behind another letter would lie across a cut
         self.cut = cut and not any(" " in t.lstrip(" ") for t in (p.replace("▁", " ") for p in pieces))
 
+        self.a_size, self.b_size = (np.array([len(t) for t in x], np.int64) for x in (self.a_bytes, self.b_bytes))
+        # ids as text with what follows them: another of their kind, or the group's end
+        self.spelled = np.array([f"{k}{end}" for n, more in ((size, ",|"), (len(pieces), ",;")) for end in more for k in range(n)], object)
+
     def ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both for texts that open with the blank."""
         a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         b = self.b.encode([t[1:] for t in texts], num_threads=1)
         return a, [ids if t != " " else [self.blank] for t, ids in zip(texts, b, strict=True)]
 
-    def groups(self, part: bytes, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
-        """Ends of the groups as (tokens of A, tokens of B) so far; None if either one's bytes aren't the part's."""
-        if b"".join(map(self.a_bytes.__getitem__, a)) != part or b"".join(map(self.b_bytes.__getitem__, b)) != part:
-            return None
-        ends, i, j, at, bt = [], 0, 0, 0, 0
-        while i < len(a):
-            at += len(self.a_bytes[a[i]])
-            i += 1
-            while bt < at:
-                bt += len(self.b_bytes[b[j]])
-                j += 1
-            if at == bt:
-                ends.append((i, j))
-        return ends
+    def flat_ids(self, parts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(the parts in another order, ids of A behind one another, how many each part has, the same of B).
+
+        Parts that end before a cut are encoded in runs, as one text, and dealt out by the
+        bytes of their tokens; if a run doesn't come back byte for byte, its parts go one by one.
+        """
+        runs, alone, size = [[]], [], 0
+        for part in parts:
+            if self.cut and 0x20 < part[-1] < 0x7F:
+                runs[-1].append(part)
+                size += len(part)
+                if size >= RUN_BYTES:
+                    runs.append([])
+                    size = 0
+            else:
+                alone.append(part)
+        order, flat, counts = [], ([], []), ([], [])
+        for run in filter(None, runs):
+            whole = b"".join(run)
+            ids = [x[0] for x in self.ids([whole.decode(errors="replace")])]
+            if self.spell(*ids) != (whole, whole):
+                alone += run
+                continue
+            order += run
+            ends = np.cumsum([len(p) for p in run])
+            for k, (own, width) in enumerate(zip(ids, (self.a_size, self.b_size), strict=True)):
+                own = np.array(own, np.int64)
+                flat[k].append(own)
+                counts[k].append(np.diff(np.searchsorted(np.cumsum(width[own]), ends, side="right"), prepend=0))
+        order += alone
+        if alone:
+            for k, own in enumerate(self.ids([p.decode(errors="replace") for p in alone])):
+                flat[k].append(np.fromiter(chain.from_iterable(own), np.int64))
+                counts[k].append(np.fromiter(map(len, own), np.int64, len(own)))
+        a, b, n_a, n_b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (*flat, *counts))
+        return order, a, n_a, b, n_b
+
+    def spell(self, a, b) -> tuple[bytes, bytes]:
+        return b"".join(map(self.a_bytes.__getitem__, a)), b"".join(map(self.b_bytes.__getitem__, b))
 
 
 _PAIRS: dict[tuple, Pair] = {}
@@ -89,6 +120,7 @@ def pair_of(a_file: bytes, b_file: bytes, cut: bool) -> Pair:
     """One pair of tokenizers per Python process."""
     key = (hashlib.sha256(a_file).digest(), hashlib.sha256(b_file).digest(), cut)
     if key not in _PAIRS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         _PAIRS[key] = Pair(a_file, b_file, cut)
     return _PAIRS[key]
 
@@ -114,26 +146,51 @@ class Parts:
     """Distinct parts by number, with their measures, groups as text, and links as (A id, B id) in one number."""
 
     def __init__(self, pair: Pair):
-        self.pair, self.number, self.bytes = pair, {}, 0
-        self.n_a, self.n_b, self.written, self.links, self.sound = [], [], [], [], []
+        self.pair, self.number, self.bytes, self.written = pair, {}, 0, []
+        # per part: tokens of A and B, links, and whether both give the part back; the links of all behind one another
+        self._measures, self._links = [np.zeros((4, 0), np.int64)], [np.zeros(0, np.int64)]
+
+    def measures(self) -> np.ndarray:
+        self._measures = [np.concatenate(self._measures, axis=1)]
+        return self._measures[0]
+
+    def links_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(links of the parts behind one another, how many each has)."""
+        self._links = [np.concatenate(self._links)]
+        n = self.measures()[2]
+        first, size = (np.cumsum(n) - n)[numbers], n[numbers]
+        return self._links[0][np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))], size
 
     def add(self, parts: list[bytes]) -> None:
-        a, b = self.pair.ids([p.decode(errors="replace") for p in parts])
-        for part, x, y in zip(parts, a, b, strict=True):
-            ends = self.pair.groups(part, x, y)
-            self.number[part] = len(self.n_a)
-            self.bytes += len(part)
-            self.sound.append(ends is not None)
-            self.n_a.append(len(x) if ends is not None else 0)
-            self.n_b.append(len(y) if ends is not None else 0)
-            i = j = 0
-            groups = []
-            for k, m in ends or []:
-                groups.append(f"{','.join(map(str, x[i:k]))}|{','.join(map(str, y[j:m]))}")
-                i, j = k, m
-            self.written.append(";".join(groups))
-            # in a group, the last token of each ends with the other
-            self.links.append(np.array([x[k - 1] << 32 | y[m - 1] for k, m in ends or []], np.int64))
+        """Encode and align new parts, all at once: ends of tokens are places in one long string."""
+        pair = self.pair
+        parts, a, n_a, b, n_b = pair.flat_ids(parts)
+        size = np.array([len(p) for p in parts], np.int64)
+        sound = np.ones(len(parts), bool)
+        if pair.spell(a.tolist(), b.tolist()) != (b"".join(parts),) * 2:
+            cut_a, cut_b = (np.append(0, np.cumsum(n)).tolist() for n in (n_a, n_b))
+            spelled = (pair.spell(a[cut_a[k] : cut_a[k + 1]].tolist(), b[cut_b[k] : cut_b[k + 1]].tolist()) for k in range(len(parts)))
+            sound = np.array([x == y == p for (x, y), p in zip(spelled, parts, strict=True)])
+            a, b = a[np.repeat(sound, n_a)], b[np.repeat(sound, n_b)]
+            n_a, n_b, size = n_a * sound, n_b * sound, size * sound
+        ends_a, ends_b = np.cumsum(pair.a_size[a]), np.cumsum(pair.b_size[b])
+        shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        last_a, last_b = np.isin(ends_a, shared, assume_unique=True), np.isin(ends_b, shared, assume_unique=True)
+        links = a[last_a] << 32 | b[last_b]  # in a group, the last token of each ends with the other
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        tables = len(pair.a_size), len(pair.b_size)
+        texts = pair.spelled[np.concatenate([a + last_a * tables[0], 2 * tables[0] + b + last_b * tables[1]])[order]].tolist()
+        ends = np.cumsum(n_a + n_b).tolist()
+        groups = np.diff(np.searchsorted(shared, np.cumsum(size), side="right"), prepend=0)
+        at = 0
+        for k, part in enumerate(parts):
+            self.number[part] = len(self.written)
+            self.written.append("".join(texts[at : ends[k]])[:-1])
+            at = ends[k]
+        self._measures.append(np.stack([n_a, n_b, groups, sound]))
+        self._links.append(links)
+        self.bytes += sum(map(len, parts))
 
     def of_texts(self, texts: pa.Array) -> list[np.ndarray]:
         """Each text's parts by number; none for a text without tokens."""
@@ -148,7 +205,7 @@ class Parts:
         numbers = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
         bounds = np.searchsorted(starts, offsets)
         out, none = [], np.zeros(0, np.int64)
-        sound = np.fromiter((self.sound[k] for k in numbers.tolist()), bool, len(numbers))
+        sound = self.measures()[3][numbers] > 0
         for x, y, p, q in zip(bounds[:-1].tolist(), bounds[1:].tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             own = numbers[x:y] if q - p > 1 else none
             if not sound[x:y].all():
@@ -156,7 +213,7 @@ class Parts:
                 if y - x > 1 and whole[p:q] not in self.number:
                     self.add([whole[p:q]])
                 k = self.number[whole[p:q]]
-                own = np.array([k]) if self.sound[k] else none
+                own = np.array([k]) if self.measures()[3][k] else none
             out.append(own)
         return out
 
@@ -169,13 +226,11 @@ _SEGMENT = "seg bigint, names binary, copies binary, n_a binary, n_b binary, n_g
 def _packed(seg: int, parts: Parts, names: list[bytes], copies: list[int], own: list[np.ndarray]) -> pa.RecordBatch:
     sizes = np.array([len(x) for x in own], np.int64)
     numbers, local = np.unique(np.concatenate(own) if own else np.zeros(0, np.int64), return_inverse=True)
-    chosen = [int(k) for k in numbers]
-    links = [parts.links[k] for k in chosen]
-    n_links = np.array([len(x) for x in links], np.int64)
-    pairs, at = np.unique(np.concatenate(links) if links else np.zeros(0, np.int64), return_inverse=True)
+    links, n_links = parts.links_of(numbers)
+    pairs, at = np.unique(links, return_inverse=True)
     ends = np.append(0, np.cumsum(sizes))
     sums = lambda v: np.diff(np.append(0, np.cumsum(v[local]))[ends])
-    n_a, n_b, groups = (sums(np.array(v, np.int64)) for v in ([parts.n_a[k] for k in chosen], [parts.n_b[k] for k in chosen], n_links))
+    n_a, n_b, groups = (sums(v) for v in parts.measures()[:3, numbers])
     written = [hashlib.sha256(";".join([parts.written[k] for k in x.tolist()]).encode()).digest() if len(x) else bytes(32) for x in own]
     often = np.zeros(len(numbers), np.int64)
     np.add.at(often, local, np.repeat(np.array(copies, np.int64), sizes))
@@ -208,6 +263,7 @@ def segments_of(texts: DataFrame, a_file: str, b_file: str, cut: bool = True, se
                     names, copies, own, size, seg = [], [], [], 0, seg + 1
                     if parts.bytes > PARTS_BYTES:
                         parts = Parts(pair)
+                    trim()
         if names:
             yield _packed(seg, parts, names, copies, own)
 
@@ -259,8 +315,11 @@ def _measured(segment: pa.Table, totals: pa.Table) -> pa.Table:
 
 
 def _distinct(docs: DataFrame, text: str) -> DataFrame:
+    """(text, copies, name): each distinct text once, in tasks of about a segment, however many partitions a shuffle has."""
     whole = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    return whole.groupBy("text").agg(F.count(F.lit(1)).alias("copies")).withColumn("name", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    size = whole.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0]["n"] or 0
+    texts = whole.groupBy("text").agg(F.count(F.lit(1)).alias("copies")).coalesce(max(1, -(-size // SEGMENT_BYTES)))
+    return texts.withColumn("name", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
 
 
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
