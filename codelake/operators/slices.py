@@ -6,16 +6,39 @@ key with a third of the rows sets the run time.  Every helper here takes a
 order (a day, an id range).  Rows are shuffled by (key, slice); one small summary
 row per (key, slice) is accumulated over the earlier slices and joined back.
 The slice comes from the data, so a recomputed task sees the same slices.
+
+A calendar day is a slice only where no key has too many rows in one day.  ``ranged`` has
+no such limit: it cuts (key, order) at sampled quantiles, so the rows of any key, even of
+one instant, spread over tasks as evenly as the table does.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE = "_slice"
+from codelake.session import checkpoint
+
+SLICE, RANGE = "_slice", "_range"
+
+
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows, written, with the number of their range in (keys, order).
+
+    Bounds are sampled quantiles, one range for each shuffle partition.  The number is
+    stored with the row, so whatever is recomputed later sees the same ranges.  A key that
+    lies in one range has one slice; at most as many keys as there are ranges have more.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpoint(df.repartitionByRange(parts, *keys, *order).withColumn(RANGE, F.spark_partition_id()))
+
+
+def by_range() -> Column:
+    """Slice by the range that ``ranged`` has stored."""
+    return F.col(RANGE)
 
 
 def day_slice(ts: str) -> Column:
@@ -32,6 +55,13 @@ def _local(keys: Sequence[str], order: Sequence) -> Window:
     return Window.partitionBy(*keys, SLICE).orderBy(*order)
 
 
+def join_keys(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on columns of which some may be null: the rows of a null key are one key's."""
+    other = right.select(*[F.col(c).alias(f"_right_{c}") if c in on else F.col(c) for c in right.columns])
+    match = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in on])
+    return left.join(other, match, how).drop(*[f"_right_{c}" for c in on])
+
+
 def _carried(df: DataFrame, keys: Sequence[str], summary: dict[str, Column], carry: dict) -> DataFrame:
     """One row per (key, slice): ``summary`` aggregates, then ``carry`` over earlier slices."""
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
@@ -45,7 +75,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: str,
     carry = _carried(df, keys, {"_t": F.sum(value)}, {"_carry": lambda w: F.sum("_t").over(w)})
     frame = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        df.join(carry, [*keys, SLICE])
+        join_keys(df, carry, [*keys, SLICE])
         .withColumn(out, F.coalesce(F.sum(value).over(frame), F.lit(0)) + F.coalesce("_carry", F.lit(0)))
         .drop(SLICE, "_carry")
     )
@@ -56,7 +86,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence, out: str, s
     df = df.withColumn(SLICE, slice_by)
     carry = _carried(df, keys, {"_n": F.count(F.lit(1))}, {"_carry": lambda w: F.sum("_n").over(w)})
     return (
-        df.join(carry, [*keys, SLICE])
+        join_keys(df, carry, [*keys, SLICE])
         .withColumn(out, F.row_number().over(_local(keys, order)) + F.coalesce("_carry", F.lit(0)))
         .drop(SLICE, "_carry")
     )
@@ -77,7 +107,7 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str
     carry = _carried(df, keys, {"_edge": pick(boxed, rank)}, carried)
     local = shift(boxed).over(_local(keys, order))
     return (
-        df.join(carry, [*keys, SLICE])
+        join_keys(df, carry, [*keys, SLICE])
         .withColumn(out, F.coalesce(local, F.col("_next"))["v"])
         .drop(SLICE, "_next")
     )
@@ -94,7 +124,7 @@ def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: st
     )
     frame = _local(keys, order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     return (
-        df.join(carry, [*keys, SLICE])
+        join_keys(df, carry, [*keys, SLICE])
         .withColumn(out, F.coalesce(F.last(col, ignorenulls=True).over(frame), F.col("_carry")))
         .drop(SLICE, "_carry")
     )

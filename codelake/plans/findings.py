@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from codelake.functions.text import notes
 from codelake.operators import findings as N
 from codelake.operators import joins as J
-from codelake.operators.slices import day_slice
+from codelake.operators.slices import by_range, ranged
 from codelake.plans.registry import query
 
 LABELS = ", ".join(f"('{k}', '{v}')" for k, v in N.RUNNER_LABELS.items())
@@ -84,7 +84,7 @@ def _(t):
 @query("ag18_findings_by_file", """
     SELECT project_id, path, seq, row_number() OVER (PARTITION BY project_id, path ORDER BY ts, seq) AS position FROM findings""", "findings")
 def _(t):
-    return N.by_file(t.findings, ["ts", "seq"], day_slice("ts")).select("project_id", "path", "seq", "position")
+    return N.by_file(ranged(t.findings.select("project_id", "path", "seq", "ts"), ["project_id", "path"], ["ts", "seq"]), ["ts", "seq"], by_range()).select("project_id", "path", "seq", "position")
 
 
 @query("ag18_kinds", "SELECT DISTINCT project_id, runner_id AS kind FROM findings", "findings")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codelake.operators import usage
 from codelake.operators.runs import rolling_failure
-from codelake.operators.slices import day_slice
+from codelake.operators.slices import by_range, ranged
 from codelake.plans.registry import query
 from codelake.sources.sinks import usage_csv_lines
 
@@ -154,7 +154,7 @@ def _(t):
         F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string")).alias("provider"),
         "event_id", "ts", (F.col("event_type") == "error").alias("failed"),
     )
-    return rolling_failure(calls, day_slice("ts"))
+    return rolling_failure(ranged(calls, ["provider"], ["ts", "event_id"]), by_range())
 
 
 @query("st1_recent", "SELECT run_id, created_at FROM runs ORDER BY created_at DESC, run_id DESC LIMIT 6", "runs")

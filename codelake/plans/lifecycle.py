@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from codelake.operators import runs as R
-from codelake.operators.slices import day_slice, id_slice
+from codelake.operators.slices import by_range, id_slice, ranged
 from codelake.plans.registry import query
 from codelake.sources import sinks
 
@@ -190,8 +190,8 @@ def _(t):
     FROM p WHERE action = 'pause'""")
 def _(t):
     action = F.when(F.col("event_type") == "error", "pause").when(F.col("event_type") == "purchase", "resume")
-    return R.pair_pauses(
-        t.events.select(F.col("user_id").alias("run_id"), "ts", "event_id", action.alias("action")), day_slice("ts"))
+    log = t.events.select(F.col("user_id").alias("run_id"), "ts", "event_id", action.alias("action")).filter("action IS NOT NULL")
+    return R.pair_pauses(ranged(log, ["run_id"], ["ts", "event_id"]), by_range())
 
 
 @query("wn5_decisions_latest", """
@@ -221,7 +221,7 @@ def outcomes(t):
 
 @query("wn8_failure_streak", STREAK_SQL)
 def _(t):
-    return R.failure_streak(outcomes(t), 3, day_slice("ts"))
+    return R.failure_streak(ranged(outcomes(t), ["run_id"], ["ts", "event_id"]), 3, by_range())
 
 
 # Transition table over the job statuses of the status log, for the audit query.
@@ -240,7 +240,7 @@ _ALLOWED = ", ".join(f"('{a}', '{b}')" for a, bs in LOG_TRANSITIONS.items() for
     SELECT run_id, event_id, prev, status FROM x WHERE prev IS NOT NULL
     AND (prev, status) NOT IN (SELECT (a, b) FROM (VALUES {_ALLOWED}) AS v(a, b))""", "status_log")
 def _(t):
-    return R.illegal_transitions(t.status_log, R.transition_table(t.spark, LOG_TRANSITIONS), day_slice("ts"))
+    return R.illegal_transitions(ranged(t.status_log, ["run_id"], ["ts", "event_id"]), R.transition_table(t.spark, LOG_TRANSITIONS), by_range())
 
 
 # Stage log: the stage is the hour-of-day third, the state comes from the status.

@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 
 from codelake.operators import runs as R
 from codelake.operators import slices
-from codelake.operators.slices import day_slice
 from codelake.plans.ledger import DAILY_SQL
 from codelake.plans.lifecycle import AUDIT_SQL, STREAK_SQL, SUPPORTED, outcomes
 from codelake.plans.registry import query
 from codelake.sources import messages as M
 from codelake.sources import sinks
 from codelake.streaming import machines
-from codelake.streaming.folds import fold
+from codelake.streaming.folds import fold, session_states
 from codelake.streaming.stateful import latest_progress
 
 NOW = dt.datetime(2024, 1, 31, 12)
@@ -135,12 +134,12 @@ SESSION_SQL = f"""
 
 @query("ss2_session_state", SESSION_SQL)
 def _(t):
-    return fold(session_log(t), ["run_id"], ORDER, "ts", machines.SessionState(3), day_slice("ts"), ["run_id", "event_id", "action"])
+    return session_states(session_log(t), 3)
 
 
 @query("ss3_auto_pause", STREAK_SQL)
 def _(t):
-    return fold(outcomes(t), ["run_id"], ORDER, "ts", machines.AutoPause(3), day_slice("ts"), ["run_id", "event_id"])
+    return R.failure_streak(slices.ranged(outcomes(t), ["run_id"], ORDER), 3, slices.by_range())
 
 
 @query("ss4_approval_timeout", f"""
@@ -148,7 +147,7 @@ def _(t):
     SELECT run_id, ts AS waiting_since, 'FAILED' AS status, 'system:approval-timeout' AS decided_by FROM x
     WHERE status = 'PENDING' AND date_diff('microsecond', ts, coalesce(next_ts, TIMESTAMP '{NOW}')) > 1800000000""", "status_log")
 def _(t):
-    log = slices.neighbour(t.status_log, ["run_id"], ORDER, "ts", "next_ts", day_slice("ts"), ahead=True)
+    log = slices.neighbour(slices.ranged(t.status_log, ["run_id"], ORDER), ["run_id"], ORDER, "ts", "next_ts", slices.by_range(), ahead=True)
     waited = F.timestamp_diff("MICROSECOND", F.col("ts"), F.coalesce("next_ts", F.lit(NOW).cast("timestamp_ntz")))
     return log.filter((F.col("status") == "PENDING") & (waited > 30 * 60 * 1_000_000)).select(
         "run_id", F.col("ts").alias("waiting_since"), F.lit("FAILED").alias("status"), F.lit("system:approval-timeout").alias("decided_by"))
@@ -163,7 +162,7 @@ def _(t):
           LATERAL (SELECT list_filter(r.log, lambda x: x > l.ms - 43200000) AS kept) k)
     SELECT user_id, event_id, accepted FROM r WHERE n > 0""")
 def _(t):
-    return fold(t.events, ["user_id"], ORDER, "ts", machines.RateLimit(3, 12 * 3_600_000), day_slice("ts"), ["user_id", "event_id"])
+    return fold(t.events, ["user_id"], ORDER, "ts", machines.RateLimit(3, 12 * 3_600_000), keep=["user_id", "event_id"])
 
 
 @query("ss6_lockout", """
@@ -182,7 +181,7 @@ def _(t):
     SELECT user_id, event_id, blocked, fails AS failures, secs AS lock_seconds FROM r WHERE n > 0""")
 def _(t):
     tries = t.events.filter(F.col("event_type").isin("error", "signup")).withColumn("success", F.col("event_type") == "signup")
-    return fold(tries, ["user_id"], ORDER, "ts", machines.Lockout(max_attempts=2), day_slice("ts"), ["user_id", "event_id"])
+    return fold(tries, ["user_id"], ORDER, "ts", machines.Lockout(max_attempts=2), keep=["user_id", "event_id"])
 
 
 @query("ss7_dedup_deliveries", "SELECT id, delivery_id FROM deliveries WHERE delivery_id IS NOT NULL", "deliveries")
@@ -227,7 +226,7 @@ def _(t):
     ms = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000)
     log = cache_log(t).withColumn("ms", ms)
     log = log.withColumn("_w", F.when(~F.col("is_read"), F.struct("status", "ms")))
-    log = slices.last_known(log, ["run_id"], ORDER, "_w", "_e", day_slice("ts"))
+    log = slices.last_known(slices.ranged(log, ["run_id"], ORDER), ["run_id"], ORDER, "_w", "_e", slices.by_range())
     return log.filter("is_read").select("run_id", "event_id", F.when(F.col("ms") - F.col("_e.ms") < 86_400_000, F.col("_e.status")).alias("cached"))
 
 
@@ -240,6 +239,23 @@ def token_log(t):
                            (F.floor("value") * 36_000_00).cast("bigint").alias("ttl_ms"))
 
 
-@query("ss12_token_replay")
+@query("ss12_token_replay", """
+    WITH RECURSIVE l AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, CAST(floor(value) * 3600000 AS BIGINT) AS ttl,
+            CASE event_type WHEN 'signup' THEN 'issue' WHEN 'error' THEN 'logout' ELSE 'rotate' END AS kind,
+            't' || CAST(json_extract_string(props, '$.k') AS INTEGER) % 6 AS token, 't' || (CAST(json_extract_string(props, '$.k') AS INTEGER) + 1) % 6 AS new_token,
+            row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST([] AS STRUCT(token VARCHAR, revoked BOOLEAN, expires BIGINT)[]) AS family, '' AS result FROM l
+          UNION ALL
+          SELECT l.user_id, l.n, l.event_id,
+                 CASE b.result WHEN 'issued' THEN list_append(list_filter(r.family, lambda x: x.token <> l.token), {'token': l.token, 'revoked': false, 'expires': l.ms + l.ttl})
+                      WHEN 'rotated' THEN list_append(list_filter(list_transform(r.family, lambda x: {'token': x.token, 'revoked': x.revoked OR x.token = l.token, 'expires': x.expires}), lambda x: x.token <> l.new_token),
+                                                      {'token': l.new_token, 'revoked': false, 'expires': l.ms + l.ttl})
+                      WHEN 'revoked' THEN list_transform(r.family, lambda x: {'token': x.token, 'revoked': true, 'expires': x.expires})
+                      WHEN 'replay' THEN list_transform(r.family, lambda x: {'token': x.token, 'revoked': true, 'expires': x.expires}) ELSE r.family END, b.result
+          FROM r JOIN l ON l.user_id = r.user_id AND l.n = r.n + 1,
+          LATERAL (SELECT list_filter(r.family, lambda x: x.token = l.token) AS held) a,
+          LATERAL (SELECT CASE WHEN l.kind = 'issue' THEN 'issued' WHEN l.kind = 'logout' THEN 'revoked' WHEN len(a.held) = 0 THEN 'unknown'
+                               WHEN a.held[1].revoked THEN 'replay' WHEN l.ms >= a.held[1].expires THEN 'expired' ELSE 'rotated' END AS result) b)
+    SELECT user_id, event_id, result FROM r WHERE n > 0""")
 def _(t):
-    return fold(token_log(t), ["user_id"], ORDER, "ts", machines.TokenReplay(), day_slice("ts"), ["user_id", "event_id"])
+    return fold(token_log(t), ["user_id"], ORDER, "ts", machines.TokenReplay(), keep=["user_id", "event_id"])

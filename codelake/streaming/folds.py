@@ -1,25 +1,34 @@
 """Order-dependent folds over bounded tables.
 
-A machine's state depends on every earlier row of its key, so a fold is sequential
-inside a key.  Ordinary keys are folded in one go, streamed through their task
-without being held.  A hot key is cut into slices that are folded in parallel from
-the state each slice is believed to start in; slices whose true start state turns
-out different are folded again until nothing changes.  The first slice is always
-right, so every round settles at least one more slice and the result is exact.
+A machine's state depends on every earlier row of its key, so a fold is sequential inside
+a key.  Two ways around that, both exact and the same for every key:
+
+``fold_finite``, for machines with few states, stays in the JVM.  A block of rows is a map
+from the state before it to the state after it.  Maps compose, so blocks are combined into
+larger ones level by level, as in a prefix sum; then start states go down the same levels.
+
+``fold`` runs any machine.  Rows are cut at sampled ranges of (key, order), so few keys are
+cut at all.  Slices of a cut key are folded in parallel from the state each is believed to
+start in; slices whose true start state turns out different are folded again.  The first
+slice is always right, so every round settles at least one more of each key.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelake.operators import slices
 from codelake.session import checkpoint
+from codelake.streaming import machines
 
-HOT_ROWS = 5_000_000
+#: Rows in a block, and blocks in a block of the next level.
+BLOCK = 256
 
 
 def _field_list(df: DataFrame, names: Sequence[str]) -> str:
@@ -59,40 +68,147 @@ def _pass(df: DataFrame, keys: list[str], order: list[str], keep: list[str], mac
     return placed.select(*used).mapInPandas(fold, schema)
 
 
-def fold(events: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, machine, slice_by: Column,
-         keep: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def fold(events: DataFrame, keys: Sequence[str], order: Sequence[str], ts: str, machine, slice_by: Column | None = None,
+         keep: Sequence[str] = (), hot_rows: int = 0) -> DataFrame:
     """Run ``machine`` over each key's rows in ``order``; output rows carry ``keep``.
 
-    ``slice_by`` must not decrease along the order; it is used for keys with more
-    than ``hot_rows`` rows only.
+    ``slice_by`` must not decrease along the order; without it rows are cut at sampled
+    ranges.  Keys with at most ``hot_rows`` rows stay whole.
     """
     keys, order, keep = list(keys), list(order), list(keep)
+    if slice_by is None:
+        used = list(dict.fromkeys([*keys, *order, ts, *machine.inputs, *keep]))
+        events, slice_by = slices.ranged(events.select(*used), keys, order), slices.by_range()
     ms = F.unix_micros(F.col(ts).cast("timestamp")) / 1000
     rows = events.withColumn("ts_ms", F.floor(ms)).withColumn("_cut", slice_by)
-    # At most total / hot_rows keys can be hot.
-    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).drop("_n")
+    # keys with several slices; with ranges there are at most as many as ranges
+    cut = rows.groupBy(*keys, "_cut").agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_slices"))
+    cut = checkpoint(cut.filter((F.col("_slices") > 1) & (F.col("_n") > hot_rows)).select(*keys, F.lit(True).alias("_several")))
     none = F.lit(None).cast("string")
+    r = slices.join_keys(rows, cut, keys, "left")
     # the slice keeps its own type: as text, 10 would sort before 2
-    no_slice = F.lit(None).cast(rows.schema["_cut"].dataType)
-    if hot.isEmpty():
-        plain = rows.withColumn("slice", no_slice).withColumn("carry", none)
-        return _pass(plain, keys, order, keep, machine, emit=True)
-
-    hot = checkpoint(hot)
-    cold_rows = rows.join(hot, keys, "left_anti").withColumn("slice", no_slice)
-    hot_side = rows.join(hot, keys, "left_semi").withColumn("slice", F.col("_cut"))
-    group = [*keys, "slice"]
+    r = r.withColumn("slice", F.when(F.col("_several"), F.col("_cut")))
+    if cut.isEmpty():
+        return _pass(r.withColumn("carry", none), keys, order, keep, machine, emit=True)
+
+    several = r.filter("_several")
     start = json.dumps(machine.start(), sort_keys=True)
-    first = _pass(hot_side.withColumn("carry", none), keys, order, [], machine, emit=False)
+    first = _pass(several.withColumn("carry", none), keys, order, [], machine, emit=False)
     states = checkpoint(first.withColumn("carry", F.lit(start)))
     previous = Window.partitionBy(*keys).orderBy("slice")
+    group = [*keys, "slice"]
     while True:
         known = states.withColumn("believed", F.coalesce(F.lag("final").over(previous), F.lit(start)))
         wrong = checkpoint(known.filter(F.col("believed") != F.col("carry")).select(*group, F.col("believed").alias("carry")))
         if wrong.isEmpty():
             break
-        again = _pass(hot_side.join(wrong, group), keys, order, [], machine, emit=False).join(wrong, group)
-        states = checkpoint(states.join(wrong, group, "left_anti").unionByName(again.select(*states.columns)))
-    hot_rows_df = hot_side.join(states.select(*group, "carry"), group)
-    both = cold_rows.withColumn("carry", none).unionByName(hot_rows_df.select(*cold_rows.columns, "carry"))
+        again = _pass(slices.join_keys(several, wrong, group), keys, order, [], machine, emit=False)
+        again = slices.join_keys(again, wrong, group)
+        kept = slices.join_keys(states, wrong.select(*group), group, "left_anti")
+        states = checkpoint(kept.unionByName(again.select(*states.columns)))
+    carried = slices.join_keys(several, states.select(*group, "carry"), group)
+    both = r.filter("_several IS NULL").withColumn("carry", none).unionByName(carried)
     return _pass(both, keys, order, keep, machine, emit=True)
+
+
+# ---- machines with few states ----------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Finite:
+    """States as JSON, and for each symbol the number of the state that follows each state, and the output there."""
+
+    states: list[dict]
+    symbols: list
+    after: list[list[int]]
+    outputs: list[list[tuple]]
+
+
+def finite(machine, symbols: Sequence) -> Finite:
+    """All states that the symbols reach from the machine's start; the machine may not look at the time."""
+    states, number = [machine.start()], {json.dumps(machine.start(), sort_keys=True): 0}
+    after, outputs = [[] for _ in symbols], [[] for _ in symbols]
+    at = 0
+    while at < len(states):
+        for k, symbol in enumerate(symbols):
+            state = json.loads(json.dumps(states[at]))
+            outputs[k].append(machine.step(state, 0, symbol))
+            text = json.dumps(state, sort_keys=True)
+            if text not in number:
+                number[text] = len(states)
+                states.append(state)
+            after[k].append(number[text])
+        at += 1
+    return Finite(states, list(symbols), after, outputs)
+
+
+def fold_finite(rows: DataFrame, keys: Sequence[str], order: Sequence[str], symbol: str, table: Finite, block: int = BLOCK) -> DataFrame:
+    """``rows`` with ``before`` and ``after``, the numbers of the states around each row; ``symbol`` is a number of ``table``.
+
+    A block's map is an array with a state for each state, composed by ``aggregate``.  There
+    are as many levels as it takes to bring the longest key down to one block; what a task
+    holds is one block, whatever the key.
+    """
+    keys, order = list(keys), list(order)
+    keep = [c for c in rows.columns if c not in keys]
+    n = len(table.states)
+    flat = F.array(*[F.lit(x) for row in table.after for x in row])
+    follow = lambda state, sym: F.get(flat, sym * n + state)
+    same = F.array(*[F.lit(k) for k in range(n)])
+    placed = slices.row_numbers(slices.ranged(rows, keys, order), keys, order, "_place", slices.by_range())
+    upper = lambda c: F.floor(F.col(c) / block).cast("bigint")
+    placed = placed.withColumn("_block", F.floor((F.col("_place") - 1) / block).cast("bigint"))
+    packed = placed.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(F.struct("_place", F.col(symbol).alias("_symbol"), F.struct(*keep).alias("_row")))).alias("_rows"))
+    packed = checkpoint(packed)
+    run = F.aggregate("_rows", same, lambda m, r: F.transform(m, lambda x: follow(x, r["_symbol"])))
+    levels = [checkpoint(packed.select(*keys, "_block", run.alias("_map")))]
+    most = levels[0].agg(F.max("_block").alias("m")).collect()[0]["m"]
+    while most:
+        parents = levels[-1].groupBy(*keys, upper("_block").alias("_upper")).agg(F.sort_array(F.collect_list(F.struct("_block", "_map"))).alias("_maps"))
+        whole = F.aggregate("_maps", same, lambda m, child: F.transform(m, lambda x: F.get(child["_map"], x)))
+        levels.append(checkpoint(parents.select(*keys, F.col("_upper").alias("_block"), "_maps", whole.alias("_map"))))
+        most //= block
+    starts = levels[-1].select(*keys, "_block", F.lit(0).alias("_start"))
+    for parents in reversed(levels[1:]):
+        path = F.aggregate("_maps", F.array("_start"), lambda seen, child: F.concat(seen, F.array(F.get(child["_map"], F.element_at(seen, -1)))))
+        told = slices.join_keys(parents.select(*keys, "_block", "_maps"), starts, [*keys, "_block"]).withColumn("_path", path)
+        child = told.select(*keys, F.explode(F.arrays_zip(F.transform("_maps", lambda c: c["_block"]).alias("b"), F.slice("_path", F.lit(1), F.size("_maps")).alias("s"))).alias("_c"))
+        starts = checkpoint(child.select(*keys, F.col("_c.b").alias("_block"), F.col("_c.s").alias("_start")))
+    path = F.aggregate("_rows", F.array("_start"), lambda seen, r: F.concat(seen, F.array(follow(F.element_at(seen, -1), r["_symbol"]))))
+    told = slices.join_keys(packed, starts, [*keys, "_block"]).withColumn("_path", path)
+    size = F.size("_rows")
+    out = told.select(*keys, F.explode(F.arrays_zip(F.col("_rows").alias("r"), F.slice("_path", F.lit(1), size).alias("before"), F.slice("_path", F.lit(2), size).alias("after"))).alias("_z"))
+    return out.select(*keys, *[F.col(f"_z.r._row.{c}").alias(c) for c in keep], F.col("_z.before").alias("before"), F.col("_z.after").alias("after"))
+
+
+def looked_up(table: Finite, values, symbol: Column, state: Column) -> Column:
+    """``values[symbol][state]`` as a column of constants."""
+    flat = F.array(*[F.lit(v) for row in values for v in row])
+    return F.get(flat, symbol * len(table.states) + state)
+
+
+def session_states(log: DataFrame, threshold: int = 3) -> DataFrame:
+    """A session log (run_id, ts, event_id, action) with accepted, status, paused_from and errors, in the JVM.
+
+    Errors are the failures since the last success, a running sum; what is left of the
+    machine is status and origin of the pause, a few dozen states.
+    """
+    keys, order = ["run_id"], ["ts", "event_id"]
+    machine = machines.SessionState(threshold)
+    known = [*machine.targets, "resume", "agent_ok", *machine.failures]
+    table = finite(machine, [*known, None])
+    log = slices.ranged(log.select("run_id", "ts", "event_id", "action"), keys, order)
+    log = slices.running_sum(log.withColumn("_f", (F.col("action") == "agent_failure").cast("bigint")), keys, order, "_f", "_failed", slices.by_range())
+    log = log.withColumn("_mark", F.when(F.col("action") == "agent_ok", F.col("_failed")))
+    log = slices.last_known(log, keys, order, "_mark", "_base", slices.by_range())
+    errors = (F.col("_failed") - F.coalesce("_base", F.lit(0))).cast("int")
+    symbol = F.when(F.col("action") == "agent_failure", F.when(errors >= threshold, known.index("failure_pauses")).otherwise(known.index("failure_fails")))
+    for k, action in enumerate(known[: -len(machine.failures)]):
+        symbol = symbol.when(F.col("action") == action, k)
+    rows = log.select("run_id", "ts", "event_id", "action", errors.alias("errors"), symbol.otherwise(len(known)).alias("_symbol"))
+    done = fold_finite(rows, keys, order, "_symbol", table)
+    status, origin = ([[s[c] for s in table.states]] for c in ("status", "from"))
+    ok = [[o[0] for o in row] for row in table.outputs]
+    return done.select(
+        "run_id", "event_id", "action", looked_up(table, ok, F.col("_symbol"), F.col("before")).alias("accepted"),
+        looked_up(table, status, F.lit(0), F.col("after")).alias("status"), looked_up(table, origin, F.lit(0), F.col("after")).alias("paused_from"), "errors")

@@ -59,11 +59,16 @@ class SessionState:
         s["status"] = target
         return True
 
+    #: What a failure leads to, as actions of their own: whoever counts failures otherwise has finitely many states.
+    failures = {"failure_pauses": "PAUSED", "failure_fails": "FAILED"}
+
     def step(self, s, ts_ms, action):
         if action == "resume":
             ok = s["status"] == "PAUSED" and s["from"] is not None
             if ok:
                 s["status"], s["from"] = s["from"], None
+        elif action in self.failures:
+            ok = self._move(s, self.failures[action])
         elif action == "agent_failure":
             s["errors"] += 1
             ok = self._move(s, "PAUSED" if s["errors"] >= self.threshold else "FAILED")

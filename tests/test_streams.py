@@ -8,10 +8,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from codelake.operators import runs as R
+from codelake.operators import slices
 from codelake.plans import ledger, lifecycle, streams  # noqa: F401
 from codelake.plans.registry import QUERIES, Tables
 from codelake.sources.messages import read_events
-from codelake.streaming import machines
+from codelake.streaming import folds, machines
 from codelake.streaming import stateful as S
 from codelake.streaming.folds import fold
 from codelake.views import open_view
@@ -281,3 +283,39 @@ def test_progress_stream(spark, tmp_path):
 def test_forgotten_tokens_are_unknown():
     got = play(machines.TokenReplay(50), (0, "issue", "a", None, 100), (1, "rotate", "a", "b", 100), (149, "rotate", "a", "c", 1), (152, "rotate", "a", "c", 1))
     assert [g[0] for g in got] == ["issued", "rotated", "replay", "unknown"]
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_session_maps_equal_the_plain_fold(spark, block, monkeypatch):
+    """Blocks of three rows make five levels of maps; null keys and unknown actions are rows like others."""
+    t = Tables(spark, SMALL)
+    log = streams.session_log(t).withColumn("run_id", F.when(F.col("run_id") % 5 != 0, F.col("run_id") % 2))
+    log = log.withColumn("action", F.when(F.col("event_id") % 11 != 0, F.col("action")).otherwise("no such action"))
+    monkeypatch.setattr(folds.fold_finite, "__defaults__", (block,))
+    got = folds.session_states(log, 2)
+    seen = {}
+    machine, want = machines.SessionState(2), []
+    for r in sorted(log.collect(), key=lambda r: (r.ts, r.event_id)):
+        state = seen.setdefault(r.run_id, machine.start())
+        want.append((r.run_id, r.event_id, r.action, *machine.step(state, 0, r.action)))
+    cols = ["run_id", "event_id", "action", "accepted", "status", "paused_from", "errors"]
+    assert rows(got, *cols) == sorted(want, key=repr)
+
+
+def test_one_key_in_one_instant_spreads(spark):
+    """All rows of one provider at one time: ranges part them, a day would not."""
+    df = spark.range(4000).select(F.lit("p").alias("provider"), F.lit(T0).alias("ts"), F.col("id").alias("event_id"), (F.col("id") % 3 == 0).alias("failed"))
+    cut = slices.ranged(df, ["provider"], ["ts", "event_id"])
+    sizes = [r["count"] for r in cut.groupBy("_range").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 1500
+    got = R.rolling_failure(cut, slices.by_range()).select("event_id", "rate").orderBy("event_id").collect()
+    assert all(abs(r.rate - sum(k % 3 == 0 for k in range(max(0, r.event_id - 9), r.event_id + 1)) / min(10, r.event_id + 1)) < 1e-9 for r in got)
+
+
+def test_fold_with_ranges_and_null_keys(spark):
+    df = spark.range(900).select(F.when(F.col("id") % 4 != 0, F.col("id") % 2).alias("user_id"), F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 40).alias("ts"), (F.col("id") % 7 == 0).alias("success"))
+    got = fold(df, ["user_id"], ["ts", "event_id"], "ts", machines.Lockout(2), keep=["user_id", "event_id"])
+    seen, want, machine = {}, [], machines.Lockout(2)
+    for r in df.orderBy("event_id").collect():
+        want.append((r.user_id, r.event_id, *machine.step(seen.setdefault(r.user_id, machine.start()), r.event_id * 40_000, r.success)))
+    assert rows(got) == sorted(want, key=repr)
