@@ -402,6 +402,18 @@ def _(t):
     return G.importers(facts(t).imports.select(F.col("name").alias("target"), F.col("path").alias("importer")))
 
 
+@query("gr1_methods_of", f"""WITH {C_SQL}, {METHODS_SQL} SELECT DISTINCT package || CASE WHEN j % 10 = 0 THEN '.Api' || i ELSE '.C' || j END AS fqn, name AS method, arity
+    FROM m JOIN (SELECT DISTINCT path, package, i, j FROM c) USING (path)""")
+def _(t):
+    f = facts(t, True)
+    return G.methods_of(f.methods, f.types).select("fqn", "method", "arity")
+
+
+@query("gr1_classes_by_file", f"WITH {C_SQL} SELECT path, package || CASE WHEN j % 10 = 0 THEN '.Api' || i ELSE '.C' || j END AS fqn, CAST(1 AS INT) AS position FROM c")
+def _(t):
+    return G.classes_by_file(facts(t).types).select("path", "fqn", "position")
+
+
 TURNS_SQL = """n AS (SELECT conv_id, turn, role || '-' || conv_id || '-' || turn AS node FROM conversations),
     d AS (SELECT a.node, b.node AS dep FROM n a JOIN n b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1),
     r AS (SELECT node, 1 AS pass FROM n WHERE node NOT IN (SELECT node FROM d)
@@ -419,7 +431,7 @@ def _(t):
     return G.dependency_order(*turn_graph(t))
 
 
-@query("gr3_has_cycle", "SELECT false AS has_cycle")
+@query("gr3_has_cycle", f"WITH RECURSIVE {TURNS_SQL} SELECT count(*) > 0 AS has_cycle FROM n WHERE node NOT IN (SELECT node FROM r)")
 def _(t):
     return G.has_cycle(*turn_graph(t))
 
@@ -429,12 +441,25 @@ def _(t):
     WITH n AS (SELECT conv_id, turn, role || '-' || conv_id || '-' || turn AS node, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
     SELECT node FROM n WHERE turn >= 1 AND last > 1 AND conv_id % 2 = 0""")
 def _(t):
+    return G.cyclic_nodes(*looped_graph(t))
+
+
+def looped_graph(t):
     nodes, edges = turn_graph(t)
     c = t.conversations
     name = lambda turn: F.concat_ws("-", "role", F.col("conv_id").cast("string"), turn.cast("string"))
     ends = c.groupBy("conv_id").agg(F.max("turn").alias("turn")).filter("turn > 1 AND conv_id % 2 = 0").join(c, ["conv_id", "turn"]).select("conv_id", name(F.col("turn")).alias("dep"))
     loop = c.filter("turn = 1").select("conv_id", name(F.col("turn")).alias("node")).join(ends, "conv_id").select("node", "dep")
-    return G.cyclic_nodes(nodes, edges.unionByName(loop))
+    return nodes, edges.unionByName(loop)
+
+
+@query("gr3_has_cycle_in_loops", """
+    WITH RECURSIVE n AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+    e AS (SELECT conv_id, turn AS a, turn - 1 AS b FROM n WHERE turn >= 1 UNION SELECT conv_id, 1, last FROM n WHERE last > 1 AND conv_id % 2 = 0),
+    w AS (SELECT conv_id, a, b FROM e UNION SELECT w.conv_id, w.a, e.b FROM w JOIN e ON e.conv_id = w.conv_id AND e.a = w.b)
+    SELECT count(*) > 0 AS has_cycle FROM w WHERE a = b""")
+def _(t):
+    return G.has_cycle(*looped_graph(t))
 
 
 @query("gr4_clusters", """
@@ -471,7 +496,8 @@ def _(t):
     e = t.nation.select(tag("n", "n_nationkey").alias("src"), tag("r", "n_regionkey").alias("dst")).unionByName(
         t.customer.select(tag("c", "c_custkey").alias("src"), tag("n", "c_nationkey").alias("dst"))).unionByName(
         t.region.select(tag("r", "r_regionkey").alias("src"), F.lit("world").alias("dst")))
-    return G.closure(e)
+    starts = e.select("src").unionByName(e.select(F.col("dst").alias("src"))).distinct()
+    return G.closure(e, starts)
 
 
 @query("gr5_effective_methods", f"""WITH {C_SQL}, {METHODS_SQL},

@@ -4,6 +4,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
+from codelake import session
 from codelake.operators import graph as G
 from codelake.operators import vectors as V
 from codelake.plans import load_all
@@ -46,6 +47,43 @@ def test_cycle_goes_last(spark):
     assert rows(G.cyclic_nodes(nodes, edges)) == [("A",), ("B",)]
 
 
+def test_orders_of_deep_and_cyclic_graphs(spark):
+    """Chains, trees, ladders, rings and what hangs on them, against sweeps; a chain of 300 takes few rounds."""
+    rnd = random.Random(7)
+    edges = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(300)] + [(f"d{i + 1:03d}", f"d{i:03d}") for i in range(120)]
+    edges += [(f"l{i:02d}", f"l{i + k:02d}") for i in range(20) for k in (1, 2)] + [(f"t{i:03d}", f"t{(i - 1) // 2:03d}") for i in range(1, 80)]
+    edges += [(f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [("q1", "r3"), ("q2", "q1"), ("q2", "t001"), ("k1", "k2"), ("k2", "k1"), ("k2", "k3"), ("k3", "k1")]
+    for _ in range(6):
+        names = [f"x{_}{i:02d}" for i in range(20)]
+        edges += [tuple(rnd.sample(names, 2)) for _ in range(24)]
+    nodes = sorted({x for e in edges for x in e})
+    deps = {}
+    for a, b in edges:
+        deps.setdefault(a, set()).add(b)
+    frame = spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(edges, "node string, dep string")
+    written, G.checkpoint = [], lambda df, plain=G.checkpoint: written.append(1) or plain(df)
+    try:
+        got = G.dependency_order(*frame).collect()
+    finally:
+        G.checkpoint = session.checkpoint
+    order, cyclic = sweep(nodes, deps)
+    assert [r.node for r in sorted((r for r in got if not r.cyclic), key=lambda r: (r["pass"], r.node))] == order
+    assert sorted(r.node for r in got if r.cyclic) == cyclic and cyclic
+    assert len(written) < 3 * 26
+
+
+def test_closure_of_a_long_chain_takes_few_rounds(spark):
+    n = 1000
+    df = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    written, G.checkpoint = [], lambda df, plain=G.checkpoint: written.append(1) or plain(df)
+    try:
+        got = G.closure(df, spark.createDataFrame([(0,), (990,)], "src bigint"))
+    finally:
+        G.checkpoint = session.checkpoint
+    assert rows(got) == sorted([(0, k) for k in range(n + 1)] + [(990, k) for k in range(990, n + 1)], key=repr)
+    assert len(written) <= 2 + 2 * 11
+
+
 def test_components_and_clusters(spark):
     edges = [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(12)] + [("x", "y"), ("y", "z"), ("s", "s")]
     df = spark.createDataFrame(edges, "src string, dst string")
