@@ -16,13 +16,15 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm.common import extended, flat, output, slices, table, unclashed
+from codelake.llm.common import extended, flat, output, slices, table, trim, unclashed
 from codelake.llm.registry import query
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 14
-#: Bound of the sample that the model is fitted on, for each language.
-MAX_TEXTS_PER_LANGUAGE = 400
+#: Bounds of the sample that the model is fitted on: for each language, and in all.
+MAX_TEXTS_PER_LANGUAGE, MAX_TEXTS = 400, 100_000
+#: Numbers that a task holds while it adds up what subwords say of languages.
+SCORED = 1 << 22
 #: Their counts and a column of weights each are held by the driver and broadcast.
 MAX_LANGUAGES = 5000
 
@@ -113,6 +115,7 @@ def training_sample(labelled: DataFrame, order: Column, per_language: int) -> li
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    per_language = max(1, min(per_language, MAX_TEXTS // max(1, len(counts))))
     # a row for each language, so every text is judged where it is read
     counts = labelled.sparkSession.createDataFrame(counts, "lang string, _n bigint")
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("_n"))
@@ -180,17 +183,19 @@ def predict(df: DataFrame, model: LanguageModel | None, text: str = "text") -> D
                     languages, scores, bias, temperature, least = known
                     logits, total = np.zeros((n, len(languages))), np.zeros(n)
                     for bucket, doc in subwords(data, offsets):
-                        cuts = np.searchsorted(doc, np.arange(n + 1))
-                        full = np.flatnonzero(np.diff(cuts))
-                        if len(full):
-                            logits[full] += np.add.reduceat(scores[bucket], cuts[full], axis=0)
-                        total += np.diff(cuts)
+                        step = max(1, SCORED // len(languages))
+                        for a in range(0, len(bucket), step):
+                            cuts = np.searchsorted(doc[a : a + step], np.arange(n + 1))
+                            full = np.flatnonzero(np.diff(cuts))
+                            logits[full] += np.add.reduceat(scores[bucket[a : a + step]], cuts[full], axis=0)
+                            total += np.diff(cuts)
                     p = softmax((logits / np.maximum(total, 1)[:, None] + bias) / temperature)
                     best = p.argmax(axis=1)
                     guess[letters] = np.array(languages, object)[best[letters]]
                     score[letters] = p.max(axis=1)[letters]
                     rejected = ~letters | (score < least)
                 yield output(part, part.schema.names, lang_pred=pa.array(guess, pa.string()), score=score, rejected=rejected)
+            trim()
 
     return frame.mapInArrow(run, schema)
 

@@ -22,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm.common import LOWER, SPACE, flat, hash_segments, mix, output, saved, segments, slices, spread, table, unclashed, windows
+from codelake.llm.common import LOWER, SPACE, apart, extended, flat, hash_segments, mix, output, saved, segments, slices, spread, table, trim, unclashed, windows
+from codelake.llm.linking import components
+from codelake.llm.order import attached
 from codelake.llm.registry import query
 from codelake.llm.suffix_dedup import key_filter, may_hold
-from codelake.operators.graph import components
 
 WORDS, PERCENT = 5, 80
-#: Sets in one index, and sets that one task looks up.
-INDEX_SETS, QUERY_SETS = 2000, 4000
+#: Shingles of the sets in one index, and of the sets that one task looks up.
+INDEX_SHINGLES, QUERY_SHINGLES = 1_000_000, 2_000_000
 #: Shingles of openings that one task counts.
 COUNTED = 1_000_000
 
@@ -70,9 +71,9 @@ def members(docs: DataFrame, words: int, keep: list[str]) -> DataFrame:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), words)
                 yield output(part, keep, k1=pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), n_shingles=pa.array([len(s) for s in sets], pa.int64()))
+            trim()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{schema}, k1 bigint, n_shingles bigint")
+    return docs.select(*keep, "text").mapInArrow(run, extended(docs.select(*keep), "k1 bigint, n_shingles bigint"))
 
 
 def overlap_floor(n: int, percent: int) -> int:
@@ -118,6 +119,7 @@ def _openings(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFr
                     sizes = np.array([len(s) for s in own], np.int32)
                     rows = [(b, *_packed(names, sizes, of[x:y], token[x:y])) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 5)]], ["bucket", "names", "sizes", "owner", "token"])
+            trim()
 
     return docs.select("text").mapInArrow(run, "bucket int, names binary, sizes binary, owner binary, token binary")
 
@@ -140,7 +142,7 @@ def _shared(part: pa.Table, buckets: int) -> pa.Table:
         size.append(np.frombuffer(row[1], np.int32)[owner])
         token.append(np.frombuffer(row[3], np.uint32))
     name, size, token = np.concatenate(name), np.concatenate(size), np.concatenate(token)
-    pa.default_memory_pool().release_unused()
+    trim()
     by = np.lexsort((name, token))
     name, size, token = name[by], size[by], token[by]
     new = np.append(True, (token[1:] != token[:-1]) | (name[1:] != name[:-1]))
@@ -288,8 +290,10 @@ def search(names: np.ndarray, sets: list[np.ndarray], indexed: np.ndarray, askin
 
 def _search_part(part: pa.Table, percent: int) -> pa.Table:
     sets = [np.frombuffer(b, np.uint64) for b in part.column("shingles").to_pylist()]
-    flags = [np.array(part.column(c).to_pylist(), bool) for c in ("indexed", "asking")]
+    flags = [part.column(c).to_numpy() for c in ("indexed", "asking")]
     links = search(part.column("k1").to_numpy(), sets, *flags, percent)
+    del sets
+    trim()
     return pa.table([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["src", "dst"])
 
 
@@ -314,11 +318,12 @@ def _sets_of(docs: DataFrame, words: int, names: DataFrame) -> DataFrame:
                 new = [k for k, a in zip(own, asked.tolist(), strict=True) if a and k not in seen]
                 seen.update(new)
                 yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([own[k].tobytes() for k in new], pa.binary())], ["k1", "shingles"])
+            trim()
 
     return docs.select("text").mapInArrow(run, "k1 bigint, shingles binary")
 
 
-def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, index_sets: int = INDEX_SETS, query_sets: int = QUERY_SETS) -> DataFrame:
+def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, index_shingles: int = INDEX_SHINGLES, query_shingles: int = QUERY_SHINGLES) -> DataFrame:
     """(node, component) of all sets with a partner; the component is its least set's name.
 
     The links found connect what similarity connects, which isn't every similar pair.
@@ -332,36 +337,41 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, in
     leaders = saved(ways.groupBy("way").agg(F.min("k1").alias("leader"), F.max("k1").alias("other")).filter("leader != other").select("way", "leader"))
     edges = ways.join(leaders, "way").filter("k1 != leader").select(F.col("k1").alias("src"), F.col("leader").alias("dst")).distinct()
     clusters = components(edges)
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    placed = saved(clusters.join(sizes, "component").select(F.col("node").alias("k1"), "component", "m"))
+    weighed = saved(clusters.withColumnRenamed("node", "k1").join(routes.select("k1", "n"), "k1"))
+    sizes = saved(weighed.groupBy("component").agg(F.sum("n").alias("w"), F.count(F.lit(1)).alias("m")))
+    totals = sizes.agg(F.sum("m").alias("m"), F.sum(F.when(F.col("w") <= index_shingles, F.col("w"))).alias("w")).collect()[0]
+    placed = saved(attached(weighed, sizes, "component", "m", totals["m"] or 0).select("k1", "component", "n", "w"))
     sets = saved(_sets_of(docs, words, placed.select("k1")).join(placed, "k1").dropDuplicates(["k1"]))
 
-    small, large = sets.filter(F.col("m") <= index_sets), sets.filter(F.col("m") > index_sets)
-    bins = max(1, -(-placed.filter(F.col("m") <= index_sets).count() // index_sets))
+    # an index is bounded by its shingles: sets differ in size by thousands
+    small, large = sets.filter(F.col("w") <= index_shingles), sets.filter(F.col("w") > index_shingles)
+    bins = max(1, -(-(totals["w"] or 0) // index_shingles))
     yes, no = F.lit(True), F.lit(False)
     columns = ["k1", "indexed", "asking", "shingles"]
     together = small.select(F.struct(F.pmod(F.xxhash64("component"), F.lit(bins)).alias("a"), F.lit(-1).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("c")).alias("part"), "k1", yes.alias("indexed"), yes.alias("asking"), "shingles")
     slices_of = lambda n, each: F.ceil(n / each).cast("bigint")
     share = lambda seed, n: F.pmod(F.xxhash64("k1", F.lit(seed)), n)
     part = lambda a, b, c: F.struct(a.alias("a"), b.cast("bigint").alias("b"), c.cast("bigint").alias("c")).alias("part")
-    q = slices_of(F.col("m"), query_sets)
-    leading = large.filter(share(1, F.col("m")) < index_sets).select(F.explode(F.sequence(F.lit(0).cast("bigint"), q - 1)).alias("s"), "component", *["k1", "shingles"])
+    q = slices_of(F.col("w"), query_shingles)
+    leading = large.filter(share(1, F.col("w")) < index_shingles).select(F.explode(F.sequence(F.lit(0).cast("bigint"), q - 1)).alias("s"), "component", *["k1", "shingles"])
     first = together.unionByName(leading.select(part(F.col("component"), F.lit(0), F.col("s")), "k1", yes.alias("indexed"), no.alias("asking"), "shingles"))
     first = first.unionByName(large.select(part(F.col("component"), F.lit(0), share(2, q)), "k1", no.alias("indexed"), yes.alias("asking"), "shingles"))
     links = saved(_searched(first.select("part", *columns), percent))
-    if placed.filter(F.col("m") > index_sets).isEmpty():
+    if sizes.filter(F.col("w") > index_shingles).isEmpty():
         return components(links)
 
     joined = components(links).select(F.col("node").alias("k1"), F.col("component").alias("found"))
-    labelled = placed.filter(F.col("m") > index_sets).join(joined, "k1", "left").withColumn("found", F.coalesce("found", "k1"))
-    held = labelled.groupBy("component", "found").agg(F.count(F.lit(1)).alias("n"))
-    largest = held.groupBy("component").agg(F.max_by("found", F.struct("n", "found")).alias("largest"), F.max("n").alias("n_largest"), F.sum("n").alias("n_all"))
-    outside = saved(labelled.join(largest, "component").filter("found != largest").select("k1", "component", (F.col("n_all") - F.col("n_largest")).alias("n_outside")))
-    s = slices_of(F.col("n_outside"), index_sets)
-    seekers = large.join(outside.select("component", "n_outside").distinct(), "component")
-    indexed = large.join(outside.select("k1", "n_outside"), "k1").select("k1", "component", "shingles", share(3, s).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), q - 1)).alias("s"))
+    labelled = saved(placed.filter(F.col("w") > index_shingles).join(joined, "k1", "left").withColumn("found", F.coalesce("found", "k1")))
+    held = labelled.groupBy("component", "found").agg(F.sum("n").alias("n"))
+    largest = held.groupBy("component").agg(F.max(F.struct("n", "found")).alias("top"), F.sum("n").alias("n"))
+    facts = largest.select("component", F.col("top.found").alias("found"), slices_of(F.col("n") - F.col("top.n"), index_shingles).alias("slices"))
+    facts = saved(facts.join(sizes.select("component", "m"), "component"))
+    outside = saved(labelled.join(facts, ["component", "found"], "left_anti").select("k1"))
+    asked = attached(large, facts.select("component", "slices", "m"), "component", "m", totals["m"]).filter("slices > 0")
+    s = F.col("slices")
+    indexed = asked.join(outside, "k1").select("k1", "component", "shingles", share(3, s).alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), q - 1)).alias("s"))
     second = indexed.select(part(F.col("component"), F.col("i") + 1, F.col("s")), "k1", yes.alias("indexed"), no.alias("asking"), "shingles").unionByName(
-        seekers.select("k1", "component", "shingles", share(2, q).alias("s"), F.explode(F.sequence(F.lit(0).cast("bigint"), s - 1)).alias("i"))
+        asked.select("k1", "component", "shingles", share(2, q).alias("s"), F.explode(F.sequence(F.lit(0).cast("bigint"), s - 1)).alias("i"))
         .select(part(F.col("component"), F.col("i") + 1, F.col("s")), "k1", no.alias("indexed"), yes.alias("asking"), "shingles"))
     more = saved(_searched(second.select("part", *columns), percent))
     return components(links.unionByName(more))
@@ -379,7 +389,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     where there is no other.  Sets are compared by 64-bit hashes.  An empty table gives an
     empty one.  Columns with the new names are replaced.
     """
-    frame = unclashed(df, ["n_shingles", "component_id", "group_key", "k1"])
+    frame, restored = apart(unclashed(df, ["n_shingles", "component_id", "group_key"]), [doc_id, text])
     keep = [c for c in frame.columns if c != text]
     docs = frame.withColumnRenamed(text, "text")
     found = similar_sets(docs.select("text"), words, percent, **sizes)
@@ -387,7 +397,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     named = own.join(found.select(F.col("node").alias("k1"), "component"), "k1", "left").withColumn("group_key", F.coalesce("component", "k1")).drop("component")
     least = saved(named.filter("group_key IS NOT NULL").groupBy("group_key").agg(F.min(doc_id).alias("component_id")))
     out = named.join(least, "group_key", "left").withColumn("component_id", F.when(F.col("group_key").isNull(), F.col(doc_id)).otherwise(F.col("component_id")))
-    return out.select(*keep, "n_shingles", "component_id", "group_key")
+    return restored(out.select(*keep, "n_shingles", "component_id", "group_key"))
 
 
 @query("op4_ngram_jaccard_join")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm.common import SPACE, _BYTE, _powers, apart, flat, hash_segments, mix, release_inner, saved, segments, slices, table, text_key, unclashed, written_so_far
+from codelake.llm.common import SPACE, _BYTE, _powers, apart, flat, hash_segments, mix, release_inner, saved, segments, slices, table, text_key, trim, unclashed, written_so_far
 from codelake.llm.registry import query
 from codelake.llm.suffix_array import SEPARATOR, _prefix_sums, closed, permuted_common_prefixes, suffix_array
 
@@ -237,7 +237,10 @@ def _search_shard(part: pa.Table, span: int, buckets: int) -> pa.Table:
                 for column, v in zip(out, (None, None, None, None, k, rows_[bucket == k].tobytes()), strict=True):
                     column.append(v)
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "ctx", "lo", "hi", "bucket", "windows"])
+    found = pa.table([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["h", "ctx", "lo", "hi", "bucket", "windows"])
+    del rows, strings, out
+    trim()
+    return found
 
 
 def _settle(part: pa.Table, span: int) -> pa.Table:
@@ -445,7 +448,9 @@ def remove_repeats(df: DataFrame, text: str = "text", span: int = SPAN, with_tex
     else:
         # so many words and one have a byte each and one between them at least
         spark, first = df.sparkSession, written_so_far(df.sparkSession)
-        ranges = saved(repeated_ranges(plain, min(span, 2 * over_words + 1)))
+        short = min(span, 2 * over_words + 1)
+        # shards of half the text: these arrays come in the middle of a pipeline, beside what earlier stages hold
+        ranges = saved(repeated_ranges(plain, short, max(1, PER_SHARD * SPAN // (2 * short))))
         release_inner(spark, first)
         ranges = saved(long_ranges(plain, ranges, over_words, span))
         release_inner(spark, first)
