@@ -11,13 +11,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelake.llm import language_id, ngram_join, packing, pii, suffix_dedup
-from codelake.llm.common import apart, release, saved, table, text_key
+from codelake.llm.common import apart, release, saved, small_batches, table, text_key
 from codelake.llm.registry import query
 
 
+def begin(spark: SparkSession) -> None:
+    """Free what the stage before has written for itself, and send texts to Python in batches of few bytes."""
+    release(spark)
+    small_batches(spark)
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those that the model rejects go, null and letterless texts among them."""
-    release(spark)
+    begin(spark)
     rows, restored = apart(docs, ["doc_id", "text", "lang"])
     return restored(language_id.identify(rows).filter(~F.col("rejected")).select(*rows.columns))
 
@@ -27,7 +33,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Texts without words are in no group and all stay.
     """
-    release(spark)
+    begin(spark)
     docs, restored = apart(docs, ["doc_id", "text"])
     keyed = docs.withColumn("_k", text_key(F.col("text"))).select("*", "_k.k1", "_k.k2").drop("_k")
     light = saved(ngram_join.near_duplicates(keyed.select("doc_id", "text", F.col("k1").alias("t1"), F.col("k2").alias("t2"))))
@@ -51,7 +57,7 @@ PASSAGE_WORDS = 50
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of over 50 words (or of 400 bytes) that repeat; all documents stay, an emptied one too."""
-    release(spark)
+    begin(spark)
     rows, restored = apart(docs, ["text", "n_chars"])
     done = suffix_dedup.remove_repeats(rows, over_words=PASSAGE_WORDS)
     return restored(_recounted(done, F.col("n_removed") > 0).select(*rows.columns))
@@ -59,7 +65,7 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sanitised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data and disclosing terms replaced; all documents stay."""
-    release(spark)
+    begin(spark)
     rows, restored = apart(docs, ["text", "n_chars"])
     found = pii.find_pii(rows).withColumn("text", pii.sanitised(F.col("text"), F.col("spans")))
     return restored(_recounted(found, F.size("spans") > 0).select(*rows.columns))
@@ -71,7 +77,7 @@ def _recounted(docs: DataFrame, changed) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document's words go: bin, place in it and the bin's size; a wordless document is in none."""
-    release(spark)
+    begin(spark)
     return packing.pack(packing.word_counts(docs.select("doc_id", "text")), "n_tokens")
 
 
