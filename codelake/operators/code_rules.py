@@ -154,15 +154,27 @@ def scope_gap(f: Facts) -> DataFrame:
 
 
 def unconverted(f: Facts) -> DataFrame:
-    """consume(…) left outside a listener, or publish(a, b) inside one."""
-    decl = f.methods.select(*KEYS, "owner", F.col("name").alias("method"), F.array_contains("annotations", "KafkaListener").alias("listens"))
-    decl = decl.groupBy(*KEYS, "owner", "method").agg(F.bool_or("listens").alias("listens"))
-    inside = f.calls.filter(F.col("name").isin("publish", "consume")).join(decl, [*KEYS, "owner", "method"])
+    """consume(…) left outside a listener, or publish(a, b) inside one.
+
+    A call belongs to the last declaration of its method's name before it, so overloads
+    are judged each by its own annotations.
+    """
+    decl = f.methods.select(*KEYS, "owner", F.col("name").alias("method"), F.col("pos").alias("at"), F.array_contains("annotations", "KafkaListener").alias("listens"))
+    found = f.calls.filter(F.col("name").isin("publish", "consume")).join(decl, [*KEYS, "owner", "method"]).filter(F.col("at") <= F.col("pos"))
+    call = [*KEYS, "line", "owner", "method", "name", "arity", "pos", "n"]
+    inside = found.groupBy(*call).agg(F.max_by("listens", "at").alias("listens"))
     gap = F.col("listens") & (F.col("name") == "publish") & (F.col("arity") == 2)
     left = ~F.col("listens") & (F.col("name") == "consume")
     return _leak(inside.filter(gap | left), F.concat("method", F.lit(" ("), "name", F.lit(")")), "NOT_CONVERTED")
 
 
+def no_listeners(files: DataFrame) -> DataFrame:
+    """One finding without a place for each project of which no file names a listener."""
+    some = files.groupBy("project_id").agg(F.coalesce(F.bool_or(F.col("content").contains("@KafkaListener")), F.lit(False)).alias("some"))
+    return some.filter("NOT some").select(
+        "project_id", F.lit("").alias("path"), F.lit(-1).alias("line"), F.lit("").alias("symbol"), F.lit("NO_LISTENERS_FOUND").alias("kind"))
+
+
 BINDING_ARG = "(?:[\\w.]+\\s*\\(\\s*)?(?:\\w+\\.)*(\\w+)\\s*\\)?"
 BINDING_RX = f"getOrCreateSubscription\\s*\\(\\s*{BINDING_ARG}\\s*,\\s*{BINDING_ARG}\\s*[,)]"
 

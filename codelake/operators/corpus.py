@@ -222,22 +222,25 @@ RETRY_HEADER = "PREVIOUS ATTEMPT FAILED. Fix these specific issues:\n\n"
 MAX_FAILURES, MAX_CHARS, TOKEN_BUDGET = 5, 200, 2000
 
 
-def retry_context(findings: DataFrame, order: Sequence[str], budget: int = TOKEN_BUDGET) -> DataFrame:
+def retry_context(findings: DataFrame, order: Sequence[str], budget: int = TOKEN_BUDGET, max_failures: int = MAX_FAILURES,
+                  max_chars: int = MAX_CHARS, counter: Callable[[Column], Column] | None = None) -> DataFrame:
     """Prompt text per project from its first failures; projects without errors give ''.
 
-    The rank filter lets Spark keep five rows per project before the shuffle; the
-    number of failures comes from a partial count.
+    ``counter`` gives the cost of a text column: words by default, or any column function,
+    such as a pandas UDF over a tokenizer.  The rank filter lets Spark keep
+    ``max_failures`` rows per project before the shuffle; the number of failures comes from
+    a partial count.
     """
+    counter = counter or word_count
     errors = findings.filter(F.col("severity") == "ERROR")
     n_fail = findings.groupBy("project_id").agg(F.count_if(F.col("severity") == "ERROR").alias("n"))
     by = Window.partitionBy("project_id").orderBy(*order)
-    first = errors.withColumn("i", F.row_number().over(by)).filter(F.col("i") <= MAX_FAILURES)
-    cut = F.when(F.length("message") > MAX_CHARS, F.concat(F.substring("message", 1, MAX_CHARS), F.lit("…"))).otherwise(F.col("message"))
+    first = errors.withColumn("i", F.row_number().over(by)).filter(F.col("i") <= max_failures)
+    cut = F.when(F.length("message") > max_chars, F.concat(F.substring("message", 1, max_chars), F.lit("…"))).otherwise(F.col("message"))
     entry = F.concat(F.col("i").cast("string"), F.lit(". "), cut, F.lit("\n"))
-    header_cost = len(RETRY_HEADER.split())
-    lines = first.select("project_id", "i", entry.alias("entry")).withColumn("cost", word_count(F.col("entry")))
+    lines = first.select("project_id", "i", entry.alias("entry")).withColumn("cost", counter(F.col("entry")))
     used = F.sum("cost").over(Window.partitionBy("project_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
-    kept = lines.withColumn("used", used).filter(F.col("used") <= budget - header_cost)
+    kept = lines.withColumn("used", used).filter(F.col("used") <= F.lit(budget) - counter(F.lit(RETRY_HEADER)))
     body = kept.groupBy("project_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "entry"))), lambda x: x["entry"]), "").alias("body"),
         F.count(F.lit(1)).alias("included"),

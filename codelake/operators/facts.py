@@ -30,9 +30,19 @@ CALL_RX = (
 NOT_CALLS = ["if", "for", "while", "switch", "catch", "synchronized", "return", "super", "this", "try", "assert", "throw", ""]
 
 
+def _blank_blocks(code: Column) -> Column:
+    """What stands between triple quotes becomes an empty string with the same line breaks; an unclosed block stays."""
+    plain = F.regexp_replace(code, "\\\\.", "")  # an escaped quote ends nothing
+    pieces = F.split(plain, '"""', -1)
+    inside = lambda i: (i % 2 == 1) & (i < F.size(pieces) - 1)
+    blank = F.transform(pieces, lambda p, i: F.when(inside(i), F.concat(F.lit('""'), F.regexp_replace(p, "[^\n]", ""))).otherwise(p))
+    return F.array_join(blank, "")
+
+
 def blank_comments(code: Column) -> Column:
-    """Empty string and char literals, remove comments, keep every line break."""
-    c = F.regexp_replace(code, '"(?:\\\\.|[^"\\\\\n])*"', '""')
+    """Empty string and char literals and text blocks, remove comments, keep every line break."""
+    c = F.when(code.contains('"""'), _blank_blocks(code)).otherwise(code)
+    c = F.regexp_replace(c, '"(?:\\\\.|[^"\\\\\n])*"', '""')
     c = F.regexp_replace(c, "'(?:\\\\.|[^'\\\\\n])'", "' '")
     c = F.regexp_replace(c, "(?<![:*/])//[^\n]*", "")
 
@@ -48,9 +58,13 @@ def blank_comments(code: Column) -> Column:
 
 
 def strip_type_args(text: Column) -> Column:
-    flat = text
-    for _ in range(3):
-        flat = F.regexp_replace(flat, "<[\\w\\s,.?&\\[\\]@$]*>", "")
+    """Without type arguments, as deep as the text nests them: each round removes the innermost."""
+    step = lambda d, c: F.struct(
+        (d["now"] + F.when(c == "<", 1).otherwise(-1)).alias("now"), F.greatest(d["most"], d["now"] + F.when(c == "<", 1).otherwise(-1)).alias("most"))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    depth = F.aggregate(F.regexp_extract_all(text, F.lit("([<>])"), 1), start, step)["most"]
+    inner = "<[\\w\\s,.?&\\[\\]@$]*>"
+    flat = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), text, lambda t, _: F.regexp_replace(t, inner, ""))
     return F.when(text.contains("<"), flat).otherwise(text)
 
 

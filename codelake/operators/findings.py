@@ -112,6 +112,33 @@ def semantic_report(parts: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def full_report(f, files: DataFrame, deny: DataFrame, hybrid: bool = True, dependencies: DataFrame | None = None) -> DataFrame:
+    """Every semantic check over a corpus, as one report.
+
+    ``f`` holds the facts of ``files``, ``deny`` the forbidden names (ord, key), and
+    ``dependencies`` findings about build files, if there are any.  The last four
+    categories mean something for the hybrid target only.
+    """
+    from codelake.operators import code_rules, contracts
+
+    leaks = reduce(DataFrame.unionByName, [check(f) for check in (code_rules.leak_imports, code_rules.leak_types, code_rules.leak_calls)])
+    forbidden = code_rules.forbidden_imports(f, deny).withColumn("kind", F.concat(F.lit("FORBIDDEN "), "rule"))
+    parts = {"CONTRACT": contracts.contract_violations(f), "PUBSUB_LEAK": leaks, "FORBIDDEN_IMPORT": forbidden, "OVERENGINEERING": code_rules.listener_misuse(f)}
+    if dependencies is not None:
+        parts["DEPENDENCY"] = dependencies
+    if hybrid:
+        parts |= {"TX_GAP": code_rules.scope_gap(f), "TARGET_DRIFT": code_rules.target_drift(f), "CONSUMER_NOT_CONVERTED": code_rules.unconverted(f),
+                  "NO_LISTENERS_FOUND": code_rules.no_listeners(files)}
+    return semantic_report({name: df.withColumn("message", F.concat(F.lit("["), "kind", F.lit("] "), "symbol")) for name, df in parts.items()})
+
+
+def report_verdict(report: DataFrame, files: DataFrame) -> DataFrame:
+    """(project_id, files, findings, clean): a project without findings is clean; each project has a row."""
+    sizes = files.groupBy("project_id").agg(F.count(F.lit(1)).alias("files"))
+    found = report.groupBy("project_id").agg(F.count(F.lit(1)).alias("findings"))
+    return sizes.join(found, "project_id", "left").select("project_id", "files", F.coalesce("findings", F.lit(0)).alias("findings"), F.col("findings").isNull().alias("clean"))
+
+
 def category_counts(report: DataFrame) -> DataFrame:
     return report.groupBy("project_id", "category").agg(F.count(F.lit(1)).alias("n"))
 
@@ -326,21 +353,35 @@ class Runner:
 
 @dataclass
 class RunnerRegistry:
-    """Finding runners in order; one that is unavailable or throws is skipped, never fatal."""
+    """Finding runners in order; one that is unavailable or throws is skipped, never fatal.
+
+    ``skipped`` says which and why, so a caller can tell a passing project from one that
+    nobody looked at.
+    """
 
     runners: list[Runner] = field(default_factory=list)
+    reasons: list[tuple[int, str, str]] = field(default_factory=list)
+
+    def skipped(self, files: DataFrame) -> DataFrame:
+        """(project_id, runner_order, runner, reason): the runners that the last ``run`` left out, for each project."""
+        rows = [F.struct(F.lit(o).alias("runner_order"), F.lit(n).alias("runner"), F.lit(r).alias("reason")) for o, n, r in self.reasons]
+        reasons = F.array(*rows) if rows else F.array().cast("array<struct<runner_order int, runner string, reason string>>")
+        return files.select("project_id").distinct().select("project_id", F.explode(reasons).alias("_r")).select("project_id", "_r.*")
 
     def add(self, name: str, order: int, run: Callable[[DataFrame], DataFrame], available: Callable[[], bool] = lambda: True) -> None:
         self.runners.append(Runner(name, order, run, available))
 
     def run(self, files: DataFrame) -> DataFrame:
-        parts = []
+        parts, self.reasons = [], []
         for runner in sorted(self.runners, key=lambda r: (r.order, r.name)):
             try:
                 if runner.available():
                     found = runner.run(files).select(*FINDING_COLUMNS)
                     parts.append(found.withColumn("runner_order", F.lit(runner.order)))
+                else:
+                    self.reasons.append((runner.order, runner.name, "unavailable"))
             except Exception:  # noqa: BLE001
+                self.reasons.append((runner.order, runner.name, "failed"))
                 logging.getLogger(__name__).warning("runner %s skipped", runner.name, exc_info=True)
         if not parts:
             return files.sparkSession.createDataFrame(

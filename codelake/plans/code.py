@@ -15,7 +15,7 @@ from codelake.operators import facts as K
 from codelake.operators import findings as N
 from codelake.operators import graph as G
 from codelake.operators import joins as J
-from codelake.plans.registry import query
+from codelake.plans.registry import ORACLES, query
 
 JAVA_TEMPLATE = """package com.acme.p{P}.{pkg};
 
@@ -402,8 +402,8 @@ def _(t):
     return G.importers(facts(t).imports.select(F.col("name").alias("target"), F.col("path").alias("importer")))
 
 
-@query("gr1_methods_of", f"""WITH {C_SQL}, {METHODS_SQL} SELECT DISTINCT package || CASE WHEN j % 10 = 0 THEN '.Api' || i ELSE '.C' || j END AS fqn, name AS method, arity
-    FROM m JOIN (SELECT DISTINCT path, package, i, j FROM c) USING (path)""")
+@query("gr1_methods_of", f"""WITH {C_SQL}, {METHODS_SQL} SELECT DISTINCT package || CASE WHEN j % 10 = 0 THEN '.Api' || i ELSE '.C' || j END AS fqn, name AS method,
+      CAST(CASE WHEN params = '' THEN 0 ELSE len(str_split(params, ',')) END AS INTEGER) AS arity FROM m JOIN (SELECT DISTINCT path, package, i, j FROM c) USING (path)""")
 def _(t):
     f = facts(t, True)
     return G.methods_of(f.methods, f.types).select("fqn", "method", "arity")
@@ -591,3 +591,37 @@ def _(t):
     f = facts(t, True)
     parts = {"CONTRACT": T.unresolved_imports(f), "PUBSUB_LEAK": U.leak_imports(f), "CONSUMER_NOT_CONVERTED": U.unconverted(f)}
     return N.category_counts(N.semantic_report({n: df.withColumn("message", F.col("symbol")) for n, df in parts.items()}))
+
+
+# ---- the whole report --------------------------------------------------------------------
+
+# The registered checks that make up each category; their SQL gives a row for each finding.
+REPORT_CHECKS = {
+    "CONTRACT": ["ct1_file_class_mismatch", "ct2_unresolved_imports", "ct3_missing_imports", "ct4_missing_interface_methods", "ct5_signature_mismatches",
+                 "ct6_bad_constructor_arity", "ct7_unknown_calls", "ct8_invalid_overrides", "ct9_package_private_uses"],
+    "PUBSUB_LEAK": ["cd3_leak_imports", "cd4_leak_types", "cd5_leak_calls"], "FORBIDDEN_IMPORT": ["cd15_forbidden_imports"], "OVERENGINEERING": ["cd10_listener_misuse"],
+    "TX_GAP": ["cd12_scope_gap"], "TARGET_DRIFT": ["cd11_target_drift"], "CONSUMER_NOT_CONVERTED": ["cd13_unconverted"],
+}
+REPORT_SQL = " UNION ALL ".join(
+    f"SELECT split_part(path, '/', 1) AS project_id, '{category}' AS category FROM ({ORACLES[name]})" for category, names in REPORT_CHECKS.items() for name in names)
+REPORT_SQL = f"""
+    report AS ({REPORT_SQL} UNION ALL
+        SELECT project_id, 'NO_LISTENERS_FOUND' FROM (WITH {C_SQL} SELECT project_id FROM c GROUP BY 1 HAVING NOT bool_or(j % 10 <> 0 AND s % 13 = 0))),
+    sizes AS (WITH {C_SQL} SELECT project_id, count(*) AS files FROM c GROUP BY 1)"""
+
+
+def _report(t):
+    deny = t.spark.sql("SELECT * FROM VALUES (0, 'java.util.List'), (1, 'com.google.cloud.pubsub.*'), (2, 'com.google.*') AS d(ord, key)")
+    files = code_files(t)
+    return N.full_report(facts(t, True), files, deny), files
+
+
+@query("cd17_full_report", f"WITH {REPORT_SQL} SELECT project_id, category, count(*) AS n FROM report GROUP BY 1, 2")
+def _(t):
+    return N.category_counts(_report(t)[0])
+
+
+@query("cd17_verdict", f"""WITH {REPORT_SQL}, found AS (SELECT project_id, count(*) AS findings FROM report GROUP BY 1)
+    SELECT project_id, files, coalesce(findings, 0) AS findings, findings IS NULL AS clean FROM sizes LEFT JOIN found USING (project_id)""")
+def _(t):
+    return N.report_verdict(*_report(t))

@@ -242,9 +242,21 @@ def _(t):
     SELECT project_id, path, severity, message, 0 AS runner_order FROM files, (VALUES ('License', 'ERROR', 'r0')) AS v(rx, severity, message) WHERE regexp_matches(content, rx)
     UNION ALL SELECT project_id, path, severity, message, 5 FROM files, (VALUES ('@', 'WARNING', 'r5')) AS v(rx, severity, message) WHERE regexp_matches(content, rx)""", "files")
 def _(t):
+    return _registry().run(t.files).select("project_id", "path", "severity", "message", "runner_order")
+
+
+@query("ud1_skipped_runners", """
+    SELECT DISTINCT project_id, runner_order, runner, reason FROM files, (VALUES (1, 'off', 'unavailable'), (2, 'broken', 'failed')) AS v(runner_order, runner, reason)""", "files")
+def _(t):
+    registry = _registry()
+    registry.run(t.files)
+    return registry.skipped(t.files)
+
+
+def _registry():
     registry = N.RunnerRegistry()
     registry.add("late", 5, lambda f: N.pattern_findings(f, "late", [("@", "WARNING", "r5")]))
     registry.add("early", 0, lambda f: N.pattern_findings(f, "early", [("License", "ERROR", "r0")]))
     registry.add("off", 1, lambda f: N.pattern_findings(f, "off", [(".", "ERROR", "never")]), available=lambda: False)
     registry.add("broken", 2, lambda f: f.select("no_such_column"))
-    return registry.run(t.files).select("project_id", "path", "severity", "message", "runner_order")
+    return registry

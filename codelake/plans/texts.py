@@ -277,6 +277,17 @@ def _(t):
     return C.retry_context(long, ["seq"], budget=100)
 
 
+@query("ud3_retry_context_by_characters", f"""
+    WITH {RETRY_SQL.replace("len(list_filter(str_split(replace(entry, chr(10), ' '), ' '), lambda w: w <> ''))", "length(entry)").replace("> 200", "> 60").replace("left(m, 200)", "left(m, 60)").replace("i <= 5", "i <= 8").replace("100 - 7", "500 - 53")}
+    SELECT project_id, CASE WHEN n = 0 THEN '' ELSE 'PREVIOUS ATTEMPT FAILED. Fix these specific issues:' || chr(10) || chr(10) || coalesce(body, '') ||
+      CASE WHEN n > coalesce(inc, 0) THEN '… and ' || (n - coalesce(inc, 0)) || ' more issue(s).' || chr(10) ELSE '' END END AS context
+    FROM n LEFT JOIN b USING (project_id)""", "findings")
+def _(t):
+    """The counter as an argument: here characters."""
+    long = t.findings.withColumn("message", F.repeat(F.concat("message", F.lit(" ")), 20))
+    return C.retry_context(long, ["seq"], budget=500, max_failures=8, max_chars=60, counter=F.length)
+
+
 @query("ag17_log_keywords", """
     WITH k AS (SELECT unnest(regexp_extract_all(url, '[A-Za-z_][A-Za-z0-9_.]{3,}')) AS token FROM pages)
     SELECT token, count(*) AS n FROM k WHERE (ends_with(token, '.java') OR regexp_matches(token, '^[a-z]+(\\.[a-z0-9]+){2,}') OR regexp_matches(token, '[a-z][A-Z]'))

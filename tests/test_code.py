@@ -131,3 +131,39 @@ def test_scope_gap_kinds(spark):
     f = facts(spark, {"x/S.java": "package x;\n@ApplicationScoped public class S { }", "x/L.java":
                       "package x;\npublic class L { @KafkaListener(topics = {\"a\"}) public void on(String m) { CdiLookup.get(S.class).go(m); CdiLookup.get(kind).go(m); } }"})
     assert rows(U.scope_gap(f), "symbol", "kind") == [("S", "TX_GAP"), ("kind", "TX_GAP_UNVERIFIED")]
+
+
+DEEP = 'package a.core;\npublic class Deep {\n  private Map<String, List<Map<String, Set<List<Integer>>>>> deep;\n' \
+       '  String text = """\n    } class Fake { "quoted" \\""" void no() {\n    """;\n  char c = \'"\';\n' \
+       '  public List<Map<String, List<Set<Map<String, Long>>>>> build(Map<String, List<List<Set<Integer>>>> in) { return use(in); }\n  void after() { run(1); }\n}\n'
+
+
+def test_facts_behind_text_blocks_and_deep_generics(spark):
+    f = facts(spark, {"core/Deep.java": DEEP})
+    mine = lambda df: df.filter("path = 'core/Deep.java'")
+    assert rows(mine(f.types), "name", "line") == [("Deep", 2)]
+    assert rows(mine(f.methods), "name", "line", "return_type") == [("after", 9, "void"), ("build", 8, "List")]
+    assert ("deep", "Map") in rows(mine(f.variables), "var", "type") and ("in", "Map") in rows(mine(f.variables), "var", "type")
+    assert rows(mine(f.calls), "method", "name") == [("after", "run"), ("build", "use")]
+
+
+def test_overloads_are_judged_each_by_its_own(spark):
+    """Only the overload that listens may not publish; only the one that doesn't may not consume."""
+    code = "package a.core;\npublic class Over {\n  @KafkaListener(topics = \"t\")\n  public void on(String m) { bus.publish(m, 1); bus.consume(m); }\n" \
+           "  public void on(String m, int n) { bus.publish(m, n); bus.consume(m); }\n}\n"
+    got = U.unconverted(facts(spark, {"core/Over.java": code})).select("line", "symbol")
+    assert rows(got) == [(4, "on (publish)"), (5, "on (consume)")]
+
+
+def test_full_report_and_verdict(spark):
+    files = {**BASE, "core/Bad.java": BAD}
+    df = spark.createDataFrame([("p", k, v) for k, v in files.items()] + [("q", k, v) for k, v in BASE.items()], SCHEMA)
+    deny = spark.createDataFrame([(0, "a.core.Gone")], "ord int, key string")
+    f = K.extract_facts(df, materialise=False)
+    report = N.full_report(f, df, deny, hybrid=False)
+    counts = {(r.project_id, r.category): r.n for r in N.category_counts(report).collect()}
+    assert counts["p", "CONTRACT"] > 3 and counts["p", "FORBIDDEN_IMPORT"] == 1 and not any(p == "q" for p, _ in counts)
+    verdict = {r.project_id: (r.files, r.clean) for r in N.report_verdict(report, df).collect()}
+    assert verdict == {"p": (4, False), "q": (3, True)}
+    hybrid = N.full_report(f, df, deny)
+    assert rows(hybrid.filter("category = 'NO_LISTENERS_FOUND'"), "project_id", "path", "line") == [("p", "", -1), ("q", "", -1)]
