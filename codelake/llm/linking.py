@@ -57,10 +57,12 @@ def contracted(links: DataFrame, held: int = HELD) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all linked names; the component is its least name.
 
-    Tasks contract their links first.  Then, round by round, each name takes the least label
+    Tasks of about a million links contract them first, so what is left is little more than a
+    link for each name, however many partitions the links came in.  Then, round by round, each name takes the least label
     among its neighbours' and that label's own label, so chains shorten by half.
     """
-    links = saved(contracted(links).distinct())
+    links = saved(links.select("src", "dst"))
+    links = saved(contracted(links.coalesce(max(1, -(-links.count() // HELD)))).distinct())
     both = saved(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     known = saved(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
