@@ -109,7 +109,6 @@ def dependency_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         least = state.filter("n IS NOT NULL").select("node", "p").join(told, "node", "left").select("node", F.greatest("p", F.coalesce("told", F.lit(1))).alias("p"))
         # a node that has found itself behind its own dependency keeps that edge and is never ready
         live = checkpoint(moved.groupBy("node", "dep").agg(F.max("w").alias("w")))
-        least = checkpoint(least)
         if len(parts) == 32:  # keep the final union short on graphs that stay deep
             parts = [checkpoint(_union(parts))]
     settled = _union(parts) if parts else state.select("node", F.col("p").cast("int").alias("pass")).limit(0)

@@ -150,19 +150,21 @@ def fold_finite(rows: DataFrame, keys: Sequence[str], order: Sequence[str], symb
     holds is one block, whatever the key.
     """
     keys, order = list(keys), list(order)
-    keep = [c for c in rows.columns if c not in keys]
+    keep = [c for c in rows.columns if c not in (*keys, slices.RANGE)]
     n = len(table.states)
     flat = F.array(*[F.lit(x) for row in table.after for x in row])
     follow = lambda state, sym: F.get(flat, sym * n + state)
     same = F.array(*[F.lit(k) for k in range(n)])
-    placed = slices.row_numbers(slices.ranged(rows, keys, order), keys, order, "_place", slices.by_range())
+    cut = rows if slices.RANGE in rows.columns else slices.ranged(rows, keys, order)
+    placed = slices.row_numbers(cut, keys, order, "_place", slices.by_range())
     upper = lambda c: F.floor(F.col(c) / block).cast("bigint")
     placed = placed.withColumn("_block", F.floor((F.col("_place") - 1) / block).cast("bigint"))
     packed = placed.groupBy(*keys, "_block").agg(F.sort_array(F.collect_list(F.struct("_place", F.col(symbol).alias("_symbol"), F.struct(*keep).alias("_row")))).alias("_rows"))
     packed = checkpoint(packed)
     run = F.aggregate("_rows", same, lambda m, r: F.transform(m, lambda x: follow(x, r["_symbol"])))
-    levels = [checkpoint(packed.select(*keys, "_block", run.alias("_map")))]
-    most = levels[0].agg(F.max("_block").alias("m")).collect()[0]["m"]
+    most = packed.agg(F.max("_block").alias("m")).collect()[0]["m"]
+    # where every key is one block, all start at the machine's start and no map is needed
+    levels = [checkpoint(packed.select(*keys, "_block", run.alias("_map"))) if most else packed.select(*keys, "_block")]
     while most:
         parents = levels[-1].groupBy(*keys, upper("_block").alias("_upper")).agg(F.sort_array(F.collect_list(F.struct("_block", "_map"))).alias("_maps"))
         whole = F.aggregate("_maps", same, lambda m, child: F.transform(m, lambda x: F.get(child["_map"], x)))
@@ -205,7 +207,7 @@ def session_states(log: DataFrame, threshold: int = 3) -> DataFrame:
     symbol = F.when(F.col("action") == "agent_failure", F.when(errors >= threshold, known.index("failure_pauses")).otherwise(known.index("failure_fails")))
     for k, action in enumerate(known[: -len(machine.failures)]):
         symbol = symbol.when(F.col("action") == action, k)
-    rows = log.select("run_id", "ts", "event_id", "action", errors.alias("errors"), symbol.otherwise(len(known)).alias("_symbol"))
+    rows = log.select("run_id", "ts", "event_id", "action", slices.RANGE, errors.alias("errors"), symbol.otherwise(len(known)).alias("_symbol"))
     done = fold_finite(rows, keys, order, "_symbol", table)
     status, origin = ([[s[c] for s in table.states]] for c in ("status", "from"))
     ok = [[o[0] for o in row] for row in table.outputs]
