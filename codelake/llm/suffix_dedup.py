@@ -293,10 +293,12 @@ def repeated_ranges(keyed: DataFrame, span: int = SPAN, per_shard: int | None =
     Shorter spans have more surroundings in a shard, so that its text stays as long.
     """
     per_shard = per_shard or PER_SHARD * SPAN // span
+    spark, first = keyed.sparkSession, written_so_far(keyed.sparkSession)
     anchors = saved(_anchors(keyed, span))
     # written, so that the join below deals out both sides itself and can split a hot anchor
     twice = saved(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
     hits = saved(anchors.join(twice, "h"))
+    release_inner(spark, first)  # anchors are the largest table here, and nothing reads them again
     around = hits.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("at"))
     around = saved(around)
     sizes = saved(around.groupBy("h").agg(F.count(F.lit(1)).alias("n_around")))
