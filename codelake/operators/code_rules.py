@@ -254,6 +254,7 @@ def profile_projects(files: DataFrame, max_files: int | None = None, max_chars:
         F.concat_ws(",", framework, build, F.when(eligible, "GCP_PUBSUB")).alias("technologies"))
 
 
+# Fixed patterns and ladders of build files.
 MAVEN_VERSION = "<maven\\.compiler\\.(?:source|release)>\\s*(\\d+)\\s*</maven\\.compiler"
 GRADLE_VERSION = "(?:sourceCompatibility|JavaLanguageVersion\\.of)\\s*[=(]?\\s*['\"]?(\\d+)"
 FRAMEWORKS = [

@@ -45,20 +45,21 @@ def stages(findings: DataFrame) -> DataFrame:
     )
 
 
-def risks(findings: DataFrame, features: DataFrame, notes: DataFrame) -> DataFrame:
+def risks(findings: DataFrame, features: DataFrame, notes: DataFrame, advice: str = "Check this by hand.",
+          feature_advice: str = "Check this by hand; the notes of its file say more.") -> DataFrame:
     """Warnings and notes are MEDIUM risks; features without a target are LOW.
 
     ``features`` is (project_id, path, id, description, target), ``notes`` (project_id, note).
+    The advice texts are the caller's.
     """
-    review = F.lit("Manual review recommended.")
+    review = F.lit(advice)
     warn = findings.filter(F.col("severity") == "WARNING").select(
         "project_id", F.lit("MEDIUM").alias("level"), "path", F.col("message").alias("text"), review.alias("advice"))
     noted = notes.select("project_id", F.lit("MEDIUM").alias("level"), F.lit(None).cast("string").alias("path"),
                          F.col("note").alias("text"), review.alias("advice"))
     unmapped = features.filter(F.trim(F.coalesce("target", F.lit(""))) == "").select(
         "project_id", F.lit("LOW").alias("level"), "path",
-        F.concat(F.lit("Feature '"), "id", F.lit("' ("), "description", F.lit(") has no direct equivalent.")).alias("text"),
-        F.lit("Manual review recommended — see migration notes for this file.").alias("advice"))
+        F.concat(F.lit("No target is known for "), "id", F.lit(": "), "description").alias("text"), F.lit(feature_advice).alias("advice"))
     return warn.unionByName(noted).unionByName(unmapped)
 
 
@@ -252,7 +253,7 @@ def static_checks(files: DataFrame) -> DataFrame:
     filled = modified.filter(~blank)
     idle = files.groupBy("project_id").agg(F.bool_or(F.col("change_type") == "MODIFIED").alias("m")).filter(~F.col("m")).select(
         "project_id", F.lit("static").alias("runner_id"), F.lit("WARNING").alias("severity"), F.lit(None).cast("string").alias("path"),
-        F.lit(None).cast("int").alias("line"), F.lit("No files were modified").alias("message"))
+        F.lit(None).cast("int").alias("line"), F.lit("nothing was changed").alias("message"))
     return (
         empty.unionByName(pattern_findings(filled, "static", STATIC_RULES))
         .unionByName(pattern_findings(filled.filter(F.col("path").endswith(".java")), "static", STATIC_JAVA_RULES))

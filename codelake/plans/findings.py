@@ -31,7 +31,7 @@ def _(t):
 RISK_SQL = """
     risk AS (SELECT project_id, 'MEDIUM' AS level, path, message AS text FROM findings WHERE severity = 'WARNING'
       UNION ALL SELECT project_id, 'MEDIUM', NULL, message FROM findings WHERE runner_id = 'custom' AND severity = 'ERROR'
-      UNION ALL SELECT project_id, 'LOW', path, 'Feature ''' || runner_id || ''' (' || message || ') has no direct equivalent.' FROM findings WHERE line < 2 AND severity = 'INFO')"""
+      UNION ALL SELECT project_id, 'LOW', path, 'No target is known for ' || runner_id || ': ' || message FROM findings WHERE line < 2 AND severity = 'INFO')"""
 
 
 def _risks(t):
