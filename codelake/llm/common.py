@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelake.session import shared_folder
+from codelake.session import shared_folder, small_batches  # noqa: F401
 
 # ---------------------------------------------------------------- tables and written results
 
@@ -48,23 +48,6 @@ def release(spark: SparkSession) -> None:
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-#: Bytes of a batch that goes to Python, where a stage's texts are long and earlier stages' workers still live.
-BATCH_BYTES = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's bound on the bytes of a batch for Python, unless it's lower already."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if _bytes(spark.conf.get(name, "2147483647")) > BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
-def _bytes(text: str) -> int:
-    """A size setting such as 64MB in bytes."""
-    number = text.lower().rstrip("b").strip()
-    return int(number[:-1]) << {"k": 10, "m": 20, "g": 30}[number[-1]] if number[-1].isalpha() else int(number)
-
-
 def written_so_far(spark: SparkSession) -> int:
     """How many tables ``saved`` has that ``release`` would delete."""
     return len(_WRITTEN.get(spark.sparkContext.applicationId, []))

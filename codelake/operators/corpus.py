@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelake.functions.text import html_to_text, java_trim, sha256_hex
 from codelake.operators.filters import allowed_urls
+from codelake.session import small_batches
 
 
 def chunk_texts(text: Column, max_chars: int = 800, separator: str = "\n{2,}") -> Column:
@@ -258,27 +260,55 @@ def retry_context(findings: DataFrame, order: Sequence[str], budget: int = TOKEN
 
 # ---- projects as file sets -----------------------------------------------------------
 
-FLAT_LIMIT = 64 * 1024 * 1024
+def _flat_digests(records: DataFrame) -> DataFrame:
+    """SHA-256 of each project's records in the order of their paths.
 
-
-def fingerprint(files: DataFrame, flat_limit: int = FLAT_LIMIT, fanout: int = 3) -> DataFrame:
+    A hash takes its bytes one after the other, so a project is one task; the rows stream
+    through it from Spark's sort and none are held.
+    """
+    small_batches(records.sparkSession)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = None
+
+        def out(name, done):
+            columns = [pa.array([name], names.type), pa.array([done.hexdigest() if done else None], pa.string()), pa.array(["flat"], pa.string())]
+            return pa.RecordBatch.from_arrays(columns, ["project_id", "digest", "layout"])
+
+        project, done = None, None
+        for batch in batches:
+            for name, rec in zip(batch.column("project_id"), batch.column("rec").to_pylist()):
+                if names is None:
+                    names, project = batch.column("project_id"), name
+                elif name != project:
+                    yield out(project.as_py(), done)
+                    project, done = name, None
+                if rec is not None:
+                    done = done or hashlib.sha256()
+                    done.update(rec)
+        if names is not None:
+            yield out(project.as_py(), done)
+
+    kind = records.schema["project_id"].dataType.simpleString()
+    # the records themselves are the second sort key, for paths found twice
+    ordered = records.repartition("project_id").sortWithinPartitions("project_id", "path", "rec")
+    return ordered.select("project_id", F.col("rec").cast("binary").alias("rec")).mapInArrow(digest, f"project_id {kind}, digest string, layout string")
+
+
+def fingerprint(files: DataFrame, flat_limit: int | None = None, fanout: int = 3) -> DataFrame:
     """SHA-256 of each project's file set.
 
-    Up to ``flat_limit`` characters a project's hash is over its path-sorted
-    ``path:content\\n`` records (layout ``flat``).  A larger project cannot be one
-    value in one task; it gets a digest of digests over path-hash buckets (layout
-    ``tree``), which is equal exactly when the file sets are equal.
+    A project's hash is over its path-sorted ``path:content\\n`` records (layout
+    ``flat``), whatever its size.  With ``flat_limit``, a project of more characters gets
+    a digest of digests over path-hash buckets (layout ``tree``), which is equal exactly
+    when the file sets are equal and which tasks share.
     """
     record = F.concat("path", F.lit(":"), "content", F.lit("\n"))
+    if flat_limit is None:
+        return _flat_digests(files.select("project_id", "path", record.alias("rec")))
     sized = files.groupBy("project_id").agg(F.sum(F.length("path") + F.length("content") + 2).alias("_size"))
     tagged = files.join(sized, "project_id")
-    flat = (
-        tagged.filter(F.col("_size") <= flat_limit)
-        .groupBy("project_id")
-        .agg(F.sort_array(F.collect_list(F.struct("path", record.alias("rec")))).alias("r"))
-        .select("project_id", F.sha2(F.array_join(F.transform("r", lambda x: x["rec"]), ""), 256).alias("digest"),
-                F.lit("flat").alias("layout"))
-    )
+    flat = _flat_digests(tagged.filter(F.col("_size") <= flat_limit).select("project_id", "path", record.alias("rec")))
     leaf = F.struct("path", F.sha2(record, 256).alias("h"))
     joined = lambda c: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["h"]), ""), 256)
     tree = (

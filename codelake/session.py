@@ -67,6 +67,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that goes to Python, where texts are long or workers of earlier stages still live.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of a batch for Python, unless it's lower already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(name, "2147483647")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def _bytes(text: str) -> int:
+    """A size setting such as 64MB in bytes."""
+    number = text.lower().rstrip("b").strip()
+    return int(number[:-1]) << {"k": 10, "m": 20, "g": 30}[number[-1]] if number[-1].isalpha() else int(number)
+
+
 _STORED: dict[tuple, object] = {}
 
 

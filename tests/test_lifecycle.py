@@ -139,6 +139,22 @@ def test_fingerprint_layouts(spark):
         assert f(a) == f(a[::-1]) and f(a)["p"] != f([("p", "b", "2"), ("p", "a", "x")])["p"]
 
 
+def test_fingerprint_of_a_large_project_is_plain(spark):
+    import hashlib
+    from pyspark.sql import functions as F
+
+    n = 70
+    files = spark.range(n).select(
+        F.lit("big").alias("project_id"), F.format_string("f%02d", "id").alias("path"), F.repeat(F.format_string("%08d", "id"), 125_000).alias("content"))
+    more = spark.createDataFrame([("none", "a", None), (None, "b", "2"), (None, "a", "1"), ("é", "a", "ü")], "project_id string, path string, content string")
+    want = hashlib.sha256()
+    for i in range(n):
+        want.update(f"f{i:02d}:".encode() + f"{i:08d}".encode() * 125_000 + b"\n")
+    got = {r.project_id: r.digest for r in C.fingerprint(files.unionByName(more)).collect()}
+    plain = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {"big": want.hexdigest(), "none": None, None: plain("a:1\nb:2\n"), "é": plain("a:ü\n")}
+
+
 def test_common_prefix_fallback(spark):
     df = spark.createDataFrame([("g", "b.x"), ("g", "a.y"), ("h", "a.b.c"), ("h", "a.b"), ("i", "z.q")], "g string, p string")
     assert dict(rows(C.common_prefix(df, ["g"], "p"))) == {"g": "", "h": "a.b", "i": "z.q"}
