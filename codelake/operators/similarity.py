@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelake.session import checkpoint
+from codelake.session import checkpoint, small_batches
 
 
 def signature(tokens: Column) -> Column:
@@ -30,42 +34,83 @@ def versions_compatible(a: Column, b: Column) -> Column:
 def _rows(df: DataFrame) -> DataFrame:
     """Non-empty signatures with their unit key, written once: computing them is the costly part."""
     unit = F.sha2(F.concat_ws("\u0001", F.col("version"), F.array_join("sig", "\u0002")), 256)
-    return checkpoint(df.filter(F.size("sig") > 0).select("id", "version", "sig", unit.alias("unit")))
+    return checkpoint(df.filter(F.size("sig") > 0).select("id", "version", "sig", F.unhex(F.left(unit, F.lit(32))).alias("unit")))
 
 
-def _units(sig: DataFrame) -> DataFrame:
-    """One row per distinct (signature, version) with its two smallest ids.
+def _units(rows: DataFrame) -> DataFrame:
+    """One row per distinct (signature, version) with its two smallest ids and its tokens' hashes.
 
     Copies collapse here, so a signature shared by a third of the rows is one row
     in the join below.
     """
     smallest = Window.partitionBy("unit").orderBy("id")
-    low = sig.select("unit", "id").withColumn("_n", F.row_number().over(smallest)).filter("_n <= 2")
+    low = rows.select("unit", "id").withColumn("_n", F.row_number().over(smallest)).filter("_n <= 2")
     ids = low.groupBy("unit").agg(F.min("id").alias("id1"), F.max(F.when(F.col("_n") == 2, F.col("id"))).alias("id2"))
-    body = sig.groupBy("unit").agg(F.first("version").alias("version"), F.first("sig").alias("sig"))
+    body = rows.select("unit", "version", F.transform("sig", lambda t: F.xxhash64(t)).alias("tokens")).dropDuplicates(["unit"])
     return body.join(ids, "unit")
 
 
-def _ranked(units: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Tokens of each unit, rarest first, with their position and the unit's size.
+#: Token counts by hash, over about so many units chosen by hash: they only decide in which order a set's tokens stand.
+BUCKETS, SAMPLE = 1 << 20, 50_000
+#: Words of 64 bits of a set's sketch, and from how many tokens on the wide one is used.
+NARROW, WIDE, LONG = 8, 32, 1024
 
-    The order must be the same total order everywhere: tokens that are not frequent
-    come first in hash order, frequent ones follow by falling rarity.
-    """
-    exploded = units.select("unit", F.size("sig").alias("n"), F.explode("sig").alias("token"))
-    weight = F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.xxhash64("token").alias("h"), F.col("token").alias("token"))
-    return (
-        exploded.join(frequent, "token", "left")
-        .groupBy("unit", "n")
-        .agg(F.sort_array(F.collect_list(weight)).alias("ordered"))
-        .select("unit", "n", F.transform("ordered", lambda w: w["token"]).alias("ordered"))
-    )
 
+def _counts(units: DataFrame) -> np.ndarray:
+    """How many sampled units hold a token of each hash bucket."""
+    part = min(1.0, SAMPLE / max(1, units.count()))
+    sample = units.filter(F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) < int(part * (1 << 20))).select(F.explode("tokens").alias("token"))
+    found = sample.groupBy(F.pmod("token", F.lit(BUCKETS)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).cast("int").alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, np.int32)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return counts
 
-def _prefix(df: DataFrame, threshold: float) -> DataFrame:
-    """The leading n - ceil(t n) + 1 tokens: two sets at or above t share one of them."""
-    length = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
-    return df.select("unit", "n", F.explode(F.slice("ordered", F.lit(1), length)).alias("token"))
+
+def _prefix(units: DataFrame, threshold: float, counts: Broadcast, long: bool) -> DataFrame:
+    """(unit, n, token, w0, w1, ...): a set's leading n - ceil(t n) + 1 tokens, rarest first, each with the set's sketch.
+
+    Two sets at or above t share one of these tokens, whatever the order is, if it's the
+    same for all sets.  A sketch holds the parity of the set's tokens by hash: sketches
+    differ in no more bits than sets in tokens.
+    """
+    words = WIDE if long else NARROW
+    names = ["unit", "n", "token", *[f"w{i}" for i in range(words)]]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            n = np.asarray(lists.value_lengths(), np.int64)
+            token = np.asarray(lists.flatten())
+            row = np.repeat(np.arange(len(n)), n)
+            bit = (token >> 32) & (64 * words - 1)
+            odd = np.bincount(row * 64 * words + bit, minlength=len(n) * 64 * words).astype(np.uint8) & 1
+            sketch = np.packbits(odd).view(np.int64).reshape(len(n), words)
+            order = np.lexsort((token, counts.value[token & (BUCKETS - 1)], row))
+            length = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+            at = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+            lead = at < np.repeat(length, n)
+            of = row[lead]  # rows stay in place when tokens are ordered inside them
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("unit").take(pa.array(of)), pa.array(n[of].astype(np.int32)), pa.array(token[order][lead]),
+                 *[pa.array(sketch[of, i]) for i in range(words)]], names)
+
+    kinds = f"unit {units.schema['unit'].dataType.simpleString()}, n int, token long, " + ", ".join(f"w{i} long" for i in range(words))
+    return units.select("unit", "tokens").mapInArrow(prefixes, kinds)
+
+
+def _candidates(q: DataFrame, c: DataFrame, threshold: float, long: bool, same: bool) -> DataFrame:
+    """Pairs of units with a common leading token, fitting sizes and sketches near enough."""
+    words = WIDE if long else NARROW
+    a, b = q.alias("a"), c.alias("b")
+    na, nb = F.col("a.n"), F.col("b.n")
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.w{i}").bitwiseXOR(F.col(f"b.w{i}"))) for i in range(words)])
+    near = (F.col("a.token") == F.col("b.token")) & (nb >= na * threshold - 1e-9) & (nb * threshold - 1e-9 <= na)
+    near = near & (apart <= (na + nb) * ((1 - threshold) / (1 + threshold)) + 1e-6)
+    # the narrow sketch is for pairs of two short sets, the wide one for all others
+    near = near & ((F.greatest(na, nb) >= LONG) if long else (F.greatest(na, nb) < LONG))
+    if same:
+        near = near & (F.col("a.unit") < F.col("b.unit"))
+    return a.join(b, near).select(F.col("a.unit").alias("q_unit"), F.col("b.unit").alias("c_unit")).distinct()
 
 
 def similar_plans(queries: DataFrame, cache: DataFrame, threshold: float = 0.85, skip_self: bool = False) -> DataFrame:
@@ -74,52 +119,45 @@ def similar_plans(queries: DataFrame, cache: DataFrame, threshold: float = 0.85,
     Highest Jaccard first, then smallest id.  An empty query signature never matches.
     ``skip_self`` is for one table joined with itself.
 
-    Candidates come from prefix filtering with a size bound, not from all pairs that
-    share any token.
+    Candidates come from prefix filtering with a size bound and a bound by sketches, so
+    that whole signatures meet for few pairs that don't match.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
+    spark = queries.sparkSession
+    small_batches(spark)
     q_rows = _rows(queries)
     # The distinct signatures are read several times below: written once.
     q_full = checkpoint(_units(q_rows))
-    c_units = q_full if cache is queries else checkpoint(_units(_rows(cache)))
-    q_units = q_full.select("unit", "version", "sig")
-
-    tokens = c_units.select(F.explode("sig").alias("token"))
-    # At most (tokens per signature) * 1000 tokens pass this cut, whatever the table's size.
-    total = c_units.agg(F.count(F.lit(1)).alias("units")).scalar()
-    frequent = (
-        tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-        .withColumn("_cut", total / 1000).filter(F.col("df") > F.col("_cut")).drop("_cut")
-    )
-    frequent = checkpoint(frequent)
-    c_prefix = checkpoint(_prefix(_ranked(c_units, frequent), threshold))
-    q_prefix = c_prefix if cache is queries else _prefix(_ranked(q_units, frequent), threshold)
-    q_pre = q_prefix.select(F.col("unit").alias("q_unit"), F.col("n").alias("q_n"), "token")
-    c_pre = c_prefix.select(
-        F.col("unit").alias("c_unit"), F.col("n").alias("c_n"), "token")
-    # Join on (token, size band): a query probes only the bands that its size allows.
-    band = 1.0 / math.log(1 / threshold) if threshold < 1 else 1.0
-    band_of = lambda n: F.floor(F.log(n.cast("double")) * band)
-    q_probe = q_pre.withColumn(
-        "band", F.explode(F.sequence(band_of(F.col("q_n")) - 1, band_of(F.col("q_n")) + 1)) if threshold < 1 else band_of(F.col("q_n"))
-    )
-    pairs = (
-        q_probe.join(c_pre.withColumn("band", band_of(F.col("c_n"))), ["token", "band"])
-        .filter((F.col("c_n") >= F.col("q_n") * threshold - 1e-9) & (F.col("c_n") * threshold - 1e-9 <= F.col("q_n")))
-        .select("q_unit", "c_unit").distinct()
-    )
-    q_side = q_units.select(F.col("unit").alias("q_unit"), F.col("version").alias("q_v"), F.col("sig").alias("q_sig"))
-    c_side = c_units.select(
-        F.col("unit").alias("c_unit"), F.col("version").alias("c_v"), F.col("sig").alias("c_sig"), "id1", "id2")
+    same = cache is queries
+    c_units = q_full if same else checkpoint(_units(_rows(cache)))
+
+    counts = spark.sparkContext.broadcast(_counts(c_units))
+    parts = []
+    for long in (False, True):
+        # a partner of a long set is at least ``threshold`` as long
+        fits = F.size("tokens") >= LONG * threshold - 1 if long else F.size("tokens") < LONG
+        c_pre = checkpoint(_prefix(c_units.filter(fits), threshold, counts, long))
+        q_pre = c_pre if same else checkpoint(_prefix(q_full.filter(fits), threshold, counts, long))
+        parts.append(checkpoint(_candidates(q_pre, c_pre, threshold, long, same)))
+    pairs = parts[0].unionByName(parts[1])
+    side = lambda df, x: df.select(F.col("unit").alias(f"{x}_unit"), F.col("version").alias(f"{x}_v"), F.col("tokens").alias(f"{x}_tokens"), F.struct("id1", "id2").alias(f"{x}_ids"))
     scored = (
-        pairs.join(q_side, "q_unit").join(c_side, "c_unit")
+        pairs.join(side(q_full, "q"), "q_unit").join(side(c_units, "c"), "c_unit")
         .filter(versions_compatible(F.col("q_v"), F.col("c_v")))
-        .withColumn("score", jaccard(F.col("q_sig"), F.col("c_sig")))
+        .withColumn("score", jaccard(F.col("q_tokens"), F.col("c_tokens")))
         .filter(F.col("score") >= threshold)
+        .select("q_unit", "c_unit", "q_ids", "c_ids", "score")
     )
+    if same:
+        # a pair of units was scored once; a unit's own copies need no comparison
+        scored = checkpoint(scored)
+        back = scored.select(F.col("c_unit").alias("q_unit"), F.col("q_ids").alias("c_ids"), "score")
+        own = q_full.filter(versions_compatible(F.col("version"), F.col("version"))).select(
+            F.col("unit").alias("q_unit"), F.struct("id1", "id2").alias("c_ids"), F.lit(1.0).alias("score"))
+        scored = scored.select("q_unit", "c_ids", "score").unionByName(back).unionByName(own)
     # Per query unit keep the best two candidate ids: one of them may be the query itself.
-    ids = scored.select("q_unit", "score", F.explode(F.array("id1", "id2")).alias("match_id")).filter("match_id IS NOT NULL")
+    ids = scored.select("q_unit", "score", F.explode(F.array("c_ids.id1", "c_ids.id2")).alias("match_id")).filter("match_id IS NOT NULL")
     best = Window.partitionBy("q_unit").orderBy(F.desc("score"), "match_id")
     top = ids.withColumn("_n", F.row_number().over(best)).filter("_n <= 2")
     members = q_rows.select("id", F.col("unit").alias("q_unit"))

@@ -53,3 +53,19 @@ def test_random_against_brute_force(spark):
         got = {r.id: (r.match_id, round(r.score, 9)) for r in similar_plans(df, df, threshold, skip_self=True).collect()}
         want = {k: (j, round(s, 9)) for k, (j, s) in brute(rows, threshold).items()}
         assert got == want
+
+
+def test_many_frequent_tokens_give_few_pairs(spark, monkeypatch):
+    """Sets from one small vocabulary share leading tokens; sketches keep the pairs that don't match from being compared."""
+    import codelake.operators.similarity as S
+
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, "", sorted(rnd.sample(words, n))) for i, n in enumerate([40] * 300 + [400] * 100 + [1100] * 40)]
+    rows += [(1000 + k, "", sorted(set(sig) - set(sig[:2]) | {"x"})) for k, (_, _, sig) in enumerate(rows[::20])]
+    found, candidates = [], S._candidates
+    monkeypatch.setattr(S, "_candidates", lambda *a: found.append(candidates(*a)) or found[-1])
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.id: (r.match_id, round(r.score, 9)) for r in S.similar_plans(df, df, 0.85, skip_self=True).collect()}
+    assert got == {k: (j, round(s, 9)) for k, (j, s) in brute(rows, 0.85).items()} and len(got) == 44
+    assert sum(x.count() for x in found) < 50
