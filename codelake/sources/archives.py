@@ -9,6 +9,8 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from codelake.session import small_batches
+
 # Fixed suffix and path-fragment lists.
 TARGET_SUFFIXES = [".java", ".kt", ".yml", ".yaml", ".properties", ".gradle", ".kts"]
 SKIP_FRAGMENTS = [
@@ -54,6 +56,7 @@ def read_archives(archives: DataFrame, mode: str = "source", suffixes: Sequence[
     """
     if mode not in ("source", "all"):
         raise ValueError(mode)
+    small_batches(archives.sparkSession)  # an archive is large: many of them in one batch would fill a worker
     wanted = tuple(suffixes) if mode == "source" else None
     skipped = tuple(skip)
 
@@ -74,6 +77,8 @@ def read_archives(archives: DataFrame, mode: str = "source", suffixes: Sequence[
 
 def list_paths(archives: DataFrame) -> DataFrame:
     """(archive, path) of every file; only the archives' directories are read."""
+    small_batches(archives.sparkSession)
+
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []

@@ -20,3 +20,19 @@ def test_reader(spark, tmp_path):
     assert dict(rows(A.read_archives(z, cap=3), "path", "content"))["p/B.java"] == "ä�"
     assert rows(A.read_archives(z, mode="all"), "path") == [("p/A.java",), ("p/B.java",), ("p/logo.png",), ("p/pom.xml",)]
     assert A.list_paths(z).count() == 6
+
+
+def test_batches_of_archives_are_bounded_by_bytes(spark):
+    from codelake.session import BATCH_BYTES, small_batches
+    from codelake.sources.archives import list_paths, read_archives
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    archives = spark.createDataFrame([("a", b"")], "archive string, content binary")
+    for read in (read_archives, list_paths):
+        spark.conf.set(name, str(1 << 30))
+        read(archives)
+        assert int(spark.conf.get(name)) == BATCH_BYTES
+    spark.conf.set(name, "1MB")
+    small_batches(spark)
+    assert spark.conf.get(name) == "1MB"
+    spark.conf.unset(name)
