@@ -8,7 +8,7 @@ It reads declarations as they are written in ordinary sources; it is not a compi
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -205,7 +205,7 @@ def constructors(st: DataFrame) -> DataFrame:
     return plain.unionByName(rec)
 
 
-def variables(st: DataFrame) -> DataFrame:
+def variables(st: DataFrame, own: DataFrame | None = None, ctors: DataFrame | None = None) -> DataFrame:
     """Fields, parameters and locals with their simple type; ``rank`` orders shadowing."""
     g = lambda i: F.regexp_extract("flat", VAR_RX, i)
     is_var = F.col("owner").isNotNull() & (F.col("tname") == "") & F.col("flat").rlike(VAR_RX) & (F.col("term").isin(";", "{"))
@@ -217,7 +217,7 @@ def variables(st: DataFrame) -> DataFrame:
         "project_id", "path", "pos", "line", "owner", F.explode("params").alias("p")).select(
         "project_id", "path", "pos", "line", "owner", F.col("p.name").alias("var"), F.col("p.type").alias("type"), none.alias("annotations"),
         F.lit(False).alias("is_field"), F.lit(1).alias("rank"))
-    return declared.unionByName(from_params(methods(st))).unionByName(from_params(constructors(st)))
+    return declared.unionByName(from_params(methods(st) if own is None else own)).unionByName(from_params(constructors(st) if ctors is None else ctors))
 
 
 def _all_calls(text: Column) -> Column:
@@ -297,26 +297,55 @@ def type_parameters(st: DataFrame) -> DataFrame:
     return st.filter(F.col("text").contains("<")).select("project_id", "path", F.explode(names).alias("name")).filter("name != ''").distinct()
 
 
-@dataclass
 class Facts:
-    """The fact tables of a corpus."""
+    """The fact tables of a corpus, each made when it is first asked for.
 
-    statements: DataFrame
-    types: DataFrame
-    imports: DataFrame
-    methods: DataFrame
-    constructors: DataFrame
-    variables: DataFrame
-    calls: DataFrame
-    creations: DataFrame
-    type_refs: DataFrame
-    type_params: DataFrame
+    With ``written`` a table that others are made from is written then, so that a check
+    which reads it several times extracts it once.
+    """
+
+    def __init__(self, statements: DataFrame, written: bool = False):
+        self.statements = statements
+        self._keep = checkpoint if written else lambda df: df
+
+    @cached_property
+    def types(self) -> DataFrame:
+        return self._keep(types(self.statements))
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        return imports(self.statements)
+
+    @cached_property
+    def methods(self) -> DataFrame:
+        return self._keep(methods(self.statements))
+
+    @cached_property
+    def constructors(self) -> DataFrame:
+        return self._keep(constructors(self.statements))
+
+    @cached_property
+    def variables(self) -> DataFrame:
+        return self._keep(variables(self.statements, self.methods, self.constructors))
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        return self._keep(calls(self.statements))
+
+    @cached_property
+    def creations(self) -> DataFrame:
+        return creations(self.statements)
+
+    @cached_property
+    def type_refs(self) -> DataFrame:
+        return type_references(self.statements)
+
+    @cached_property
+    def type_params(self) -> DataFrame:
+        return type_parameters(self.statements)
 
 
 def extract_facts(files: DataFrame, materialise: bool = True) -> Facts:
     """All fact tables; the statements are written once and read by every table."""
     st = statements(files)
-    if materialise:
-        st = checkpoint(st)
-    return Facts(st, types(st), imports(st), methods(st), constructors(st), variables(st), calls(st), creations(st),
-                 type_references(st), type_parameters(st))
+    return Facts(checkpoint(st) if materialise else st, materialise)

@@ -167,3 +167,16 @@ def test_full_report_and_verdict(spark):
     assert verdict == {"p": (4, False), "q": (3, True)}
     hybrid = N.full_report(f, df, deny)
     assert rows(hybrid.filter("category = 'NO_LISTENERS_FOUND'"), "project_id", "path", "line") == [("p", "", -1), ("q", "", -1)]
+
+
+def test_written_facts_are_extracted_once(spark):
+    """A written fact table no longer holds the regexes that made it, and equals the table made anew."""
+    from codelake.operators import facts as K
+
+    code = "package a;\nclass C {\n  private D d;\n  C(D x) { d.go(); }\n  void go(int n) { D e = new D(); e.run(n); }\n}\n"
+    files = spark.createDataFrame([("p", "C.java", code)], "project_id string, path string, content string")
+    once, anew = K.extract_facts(files), K.extract_facts(files, False)
+    for name in ("types", "methods", "constructors", "variables", "calls"):
+        df = getattr(once, name)
+        assert getattr(once, name) is df and "regexp" not in df._jdf.queryExecution().toString()
+        assert sorted(df.collect()) == sorted(getattr(anew, name).collect()) != []
