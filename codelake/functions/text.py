@@ -23,7 +23,7 @@ def alternation(words: Sequence[str]) -> str:
 
 def java_trim(col: Column) -> Column:
     """Strip every character up to U+0020 from both ends."""
-    return F.regexp_replace(col, "^[\\x00-\\x20]+|[\\x00-\\x20]+$", "")
+    return F.btrim(col, F.lit("".join(map(chr, range(0x21)))))
 
 
 def csv_cell(col: Column) -> Column:
@@ -170,23 +170,19 @@ FILE_MARKER = "(?m)^={2,}[ \\t]*FILE:[ \\t]*(.+?)[ \\t]*={2,}[ \\t]*$"
 
 def split_files(col: Column) -> Column:
     """Multi-file response to ``array<struct<path, body>>``; a repeated path keeps its last body."""
-    names = F.regexp_extract_all(col, F.lit(FILE_MARKER), 1)
-    bodies = F.split(col, FILE_MARKER, -1)
-    pairs = F.transform(
-        names,
-        lambda n, i: F.struct(
-            java_trim(n).alias("path"),
-            F.regexp_replace(F.element_at(bodies, (i + 2).cast("int")), "^\\s+|\\s+$", "").alias("body"),
-        ),
-    )
-    pairs = F.filter(pairs, lambda p: p["path"] != "")
-    return F.filter(
-        pairs,
+    # A lambda evaluates all of its body for each element, so what it shares is bound by a lambda around it.
+    found = F.array(F.struct(F.regexp_extract_all(col, F.lit(FILE_MARKER), 1).alias("names"), F.split(col, FILE_MARKER, -1).alias("bodies")))
+    pairs = F.transform(found, lambda f: F.filter(
+        F.transform(f["names"], lambda n, i: F.struct(
+            java_trim(n).alias("path"), F.btrim(F.element_at(f["bodies"], (i + 2).cast("int")), F.lit(" \t\n\x0b\f\r")).alias("body"))),
+        lambda p: p["path"] != ""))
+    last = F.transform(pairs, lambda ps: F.filter(
+        ps,
         lambda p, i: ~F.exists(
-            F.slice(pairs, (i + 2).cast("int"), F.greatest(F.size(pairs) - i - 1, F.lit(0)).cast("int")),
+            F.slice(ps, (i + 2).cast("int"), F.greatest(F.size(ps) - i - 1, F.lit(0)).cast("int")),
             lambda q: q["path"] == p["path"],
-        ),
-    )
+        )))
+    return F.get(last, F.lit(0))
 
 
 def has_marker(col: Column, markers: Sequence[str]) -> Column:

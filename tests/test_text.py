@@ -111,3 +111,10 @@ def test_status_and_push(spark):
     body = '{"repository":{"clone_url":"u"},"ref":"refs/heads/a/b","head_commit":{"id":"s"}}'
     push = spark.createDataFrame([(body,), ("{}",), ("not json",), ('{"ref":"x"}',)], "payload string")
     assert [(r.repo_url, r.branch, r.commit_sha) for r in parse_push(push).collect()] == [("u", "a/b", "s")]
+
+
+def test_split_files_reads_a_text_once(spark):
+    df = spark.createDataFrame([("=== FILE: a ===\nx\n=== FILE: b ===\n \x0b y z\t\n",)], "c string").select(X.split_files(F.col("c")).alias("f"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("split(") == 1
+    assert [tuple(r) for r in df.first().f] == [("a", "x"), ("b", "y z")]
