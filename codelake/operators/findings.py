@@ -281,8 +281,8 @@ def _tail(log: Column, chars: int | None) -> Column:
     return log if chars is None else F.when(F.length(log) > chars, F.substring(log, -chars, chars)).otherwise(log)
 
 
-def _hits(pattern: str, most: int | None) -> Column:
-    found = F.regexp_extract_all("log", F.lit(pattern), 0)
+def _hits(pattern: str, most: int | None, group: int = 0) -> Column:
+    found = F.regexp_extract_all("log", F.lit(pattern), group)
     return found if most is None else F.slice(found, 1, most)
 
 
@@ -293,24 +293,22 @@ def _one(severity: str, message: Column) -> Column:
 
 def parse_compile_log(logs: DataFrame, max_findings: int | None = None, tail_chars: int | None = None) -> DataFrame:
     """(…, exit_code, log) to findings: one per compiler error line, else the log's tail."""
-    found = logs.withColumn("_hits", _hits(COMPILE_ERROR, max_findings))
-    hits = F.col("_hits")
-
-    def finding(x):
-        path = F.regexp_extract(x, COMPILE_ERROR, 1)
-        at = F.instr(path, "/workspace/")
-        path = F.when(at > 0, F.substr(path, at + len("/workspace/"), F.length(path))).otherwise(path)
-        return F.struct(F.lit("ERROR").alias("severity"), path.alias("path"), F.regexp_extract(x, COMPILE_ERROR, 2).cast("int").alias("line"),
-                        java_trim(F.regexp_extract(x, COMPILE_ERROR, 3)).alias("message"))
-
     code = F.col("exit_code")
+    one = lambda text: F.array(F.struct(F.lit(None).cast("string").alias("p"), F.lit(None).cast("string").alias("l"), text.alias("m")))
+    group = lambda n: _hits(COMPILE_ERROR, max_findings, n)
+    # The groups are read in a pass each over the whole log; what is made of them is made of rows.
+    found = logs.withColumn("_p", F.when(F.coalesce(code != 0, F.lit(True)), group(1)))
     out = (
-        F.when(code == 0, _one("INFO", F.lit("Sandbox compile passed (mvn -DskipTests compile)")))
-        .when(F.size(hits) > 0, F.transform(hits, finding))
-        .otherwise(_one("ERROR", F.concat(F.lit("Sandbox compile failed (exit "), code.cast("string"), F.lit("); tail: "), _tail(F.col("log"), tail_chars))))
+        F.when(code == 0, one(F.lit("Sandbox compile passed (mvn -DskipTests compile)")))
+        .when(F.size("_p") > 0, F.arrays_zip(F.col("_p").alias("p"), group(2).alias("l"), group(3).alias("m")))
+        .otherwise(one(F.concat(F.lit("Sandbox compile failed (exit "), code.cast("string"), F.lit("); tail: "), _tail(F.col("log"), tail_chars))))
     )
     rest = [c for c in logs.columns if c not in ("exit_code", "log")]
-    return found.select(*rest, F.posexplode(out).alias("pos", "f")).select(*rest, "pos", "f.*")
+    at = F.instr("p", "/workspace/")
+    return found.select(*rest, "exit_code", F.posexplode(out).alias("pos", "f")).select(*rest, "exit_code", "pos", "f.*").select(
+        *rest, "pos", F.when(F.col("p").isNull() & (code == 0), "INFO").otherwise("ERROR").alias("severity"),
+        F.when(at > 0, F.substr("p", at + len("/workspace/"), F.length("p"))).otherwise(F.col("p")).alias("path"),
+        F.col("l").cast("int").alias("line"), F.when(F.col("p").isNotNull(), java_trim(F.col("m"))).otherwise(F.col("m")).alias("message"))
 
 
 def parse_test_log(logs: DataFrame, max_findings: int | None = None, tail_chars: int | None = None) -> DataFrame:

@@ -180,3 +180,12 @@ def test_written_facts_are_extracted_once(spark):
         df = getattr(once, name)
         assert getattr(once, name) is df and "regexp" not in df._jdf.queryExecution().toString()
         assert sorted(df.collect()) == sorted(getattr(anew, name).collect()) != []
+
+
+def test_a_log_is_read_by_group(spark):
+    log = "x\n[ERROR]  /tmp/workspace/src/A.java:[7,1]  gone \t\n[ERROR] b/B.java:[8,2] lost\n"
+    df = N.parse_compile_log(spark.createDataFrame([(1, 1, log), (2, 0, log), (3, 2, " none "), (4, None, log)], "id int, exit_code int, log string"))
+    assert "regexp_extract(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    two = [(0, "ERROR", "src/A.java", 7, "gone"), (1, "ERROR", "b/B.java", 8, "lost")]
+    assert rows(df) == sorted([(1, *t) for t in two] + [(4, *t) for t in two] + [
+        (2, 0, "INFO", None, None, "Sandbox compile passed (mvn -DskipTests compile)"), (3, 0, "ERROR", None, None, "Sandbox compile failed (exit 2); tail:  none ")], key=repr)
