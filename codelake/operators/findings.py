@@ -166,6 +166,10 @@ def enclosing(lines: DataFrame, keys: Sequence[str], declares: Column) -> DataFr
 METHOD_DECL = "\\b(?:public|private|protected|static|final|\\s)*[\\w<>\\[\\],.?]+\\s+(\\w+)\\s*\\([^;]*\\)\\s*\\{?\\s*$"
 
 
+def _strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
 def first_hits(files: DataFrame, rules: Sequence[tuple[str, Sequence[str]]], content: str = "content",
                declaration: str | None = None) -> DataFrame:
     """First matching line per (file, rule), evaluated inside the row.
@@ -175,21 +179,22 @@ def first_hits(files: DataFrame, rules: Sequence[tuple[str, Sequence[str]]], con
     """
     ls = F.transform(F.split(F.col(content), "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
     any_rule = "|".join(f"(?:{r})" for _, rs in rules for r in rs)
-    pre = files.filter(F.col(content).rlike(any_rule)).withColumn("_l", ls)
+    # No filter: Spark would move it, and with it whatever makes the content, below the caller's repartition.
+    pre = files.withColumn("_l", F.when(F.col(content).rlike(any_rule), ls))
 
     def hit(rule_id, regexes, position):
-        first = F.get(F.filter("_l", lambda x: x["text"].rlike("|".join(f"(?:{r})" for r in regexes))), F.lit(0))
-        return F.struct(F.lit(position).alias("ord"), F.lit(rule_id).alias("feature_id"), first["line"].alias("line"),
-                        F.regexp_replace(first["text"], "^\\s+|\\s+$", "").alias("text"))
+        rule = "|".join(f"(?:{r})" for r in regexes)
+        # A line that fits makes the content fit, so lines are looked at for few rules only.
+        fits = F.when(F.col("_l").isNotNull() & F.col(content).rlike(rule), F.filter("_l", lambda x: x["text"].rlike(rule)))
+        return F.transform(F.slice(fits, 1, 1), lambda x: F.struct(F.lit(position).alias("ord"), F.lit(rule_id).alias("feature_id"), x["line"].alias("line"), x["text"].alias("text")))
 
-    hits = F.array(*[hit(rid, rs, n) for n, (rid, rs) in enumerate(rules)])
+    hits = F.flatten(F.filter(F.array(*[hit(rid, rs, n) for n, (rid, rs) in enumerate(rules)]), lambda h: h.isNotNull()))
     rest = [c for c in files.columns if c != content]
-    out = pre.select(*rest, "_l", F.inline(F.filter(hits, lambda h: h["line"].isNotNull())))
+    out = pre.select(*rest, "_l", F.inline(hits)).withColumn("text", _strip(F.col("text")))
     if declaration is not None:
-        strip = lambda c: F.regexp_replace(c, "^\\s+|\\s+$", "")
-        above = F.filter(F.slice(F.col("_l"), F.lit(1), F.col("line")), lambda x: strip(x["text"]).rlike(declaration))
-        owner = strip(F.try_element_at(above, F.lit(-1))["text"])
-        out = out.withColumn("method", F.when(owner.isNotNull(), F.regexp_extract(owner, declaration, 1)))
+        above = F.transform(F.slice(F.col("_l"), F.lit(1), F.col("line")), lambda x: _strip(x["text"]))
+        out = out.withColumn("_owner", F.try_element_at(F.filter(above, lambda x: x.rlike(declaration)), F.lit(-1)))
+        out = out.withColumn("method", F.when(F.col("_owner").isNotNull(), F.regexp_extract("_owner", declaration, 1))).drop("_owner")
     return out.drop("_l")
 
 

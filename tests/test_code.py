@@ -189,3 +189,15 @@ def test_a_log_is_read_by_group(spark):
     two = [(0, "ERROR", "src/A.java", 7, "gone"), (1, "ERROR", "b/B.java", 8, "lost")]
     assert rows(df) == sorted([(1, *t) for t in two] + [(4, *t) for t in two] + [
         (2, 0, "INFO", None, None, "Sandbox compile passed (mvn -DskipTests compile)"), (3, 0, "ERROR", None, None, "Sandbox compile failed (exit 2); tail:  none ")], key=repr)
+
+
+def below_exchange(df):
+    """What Spark does before it deals the rows out."""
+    return df._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)[1]
+
+
+def test_hits_are_searched_after_the_repartition(spark):
+    df = spark.range(3).repartition(4, "id").select(F.lit("p").alias("project_id"), F.concat("id", F.lit(".java")).alias("path"), F.concat(F.lit("  t.publish(a"), "id", F.lit(");\n")).alias("content"))
+    hits = N.first_hits(df, U.FEATURE_RULES)
+    assert "RLIKE" not in below_exchange(hits)
+    assert rows(hits, "path", "line", "text") == [(f"{i}.java", 1, f"t.publish(a{i});") for i in range(3)]
