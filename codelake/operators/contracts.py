@@ -76,7 +76,7 @@ def member_methods(f: Facts) -> DataFrame:
     has = lambda *names: F.arrays_overlap("annotations", F.array(*[F.lit(n) for n in names]))
     bean = f.types.select("project_id", "path", F.col("name").alias("owner"), has("Getter", "Data", "Value").alias("g"),
                           has("Setter", "Data").alias("s"), has("Builder", "SuperBuilder", "Value").alias("b"))
-    fields = f.variables.filter("is_field").select("project_id", "path", "owner", "var").join(bean.filter("g OR s"), ["project_id", "path", "owner"])
+    fields = f.fields.select("project_id", "path", "owner", "var").join(bean.filter("g OR s"), ["project_id", "path", "owner"])
     cap = F.concat(F.upper(F.substring("var", 1, 1)), F.substr("var", F.lit(2)))
     return (
         own.unionByName(extra(accessors, F.col("p.name"), 0))

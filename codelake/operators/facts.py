@@ -8,14 +8,14 @@ It reads declarations as they are written in ordinary sources; it is not a compi
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelake.session import checkpoint
 
-A, B, CALLED = "\u0001", "\u0002", "\u0004"
+CALLED = "\u0004"
 ANNOS = "((?:@\\w+(?:\\([^()]*\\))?\\s*)*)"
 MODS = "((?:(?:public|protected|private|static|final|abstract|default|synchronized|native|sealed|non-sealed|strictfp)\\s+)*+)"
 NOT_TYPE = "(?!(?:return|new|throw|else|package|import|case|assert|yield|extends|implements|throws|do|try|if|for|while|switch)\\b)"
@@ -44,7 +44,7 @@ def blank_comments(code: Column) -> Column:
     c = F.when(code.contains('"""'), _blank_blocks(code)).otherwise(code)
     c = F.regexp_replace(c, '"(?:\\\\.|[^"\\\\\n])*"', '""')
     c = F.regexp_replace(c, "'(?:\\\\.|[^'\\\\\n])'", "' '")
-    c = F.regexp_replace(c, "(?<![:*/])//[^\n]*", "")
+    c = F.regexp_replace(c, "//(?<![:*/]//)[^\n]*", "")
 
     def after_opening(p):
         end = F.instr(p, "*/")
@@ -68,72 +68,83 @@ def strip_type_args(text: Column) -> Column:
     return F.when(text.contains("<"), flat).otherwise(text)
 
 
-def _mark_lines(code: Column) -> Column:
-    """Put the line number at every line start and after every statement end."""
-    tag = lambda i: F.concat(F.lit(A), (i + 1).cast("string"), F.lit(B))
-    lines = F.split(code, "\n", -1)
-    return F.array_join(
-        F.transform(lines, lambda x, i: F.concat(tag(i), F.regexp_replace(x, F.lit("([;{}])"), F.concat(F.lit("$1"), tag(i))))), "\n")
-
-
 def _segments(code: Column) -> Column:
-    raw = F.regexp_extract_all(_mark_lines(code), F.lit("[^;{}]*[;{}]"), 0)
+    # Runs of blanks become one, at line breaks none, so a statement's lines are counted by its line breaks.
+    code = F.regexp_replace(code, "[ \\t\\x0B\\f\\r]+", " ")
+    for near in (" \n", "\n "):
+        code = F.replace(code, F.lit(near), F.lit("\n"))
+    raw = F.regexp_extract_all(code, F.lit("[^;{}]*[;{}]"), 0)
 
     def one(s):
-        body = F.substr(s, F.lit(1), F.length(s) - 1)
-        text = F.trim(F.regexp_replace(F.regexp_replace(body, f"{A}\\d+{B}", ""), "\\s+", " "))
+        text = F.btrim(F.replace(F.left(s, F.length(s) - 1), F.lit("\n"), F.lit(" ")))
         return F.struct(
-            F.regexp_extract(s, f"^(?:\\s*{A}\\d+{B})*\\s*{A}(\\d+){B}", 1).cast("int").alias("line"),
-            text.alias("text"), F.right(s, F.lit(1)).alias("term"))
+            (F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))).alias("breaks"), (F.length(s) - F.length(F.ltrim(s, F.lit("\n")))).alias("before"),
+            F.when(text.contains("  "), F.regexp_replace(text, " +", " ")).otherwise(text).alias("text"), F.right(s, F.lit(1)).alias("term"))
 
     # Lambdas share nothing with each other, so every costly value gets its own pass.
-    keep = lambda s: [s[n].alias(n) for n in ("line", "text", "term")]
+    keep = lambda s: [s[n].alias(n) for n in ("breaks", "before", "text", "term")]
+    kinds = lambda s: reduce(Column.__or__, [s["flat"].contains(k) for k in ("class ", "interface ", "enum ", "record ")])
     out = F.transform(raw, one)
     out = F.transform(out, lambda s: F.struct(*keep(s), strip_type_args(s["text"]).alias("flat")))
-    out = F.transform(out, lambda s: F.struct(*keep(s), s["flat"].alias("flat"), F.regexp_extract(s["flat"], TYPE_RX, 4).alias("tname")))
-    callable_ = lambda s: (s["tname"] == "") & s["flat"].endswith(")") | s["flat"].contains(") throws ")
-    method = lambda s: F.when(callable_(s), F.regexp_extract(s["flat"], METHOD_RX, 4)).otherwise("")
-    out = F.transform(out, lambda s: F.struct(*keep(s), s["flat"].alias("flat"), s["tname"].alias("tname"), method(s).alias("m")))
-    ctor = lambda s: F.when(callable_(s), F.regexp_extract(s["flat"], CTOR_RX, 3)).otherwise("")
-    return F.transform(out, lambda s: F.struct(
-        *keep(s), s["flat"].alias("flat"), s["tname"].alias("tname"), F.when(s["m"] != "", s["m"]).otherwise(ctor(s)).alias("mname")))
+    out = F.transform(out, lambda s: F.struct(*keep(s), s["flat"].alias("flat"), F.when(kinds(s), F.regexp_extract(s["flat"], TYPE_RX, 4)).otherwise("").alias("tname")))
+    opens = lambda s: F.when(s["term"] == "{", _declared_name(s["flat"], s["tname"])).otherwise("")
+    return F.transform(out, lambda s: F.struct(*keep(s), s["flat"].alias("flat"), s["tname"].alias("tname"), opens(s).alias("mname")))
+
+
+def _declared_name(flat: Column, tname: Column) -> Column:
+    """Name of the method or constructor that a statement declares, else empty."""
+    method = F.regexp_extract(flat, METHOD_RX, 4)
+    callable_ = (tname == "") & flat.endswith(")") | flat.contains(") throws ")
+    return F.when(callable_, F.coalesce(F.nullif(method, F.lit("")), F.regexp_extract(flat, CTOR_RX, 3))).otherwise("")
 
 
 # Walks the statements once, keeping brace depth, the stack of open types and the open method.
+# Only braces change these: between them a step copies ``v`` and counts lines.
 SCOPE_FOLD = """
 aggregate(st,
-  named_struct('out', cast(array() as array<struct<owner:string,method:string,level:int>>), 'depth', 0,
-               'types', cast(array() as array<struct<n:string,d:int>>), 'm', cast(null as string), 'md', -1),
+  named_struct('out', cast(array() as array<struct<line:int,owner:string,method:string,level:int>>), 'line', 1,
+    'v', named_struct('depth', 0, 'types', cast(array() as array<struct<n:string,d:int>>), 'n', cast(null as string), 'd', cast(null as int),
+                      'm', cast(null as string), 'md', -1)),
   (a, s) -> named_struct(
-    'out', array_append(a.out, named_struct('owner', try_element_at(a.types, -1).n,
-       'method', if(s.mname != '' and s.term = '{' and a.depth = try_element_at(a.types, -1).d + 1, s.mname, a.m),
-       'level', a.depth - coalesce(try_element_at(a.types, -1).d + 1, 0))),
-    'depth', a.depth + if(s.term = '{', 1, 0) - if(s.term = '}', 1, 0),
-    'types', case when s.tname != '' and s.term = '{' then array_append(a.types, named_struct('n', s.tname, 'd', a.depth))
-                  when s.term = '}' then filter(a.types, t -> t.d < a.depth - 1) else a.types end,
-    'm', case when s.mname != '' and s.term = '{' and a.depth = try_element_at(a.types, -1).d + 1 then s.mname
-              when s.term = '}' and a.depth - 1 <= a.md then null else a.m end,
-    'md', case when s.mname != '' and s.term = '{' and a.depth = try_element_at(a.types, -1).d + 1 then a.depth
-               when s.term = '}' and a.depth - 1 <= a.md then -1 else a.md end),
+    'out', array_append(a.out, named_struct('line', a.line + s.before, 'owner', a.v.n,
+       'method', if(s.mname != '' and a.v.depth = a.v.d + 1, s.mname, a.v.m),
+       'level', a.v.depth - coalesce(a.v.d + 1, 0))),
+    'line', a.line + s.breaks,
+    'v', case s.term
+      when '{' then if(s.tname != '',
+        named_struct('depth', a.v.depth + 1, 'types', array_append(a.v.types, named_struct('n', s.tname, 'd', a.v.depth)), 'n', s.tname, 'd', a.v.depth,
+                     'm', if(s.mname != '' and a.v.depth = a.v.d + 1, s.mname, a.v.m), 'md', if(s.mname != '' and a.v.depth = a.v.d + 1, a.v.depth, a.v.md)),
+        named_struct('depth', a.v.depth + 1, 'types', a.v.types, 'n', a.v.n, 'd', a.v.d,
+                     'm', if(s.mname != '' and a.v.depth = a.v.d + 1, s.mname, a.v.m), 'md', if(s.mname != '' and a.v.depth = a.v.d + 1, a.v.depth, a.v.md)))
+      when '}' then if(a.v.d >= a.v.depth - 1,
+        element_at(transform(array(filter(a.v.types, t -> t.d < a.v.depth - 1)), ts -> named_struct(
+                     'depth', a.v.depth - 1, 'types', ts, 'n', try_element_at(ts, -1).n, 'd', try_element_at(ts, -1).d,
+                     'm', if(a.v.depth - 1 <= a.v.md, null, a.v.m), 'md', if(a.v.depth - 1 <= a.v.md, -1, a.v.md))), 1),
+        named_struct('depth', a.v.depth - 1, 'types', a.v.types, 'n', a.v.n, 'd', a.v.d,
+                     'm', if(a.v.depth - 1 <= a.v.md, null, a.v.m), 'md', if(a.v.depth - 1 <= a.v.md, -1, a.v.md)))
+      else a.v end),
   a -> a.out)
 """
 
 
 def statements(files: DataFrame) -> DataFrame:
     """One row per statement of every Java file, with its line and scope."""
-    java = files.filter(F.lower("path").endswith(".java") & (F.trim("content") != ""))
-    code = blank_comments(F.col("content"))
+    # No filter: Spark would move it, and with it whatever makes the content, below the caller's repartition.
+    java = F.lower("path").endswith(".java") & (F.trim("content") != "")
+    code = F.when(java, blank_comments(F.col("content")))
     # Braces of annotation arrays would cut the annotation apart.
     code = F.regexp_replace(code, "(@\\w+\\s*\\([^(){}]*)\\{([^{}()]*)\\}", "$1[$2]")
     parsed = (
-        java.select("project_id", "path", code.alias("code"))
+        files.select("project_id", "path", code.alias("code"))
         .withColumn("package", F.regexp_extract("code", "(?m)^\\s*package\\s+([\\w.]+)\\s*;", 1))
         .withColumn("st", _segments(F.col("code")))
         .withColumn("sc", F.expr(SCOPE_FOLD))
     )
     rows = F.arrays_zip("st", "sc")
+    # Inside of bodies no statement without a block declares a method.
+    mname = F.when((F.col("z.sc.level") == 0) & (F.col("z.st.term") != "{"), _declared_name(F.col("z.st.flat"), F.col("z.st.tname"))).otherwise(F.col("z.st.mname"))
     return parsed.select("project_id", "path", "package", F.posexplode(rows).alias("pos", "z")).select(
-        "project_id", "path", "package", "pos", "z.st.*", "z.sc.*")
+        "project_id", "path", "package", "pos", "z.sc.line", "z.st.text", "z.st.term", "z.st.flat", "z.st.tname", mname.alias("mname"), "z.sc.owner", "z.sc.method", "z.sc.level")
 
 
 def simple(col: Column) -> Column:
@@ -188,7 +199,7 @@ def _type_name(text: Column) -> Column:
 
 def methods(st: DataFrame) -> DataFrame:
     g = lambda i: F.regexp_extract("flat", METHOD_RX, i)
-    decl = (F.col("level") == 0) & F.col("owner").isNotNull() & F.col("flat").rlike(METHOD_RX) & (F.col("tname") == "") & F.col("term").isin("{", ";")
+    decl = (F.col("level") == 0) & F.col("owner").isNotNull() & (F.col("tname") == "") & F.col("term").isin("{", ";") & F.col("flat").contains(")") & F.col("flat").rlike(METHOD_RX)
     return st.filter(decl).withColumn("params", _params(g(5))).select(
         "project_id", "path", "package", "pos", "line", "owner", g(4).alias("name"), F.size("params").alias("arity"),
         F.transform("params", lambda p: p["type"]).alias("param_types"), "params", _type_name(g(3)).alias("return_type"),
@@ -196,7 +207,7 @@ def methods(st: DataFrame) -> DataFrame:
 
 
 def constructors(st: DataFrame) -> DataFrame:
-    decl = (F.col("level") == 0) & (F.regexp_extract("flat", CTOR_RX, 3) == F.col("owner")) & (F.col("term") == "{") & ~F.col("flat").rlike(METHOD_RX)
+    decl = (F.col("level") == 0) & (F.col("term") == "{") & F.col("flat").contains(F.col("owner")) & (F.regexp_extract("flat", CTOR_RX, 3) == F.col("owner")) & ~F.col("flat").rlike(METHOD_RX)
     params = _params(F.regexp_extract("flat", CTOR_RX, 4))
     plain = st.filter(decl).withColumn("params", params).select(
         "project_id", "path", "pos", "line", "owner", F.size("params").alias("arity"), "params")
@@ -205,19 +216,27 @@ def constructors(st: DataFrame) -> DataFrame:
     return plain.unionByName(rec)
 
 
-def variables(st: DataFrame, own: DataFrame | None = None, ctors: DataFrame | None = None) -> DataFrame:
-    """Fields, parameters and locals with their simple type; ``rank`` orders shadowing."""
+def _declared_variables(st: DataFrame) -> DataFrame:
     g = lambda i: F.regexp_extract("flat", VAR_RX, i)
-    is_var = F.col("owner").isNotNull() & (F.col("tname") == "") & F.col("flat").rlike(VAR_RX) & (F.col("term").isin(";", "{"))
-    declared = st.filter(is_var).select(
+    is_var = F.col("owner").isNotNull() & (F.col("tname") == "") & F.col("term").isin(";", "{") & F.col("flat").contains(" ") & F.col("flat").rlike(VAR_RX)
+    return st.filter(is_var).select(
         "project_id", "path", "pos", "line", "owner", g(4).alias("var"), _type_name(g(3)).alias("type"), _annotations(g(1)).alias("annotations"),
         (F.col("level") == 0).alias("is_field"), F.when(F.col("level") == 0, 0).otherwise(2).alias("rank"))
+
+
+def fields(st: DataFrame) -> DataFrame:
+    """The fields among the variables, without a look at what stands in bodies."""
+    return _declared_variables(st.filter("level = 0"))
+
+
+def variables(st: DataFrame, own: DataFrame | None = None, ctors: DataFrame | None = None) -> DataFrame:
+    """Fields, parameters and locals with their simple type; ``rank`` orders shadowing."""
     none = F.array().cast("array<string>")
     from_params = lambda df: df.select(
         "project_id", "path", "pos", "line", "owner", F.explode("params").alias("p")).select(
         "project_id", "path", "pos", "line", "owner", F.col("p.name").alias("var"), F.col("p.type").alias("type"), none.alias("annotations"),
         F.lit(False).alias("is_field"), F.lit(1).alias("rank"))
-    return declared.unionByName(from_params(methods(st) if own is None else own)).unionByName(from_params(constructors(st) if ctors is None else ctors))
+    return _declared_variables(st).unionByName(from_params(methods(st) if own is None else own)).unionByName(from_params(constructors(st) if ctors is None else ctors))
 
 
 def _all_calls(text: Column) -> Column:
@@ -328,6 +347,10 @@ class Facts:
     def variables(self) -> DataFrame:
         return self._keep(variables(self.statements, self.methods, self.constructors))
 
+    @cached_property
+    def fields(self) -> DataFrame:
+        return fields(self.statements)
+
     @cached_property
     def calls(self) -> DataFrame:
         return self._keep(calls(self.statements))

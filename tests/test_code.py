@@ -201,3 +201,25 @@ def test_hits_are_searched_after_the_repartition(spark):
     hits = N.first_hits(df, U.FEATURE_RULES)
     assert "RLIKE" not in below_exchange(hits)
     assert rows(hits, "path", "line", "text") == [(f"{i}.java", 1, f"t.publish(a{i});") for i in range(3)]
+
+
+SCOPES = ("package a;\n\n/* x\n */ class A {\n  int f;\n\n  void m(String a,\n\n      int b) { if (a) { g(); }\n h(); }\n  class B extends\n  C { B() { k(); } void n() { } }\n"
+          "  abstract void o(); A() { } }\n  interface I { void p(int a); }\n")
+
+
+def test_statements_after_the_repartition_with_lines_and_scopes(spark):
+    df = spark.createDataFrame([("p", "A.java", SCOPES), ("p", "A.txt", SCOPES)], SCHEMA).repartition(4, "path").select("project_id", "path", F.concat("content", F.lit("")).alias("content"))
+    st = K.statements(df)
+    assert "Filter" not in below_exchange(st)
+    got = [tuple(r) for r in st.orderBy("pos").select("line", "text", "term", "tname", "mname", "owner", "method", "level").collect() if r.term != "}"]
+    assert got == [
+        (1, "package a", ";", "", "", None, None, 0), (4, "class A", "{", "A", "", None, None, 0), (5, "int f", ";", "", "", "A", None, 0),
+        (7, "void m(String a, int b)", "{", "", "m", "A", "m", 0), (9, "if (a)", "{", "", "", "A", "m", 1), (9, "g()", ";", "", "", "A", "m", 2),
+        (10, "h()", ";", "", "", "A", "m", 1), (11, "class B extends C", "{", "B", "", "A", None, 0), (12, "B()", "{", "", "B", "B", "B", 0),
+        (12, "k()", ";", "", "", "B", "B", 1), (12, "void n()", "{", "", "n", "B", "n", 0), (13, "abstract void o()", ";", "", "o", "A", None, 0),
+        (13, "A()", "{", "", "A", "A", "A", 0), (14, "interface I", "{", "I", "", None, None, 0), (14, "void p(int a)", ";", "", "p", "I", None, 0)]
+
+
+def test_fields_are_the_variables_of_level_zero(spark):
+    f = facts(spark, {"core/F.java": "package a.core;\nclass F {\n  int a; @X String[] b = {};\n  void m(int c) { int d = 1; }\n}\n"})
+    assert rows(f.fields) == rows(f.variables.filter("is_field")) and f.fields.count() == 2
