@@ -22,11 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm.common import LOWER, SPACE, apart, extended, flat, hash_segments, mix, output, saved, segments, slices, spread, table, trim, unclashed, windows
+from codelake.llm.common import LOWER, SPACE, apart, extended, flat, hash_segments, key_filter, may_hold, mix, output, saved, segments, slices, spread, table, trim, unclashed, windows
 from codelake.llm.linking import components
 from codelake.llm.order import attached
 from codelake.llm.registry import query
-from codelake.llm.suffix_dedup import key_filter, may_hold
 
 WORDS, PERCENT = 5, 80
 #: Shingles of the sets in one index, and of the sets that one task looks up.

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm.common import SPACE, _BYTE, _powers, apart, flat, hash_segments, mix, release_inner, saved, segments, slices, table, text_key, trim, unclashed, written_so_far
+from codelake.llm.common import SPACE, _BYTE, _powers, apart, filtered, flat, hash_segments, key_filter, mix, release_inner, saved, segments, slices, table, text_key, trim, unclashed, written_so_far
 from codelake.llm.registry import query
 from codelake.llm.suffix_array import SEPARATOR, _prefix_sums, closed, permuted_common_prefixes, suffix_array
+from codelake.llm.word_passages import shared_passages
 
 SPAN = 400
 #: Surroundings in a shard, each of at most 1.5 spans: about 1.5 MB of text.
 PER_SHARD = 2500
-FILTER_BITS = 24
 
 
 # ---------------------------------------------------------------- anchors
@@ -77,44 +77,6 @@ def _anchors(keyed: DataFrame, span: int) -> DataFrame:
     return keyed.mapInArrow(run, "k1 bigint, k2 bigint, pos int, h bigint, ctx bigint")
 
 
-# ---------------------------------------------------------------- a filter of fixed size for text keys
-
-
-def key_filter(keys: DataFrame):
-    """A broadcast bitmap of 2**24 bits over k1, whatever the number of keys: it says which texts may be among them.
-
-    More keys make it let more through, never less; the join behind it decides.
-    """
-    place = F.col("k1").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bits = keys.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(k1 & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    words = np.zeros(1 << FILTER_BITS - 6, np.int64)
-    words[bits.column("word").to_numpy()] = bits.column("bits").to_numpy()
-    return keys.sparkSession.sparkContext.broadcast(words)
-
-
-def may_hold(words: np.ndarray, k1: np.ndarray) -> np.ndarray:
-    place = k1 & ((1 << FILTER_BITS) - 1)
-    return (words[place >> 6] >> (k1 & 63) & 1).astype(bool)
-
-
-def filtered(keyed: DataFrame, shared, keep: bool = True, once: bool = False) -> DataFrame:
-    """Rows whose key may be (or surely isn't) in the filter; ``once``: of equal keys in a task only the first."""
-    def run(batches):
-        seen = set()
-        for batch in batches:
-            k1 = batch.column("k1").to_numpy()
-            take = may_hold(shared.value, k1) == keep
-            if once:
-                k2 = batch.column("k2").to_numpy()
-                for k in np.flatnonzero(take):
-                    key = (int(k1[k]), int(k2[k]))
-                    take[k] = key not in seen
-                    seen.add(key)
-            yield batch.filter(pa.array(take))
-
-    return keyed.mapInArrow(run, keyed.schema)
-
-
 # ---------------------------------------------------------------- shards
 
 
@@ -289,6 +251,7 @@ def _surroundings(needed: DataFrame, span: int) -> DataFrame:
 def repeated_ranges(keyed: DataFrame, span: int = SPAN, per_shard: int | None = None) -> DataFrame:
     """(k1, k2, ranges): the byte ranges of each distinct text that strings of ``span`` bytes found twice cover.
 
+    A range may go on beyond its text's start or end; ``merged`` cuts it there.
     ``keyed`` has (k1, k2, text), one row for each document: copies count as places.
     Shorter spans have more surroundings in a shard, so that its text stays as long.
     """
@@ -302,19 +265,22 @@ def repeated_ranges(keyed: DataFrame, span: int = SPAN, per_shard: int | None =
     around = hits.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("at"))
     around = saved(around)
     sizes = saved(around.groupBy("h").agg(F.count(F.lit(1)).alias("n_around")))
-    total = around.count()
+    total, dealt_out = (n or 0 for n in sizes.filter("n_around > 1").agg(F.sum("n_around"), F.sum(F.when(F.col("n_around") > per_shard, F.col("n_around")))).first())
     shards = max(1, -(-total // per_shard))
-    dealt = around.join(sizes, "h").select(
+    placed = around.join(sizes, "h")
+    # an anchor whose places all have the same surroundings needs no array: all of these repeat
+    alone = placed.filter("n_around = 1").select("h", "ctx", F.lit(span // 2 - span).alias("lo"), F.lit(span).alias("hi"))
+    dealt = placed.filter("n_around > 1").select(
         "h", "ctx", "at.k1", "at.k2", "at.pos", (F.col("n") > 1).alias("several"), (F.col("n_around") > per_shard).alias("split"),
         F.xxhash64("h", F.pmod("ctx", F.ceil(F.col("n_around") / per_shard))).alias("home"),
     ).withColumn("shard", F.pmod("home", F.lit(shards)).cast("int"))
     wants = saved(dealt.groupBy("k1", "k2").agg(F.collect_list(F.struct("shard", "h", "ctx", "several", "split", "pos")).alias("wants")))
     texts = filtered(keyed, key_filter(wants.select("k1")), once=True)
     cut = _surroundings(texts.join(wants, ["k1", "k2"]), span)
-    buckets = max(1, -(-dealt.filter("split").count() * (span - span // 2 + 1) // COMPARED))
+    buckets = max(1, -(-dealt_out * (span - span // 2 + 1) // COMPARED))
     found = saved(cut.groupBy("shard").applyInArrow(lambda part: _search_shard(part, span, buckets), FOUND))
     settled = found.filter("bucket IS NOT NULL").groupBy("bucket").applyInArrow(lambda part: _settle(part, span), "h bigint, ctx bigint, lo int, hi int")
-    covers = found.filter("bucket IS NULL").select("h", "ctx", "lo", "hi").unionByName(settled)
+    covers = found.filter("bucket IS NULL").select("h", "ctx", "lo", "hi").unionByName(settled).unionByName(alone)
     ranges = hits.join(covers, ["h", "ctx"]).select("k1", "k2", (F.col("pos") + F.col("lo")).alias("start"), (F.col("pos") + F.col("hi")).alias("end")).distinct()
     return ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
 
@@ -360,7 +326,7 @@ def long_ranges(keyed: DataFrame, ranges: DataFrame, over_words: int, span: int
                 part = batch.slice(k, 64)
                 for k1, k2, text, spans, several in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "text", "ranges", "several")), strict=True):
                     data = np.frombuffer(text.encode(), np.uint8)
-                    starts, ends = passages(data, merged([(r["start"], r["end"]) for r in spans]), over_words, span)
+                    starts, ends = passages(data, merged([(r["start"], r["end"]) for r in spans], len(data)), over_words, span)
                     if not len(starts):
                         continue
                     same = [np.full(len(starts), x) for x in (np.int64(k1), np.int64(k2), bool(several))]
@@ -377,10 +343,11 @@ def long_ranges(keyed: DataFrame, ranges: DataFrame, over_words: int, span: int
 # ---------------------------------------------------------------- removal
 
 
-def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of covered bytes."""
+def merged(ranges: list[tuple[int, int]], size: int | None = None) -> list[tuple[int, int]]:
+    """Maximal runs of covered bytes, of a text of ``size`` bytes."""
     out: list[list[int]] = []
     for a, b in sorted(ranges):
+        a, b = max(a, 0), b if size is None else min(b, size)
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -420,14 +387,14 @@ def _removed(texts: DataFrame) -> DataFrame:
                 rows = []
                 for k1, k2, text, ranges in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "text", "ranges")), strict=True):
                     data = text.encode()
-                    runs = merged([(r["start"], r["end"]) for r in ranges])
+                    runs = merged([(r["start"], r["end"]) for r in ranges], len(data))
                     rows.append((k1, k2, sum(b - a for a, b in runs), len(runs), hashlib.sha256(_without(data, runs)).hexdigest(), _without(data, _whole_characters(data, runs)).decode()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], list(types))
 
     return texts.mapInArrow(run, "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
 
 
-def remove_repeats(df: DataFrame, text: str = "text", span: int = SPAN, with_text: bool = True, over_words: int | None = None) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", span: int = SPAN, with_text: bool = True, over_words: int | None = None, shared_words: int | None = None) -> DataFrame:
     """All rows with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the text without its repeats.
 
     Every byte goes that a string of ``span`` bytes covers which also starts anywhere else,
@@ -438,18 +405,23 @@ def remove_repeats(df: DataFrame, text: str = "text", span: int = SPAN, with_tex
     With ``over_words`` the strings are those of more than so many whole words (runs between
     white space), however short, and those of ``span`` bytes, however few their words.
 
+    With ``shared_words`` (and without the text) there are n_passages and n_passage_bytes
+    too: the passages of more than so many words that another row has as well, however few
+    their bytes.  They are only measured; see ``shared_passages``.
+
     A null text is empty: nothing is removed, and it stays null.  Texts shorter than
     ``span`` bytes stay whole, copies too; longer copies lose everything.  An empty table
     gives an empty one.  Columns with the new names are replaced.
     """
-    frame, restored = apart(unclashed(df, ["n_bytes", "n_removed", "n_spans", "kept_sha256"]), [text])
+    measured = [] if shared_words is None else ["n_passages", "n_passage_bytes"]
+    frame, restored = apart(unclashed(df, ["n_bytes", "n_removed", "n_spans", "kept_sha256", *measured]), [text])
     keyed = frame.withColumn("_k", text_key(F.col(text))).select("*", "_k.k1", "_k.k2").drop("_k")
     plain = keyed.select("k1", "k2", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    spark, first = df.sparkSession, written_so_far(df.sparkSession)
     if over_words is None:
         ranges = saved(repeated_ranges(plain, span))
     else:
         # so many words and one have a byte each and one between them at least
-        spark, first = df.sparkSession, written_so_far(df.sparkSession)
         short = min(span, 2 * over_words + 1)
         # shards of half the text: these arrays come in the middle of a pipeline, beside what earlier stages hold
         ranges = saved(repeated_ranges(plain, short, max(1, PER_SHARD * SPAN // (2 * short))))
@@ -461,8 +433,15 @@ def remove_repeats(df: DataFrame, text: str = "text", span: int = SPAN, with_tex
     body = F.coalesce(F.col(text), F.lit(""))
     if not with_text:
         rows = keyed.withColumns({"n_bytes": F.octet_length(body).cast("bigint"), "_whole": F.sha2(body, 256)}).drop(text)
-        out = rows.join(saved(done.drop("kept")), ["k1", "k2"], "left")
+        found = saved(done.drop("kept"))
+        release_inner(spark, first)
+        if measured:
+            # one row for each text, so that the one join with the rows can split a text that many of them have
+            found = saved(found.join(shared_passages(plain, shared_words), ["k1", "k2"], "full"))
+            release_inner(spark, first)
+        out = rows.join(found, ["k1", "k2"], "left")
         return restored(out.withColumns({
+            **{c: F.coalesce(c, F.lit(0).cast("bigint")) for c in measured},
             "n_removed": F.coalesce("n_removed", F.lit(0).cast("bigint")), "n_spans": F.coalesce("n_spans", F.lit(0).cast("bigint")),
             "kept_sha256": F.coalesce("kept_sha256", "_whole")}).drop("k1", "k2", "_whole"))
     # only rows that may have lost something meet the results; the others pass without a shuffle
@@ -474,7 +453,12 @@ def remove_repeats(df: DataFrame, text: str = "text", span: int = SPAN, with_tex
     return restored(passed.unionByName(met.drop("kept").select(*passed.columns)).drop("k1", "k2"))
 
 
+#: A passage of more words that two documents share is reported, however few its bytes.
+PASSAGE_WORDS = 50
+
+
 @query("op3_suffix_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs, with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    out = remove_repeats(docs, with_text=False, shared_words=PASSAGE_WORDS)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_bytes")
