@@ -217,7 +217,7 @@ SIG_SQL = """
     QUALIFY row_number() OVER (PARTITION BY id ORDER BY CAST(c AS DOUBLE) / (na + nb - c) DESC, match_id) = 1""")
 def _(t):
     docs = t.documents.select(F.col("doc_id").alias("id"), F.when(F.col("lang") == "es", "").otherwise(F.col("lang")).alias("version"),
-                              S.signature(F.split("text", "[ \\t\\n\\x0B\\f\\r]+", -1)).alias("sig"))
+                              F.split(F.lower("text"), "[ \\t\\n\\x0B\\f\\r]+", -1).alias("sig"))
     return S.similar_plans(docs, docs, 0.85, skip_self=True)
 
 

@@ -69,3 +69,40 @@ def test_many_frequent_tokens_give_few_pairs(spark, monkeypatch):
     got = {r.id: (r.match_id, round(r.score, 9)) for r in S.similar_plans(df, df, 0.85, skip_self=True).collect()}
     assert got == {k: (j, round(s, 9)) for k, (j, s) in brute(rows, 0.85).items()} and len(got) == 44
     assert sum(x.count() for x in found) < 50
+
+
+def test_cluster_gives_few_pairs(spark, monkeypatch):
+    """In a cluster of near copies each set meets those that can beat its best partner, not all others."""
+    import codelake.operators.similarity as S
+
+    rnd = random.Random(6)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(rnd.randrange(10**6) * 1000 + i, rnd.choice(["", "2"]), sorted(base[rnd.randint(1, 3):] + [f"own{i}"])) for i in range(300)]
+    rows += [(i, "2", sorted(base[k:])) for i, k in ((1, 1), (2, 1), (3, 2))]
+    found, candidates = [], S._candidates
+    monkeypatch.setattr(S, "_candidates", lambda *a: found.append(candidates(*a)) or found[-1])
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.id: (r.match_id, round(r.score, 9)) for r in S.similar_plans(df, df, 0.85, skip_self=True).collect()}
+    assert got == {k: (j, round(s, 9)) for k, (j, s) in brute(rows, 0.85).items()} and len(got) == 303
+    assert sum(x.count() for x in found) < 4000  # of 45,753
+
+
+def test_frequent_token_dealt_over_cells(spark, monkeypatch):
+    """Blocks of one token's rows meet pairwise, also between two tables; an unknown version fits blank ones."""
+    import codelake.operators.similarity as S
+
+    monkeypatch.setattr(S, "HOT", 20)
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(9)]
+    rows = [(i, rnd.choice(["", "2", "3", None]), sorted(rnd.sample(words, rnd.randint(1, 9)))) for i in range(200)]
+    blank = lambda v: v if v is not None else f"unknown{rnd.random()}"
+    want = brute([(i, blank(v), sig) for i, v, sig in rows], 0.7)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.id: (r.match_id, r.score) for r in S.similar_plans(df, df, 0.7, skip_self=True).collect()}
+    assert got == want
+    shifted = df.select((df.id + 1000).alias("id"), "version", "sig")
+    other = {r.id: (r.match_id - 1000, r.score) for r in S.similar_plans(df, shifted, 0.7).collect()}
+    for i, v, sig in rows:
+        mine = {j: len(set(sig) & set(s)) / len(set(sig) | set(s)) for j, w, s in rows if w == "" or v == "" or (v == w and v is not None)}
+        best = min(((-s, j) for j, s in mine.items() if s >= 0.7), default=None)
+        assert other.get(i) == (best and (best[1], -best[0]))
