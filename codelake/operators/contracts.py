@@ -37,6 +37,10 @@ def _out(df: DataFrame, symbol: Column, kind: str) -> DataFrame:
 
 def declared(f: Facts) -> DataFrame:
     """First top-level declaration per (project, simple name), by path."""
+    return f.once("declared", lambda: _declared(f))
+
+
+def _declared(f: Facts) -> DataFrame:
     rank = F.struct("path", "pos")
     return (
         f.types.filter("top_level").groupBy("project_id", "name")
@@ -55,21 +59,28 @@ def supertypes(f: Facts, with_implements: bool = True) -> DataFrame:
     )
 
 
-def ancestors(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(project_id, name, ancestor) including the type itself."""
-    node = lambda c: F.concat_ws("\u0000", "project_id", c)
-    pairs = closure(edges.select(node("sub").alias("src"), node("super").alias("dst")),
-                    starts.select(node("name").alias("src")).distinct())
-    part = lambda c, i: F.element_at(F.split(c, "\u0000", -1), i)
-    return pairs.select(part("src", 1).alias("project_id"), part("src", 2).alias("name"), part("dst", 2).alias("ancestor"))
+def ancestors(f: Facts, with_implements: bool = True) -> DataFrame:
+    """(project_id, name, ancestor) of all top-level types, none the ancestor of itself."""
+    def make():
+        edges = supertypes(f, with_implements)
+        node = lambda c: F.concat_ws("\u0000", "project_id", c)
+        pairs = closure(edges.select(node("sub").alias("src"), node("super").alias("dst")), edges.select(node("sub").alias("src")).distinct())
+        part = lambda c, i: F.element_at(F.split(c, "\u0000", -1), i)
+        return pairs.filter("src != dst").select(part("src", 1).alias("project_id"), part("src", 2).alias("name"), part("dst", 2).alias("ancestor"))
+
+    return f.once(f"ancestors {with_implements}", make)
 
 
 def member_methods(f: Facts) -> DataFrame:
     """Methods by (project, owner), with record accessors and generated bean methods."""
-    own = f.methods.select("project_id", "owner", "name", "arity", "param_types", "return_type")
+    return f.once("members", lambda: _member_methods(f))
+
+
+def _member_methods(f: Facts) -> DataFrame:
+    own = f.methods.select("project_id", "owner", "name", "arity", "param_types", "return_type", F.lit(False).alias("generated"))
     none = F.array().cast("array<string>")
     extra = lambda df, name, arity: df.select("project_id", "owner", name.alias("name"), F.lit(arity).alias("arity"),
-                                              none.alias("param_types"), F.lit(None).cast("string").alias("return_type"))
+                                              none.alias("param_types"), F.lit(None).cast("string").alias("return_type"), F.lit(True).alias("generated"))
     accessors = f.constructors.join(
         f.types.filter("kind = 'RECORD'").select("project_id", "path", F.col("name").alias("owner"), "pos"), ["project_id", "path", "owner", "pos"]
     ).select("project_id", "owner", F.explode("params").alias("p"))
@@ -88,12 +99,24 @@ def member_methods(f: Facts) -> DataFrame:
     )
 
 
-def effective_methods(f: Facts, starts: DataFrame, with_implements: bool = True, members: DataFrame | None = None) -> DataFrame:
+def all_methods(f: Facts, with_implements: bool = True) -> DataFrame:
+    """(project_id, name, method, arity, key, generated): own and inherited methods of all types, some of them repeated.
+
+    ``key`` is the method with its types; ``generated`` marks what no source declares.
+    """
+    def make():
+        key = F.concat("name", F.lit("("), F.array_join("param_types", ","), F.lit("):"), "return_type")
+        own = member_methods(f).select("project_id", "owner", F.col("name").alias("method"), "arity", key.alias("key"), "generated")
+        inherited = ancestors(f, with_implements).withColumnRenamed("ancestor", "owner").join(own, ["project_id", "owner"])
+        cols = ["project_id", "name", "method", "arity", "key", "generated"]
+        return own.withColumnRenamed("owner", "name").select(*cols).unionByName(inherited.select(*cols))
+
+    return f.once(f"all methods {with_implements}", make)
+
+
+def effective_methods(f: Facts, starts: DataFrame, with_implements: bool = True) -> DataFrame:
     """Own and inherited methods of the start types (project_id, name)."""
-    members = member_methods(f) if members is None else members
-    up = ancestors(supertypes(f, with_implements), starts)
-    return up.join(members.withColumnRenamed("name", "method").withColumnRenamed("owner", "ancestor"), ["project_id", "ancestor"]).select(
-        "project_id", "name", "method", "arity", "param_types", "return_type").distinct()
+    return all_methods(f, with_implements).join(starts.select("project_id", "name").distinct(), ["project_id", "name"], "left_semi").distinct()
 
 
 def file_class_mismatch(f: Facts) -> DataFrame:
@@ -120,14 +143,12 @@ def missing_imports(f: Facts) -> DataFrame:
     wild = f.imports.filter("wildcard").select(*file).distinct()
     refs = (
         f.type_refs.filter((F.length("name") > 1) & ~F.col("name").isin(JAVA_LANG))
-        .groupBy(*file, "package", "name").agg(F.min(F.struct("pos", "line")).alias("at"))
-        .select(*file, "package", "name", "at.line")
+        .groupBy(*file, "name").agg(F.min(F.struct("pos", "line", "package")).alias("at"))
+        .select(*file, "at.package", "name", "at.line")
     )
-    imported = f.imports.filter("NOT is_static AND NOT wildcard").select(*file, simple(F.col("name")).alias("name")).distinct()
-    here = f.types.select(*file, "name").distinct()
-    left = refs.join(wild, file, "left_anti")
-    for known in (imported, here, f.type_params):
-        left = left.join(known, [*file, "name"], "left_anti")
+    imported = f.imports.filter("NOT is_static AND NOT wildcard").select(*file, simple(F.col("name")).alias("name"))
+    known = imported.unionByName(f.types.select(*file, "name")).unionByName(f.type_params.select(*file, "name"))
+    left = refs.join(known, [*file, "name"], "left_anti").join(wild, file, "left_anti")
     decl = declared(f).select("project_id", "name", F.col("package").alias("decl_package"))
     return _out(
         left.join(decl, ["project_id", "name"], "left").filter("decl_package IS NULL OR decl_package != package"),
@@ -140,32 +161,27 @@ def _implementing(f: Facts) -> DataFrame:
         "project_id", "path", "line", "name", F.explode("implements").alias("iface"))
 
 
-def _required_provided(f: Facts, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    impl = _implementing(f)
-    need = effective_methods(f, impl.select("project_id", F.col("iface").alias("name")).distinct(), True, members)
-    have = effective_methods(f, impl.select("project_id", "name").distinct(), False, members)
-    required = impl.join(need.withColumnRenamed("name", "iface"), ["project_id", "iface"])
-    return required, have
+def _required(f: Facts, written: bool) -> DataFrame:
+    """Each concrete class with the methods of the interfaces it names, all or those that a source declares."""
+    need = all_methods(f).filter("NOT generated" if written else "true").withColumnRenamed("name", "iface")
+    return _implementing(f).join(need, ["project_id", "iface"])
 
 
 def missing_interface_methods(f: Facts) -> DataFrame:
     """Interface methods (name, arity) that a concrete class neither has nor inherits by extends."""
-    required, have = _required_provided(f, member_methods(f))
-    lacking = required.select("project_id", "path", "line", "name", "iface", "method", "arity").distinct().join(
-        have.select("project_id", "name", "method", "arity").distinct(), ["project_id", "name", "method", "arity"], "left_anti")
+    lacking = _required(f, False).select("project_id", "path", "line", "name", "iface", "method", "arity").join(
+        all_methods(f, False).select("project_id", "name", "method", "arity"), ["project_id", "name", "method", "arity"], "left_anti").distinct()
     return _out(lacking, F.concat_ws("/", "method", F.col("arity").cast("string")), "MISSING_INTERFACE_METHOD")
 
 
 def signature_mismatches(f: Facts) -> DataFrame:
     """The class has a method of that name, but none with the interface's exact types."""
-    own = f.methods.select("project_id", "owner", "name", "arity", "param_types", "return_type")
-    required, have = _required_provided(f, own)
-    key = F.concat("method", F.lit("("), F.array_join("param_types", ","), F.lit("):"), "return_type")
-    required, have = required.withColumn("key", key), have.withColumn("key", key)
+    have = all_methods(f, False).filter("NOT generated")
     by_type = ["project_id", "name"]
     wrong = (
-        required.join(have.select(*by_type, "key").distinct(), [*by_type, "key"], "left_anti")
-        .join(have.select(*by_type, "method").distinct(), [*by_type, "method"], "left_semi")
+        _required(f, True).select("project_id", "path", "line", "name", "iface", "method", "key")
+        .join(have.select(*by_type, "key"), [*by_type, "key"], "left_anti")
+        .join(have.select(*by_type, "method"), [*by_type, "method"], "left_semi")
         .select("project_id", "path", "line", "name", "iface", "key").distinct()
     )
     return _out(wrong, F.concat_ws(".", "name", "key"), "INTERFACE_SIGNATURE_MISMATCH")
@@ -193,11 +209,9 @@ def local_types(f: Facts) -> DataFrame:
 def unknown_calls(f: Facts) -> DataFrame:
     """Calls on a variable of a project type that has methods, but none of that name."""
     on_var = f.calls.filter(F.col("receiver").rlike("^\\w+$")).withColumnRenamed("receiver", "var").join(
-        local_types(f), ["project_id", "path", "var"])
-    known = effective_methods(f, on_var.select("project_id", F.col("type").alias("name")).distinct())
-    names = known.select("project_id", F.col("name").alias("type"), F.col("method").alias("name")).distinct()
-    bad = on_var.join(names.select("project_id", "type").distinct(), ["project_id", "type"], "left_semi").join(
-        names, ["project_id", "type", "name"], "left_anti")
+        local_types(f), ["project_id", "path", "var"]).select("project_id", "path", "line", "type", "name")
+    names = all_methods(f).select("project_id", F.col("name").alias("type"), F.col("method").alias("name"))
+    bad = on_var.join(names, ["project_id", "type", "name"], "left_anti").join(names.select("project_id", "type"), ["project_id", "type"], "left_semi")
     return _out(bad, F.concat_ws(".", "type", "name"), "UNKNOWN_METHOD_CALL")
 
 
@@ -205,11 +219,9 @@ def invalid_overrides(f: Facts) -> DataFrame:
     """@Override methods that no project supertype declares; external supertypes are skipped."""
     marked = f.methods.filter(F.array_contains("annotations", "Override")).select("project_id", "path", "line", "owner", "name", "arity")
     parents = supertypes(f).join(marked.select("project_id", F.col("owner").alias("sub")).distinct(), ["project_id", "sub"], "left_semi")
-    have = effective_methods(f, parents.select("project_id", F.col("super").alias("name")).distinct())
-    offered = parents.join(have.withColumnRenamed("name", "super"), ["project_id", "super"]).select(
-        "project_id", F.col("sub").alias("owner"), F.col("method").alias("name"), "arity").distinct()
-    bad = marked.join(offered.select("project_id", "owner").distinct(), ["project_id", "owner"], "left_semi").join(
-        offered, ["project_id", "owner", "name", "arity"], "left_anti")
+    offered = parents.join(all_methods(f).withColumnRenamed("name", "super"), ["project_id", "super"]).select(
+        "project_id", F.col("sub").alias("owner"), F.col("method").alias("name"), "arity")
+    bad = marked.join(offered, ["project_id", "owner", "name", "arity"], "left_anti").join(offered.select("project_id", "owner"), ["project_id", "owner"], "left_semi")
     return _out(bad, F.concat(F.concat_ws(".", "owner", "name"), F.lit("/"), F.col("arity").cast("string")), "INVALID_OVERRIDE")
 
 

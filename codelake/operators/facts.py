@@ -8,6 +8,7 @@ It reads declarations as they are written in ordinary sources; it is not a compi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -160,6 +161,16 @@ def _annotations(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("@(\\w+)"), 1)
 
 
+def _groups(text: Column, rx: str, *groups: int) -> Column:
+    """Groups of a pattern that spans a whole text, by one match; they stand in an array."""
+    return F.split(F.regexp_replace(text, rx, "\u0005".join(f"${i}" for i in groups)), "\u0005", -1)
+
+
+def _named() -> Column:
+    """Only such statements can match the patterns of methods and constructors: a name was found, or a blank lacks before ``throws``."""
+    return (F.col("mname") != "") | F.col("flat").contains(")throws ")
+
+
 def types(st: DataFrame) -> DataFrame:
     g = lambda i: F.regexp_extract("flat", TYPE_RX, i)
     kind = F.upper(F.when(g(3) == "@interface", "annotation").otherwise(g(3)))
@@ -198,16 +209,16 @@ def _type_name(text: Column) -> Column:
 
 
 def methods(st: DataFrame) -> DataFrame:
-    g = lambda i: F.regexp_extract("flat", METHOD_RX, i)
-    decl = (F.col("level") == 0) & F.col("owner").isNotNull() & (F.col("tname") == "") & F.col("term").isin("{", ";") & F.col("flat").contains(")") & F.col("flat").rlike(METHOD_RX)
-    return st.filter(decl).withColumn("params", _params(g(5))).select(
+    decl = (F.col("level") == 0) & F.col("owner").isNotNull() & (F.col("tname") == "") & F.col("term").isin("{", ";") & _named() & F.col("flat").rlike(METHOD_RX)
+    g = lambda i: F.get("g", F.lit(i - 1))
+    return st.filter(decl).withColumn("g", _groups(F.col("flat"), METHOD_RX, 1, 2, 3, 4, 5)).withColumn("params", _params(g(5))).select(
         "project_id", "path", "package", "pos", "line", "owner", g(4).alias("name"), F.size("params").alias("arity"),
         F.transform("params", lambda p: p["type"]).alias("param_types"), "params", _type_name(g(3)).alias("return_type"),
         _annotations(g(1)).alias("annotations"), F.split(F.trim(g(2)), "\\s+").alias("modifiers"))
 
 
 def constructors(st: DataFrame) -> DataFrame:
-    decl = (F.col("level") == 0) & (F.col("term") == "{") & F.col("flat").contains(F.col("owner")) & (F.regexp_extract("flat", CTOR_RX, 3) == F.col("owner")) & ~F.col("flat").rlike(METHOD_RX)
+    decl = (F.col("level") == 0) & (F.col("term") == "{") & F.col("flat").contains(F.col("owner")) & _named() & (F.regexp_extract("flat", CTOR_RX, 3) == F.col("owner")) & ~F.col("flat").rlike(METHOD_RX)
     params = _params(F.regexp_extract("flat", CTOR_RX, 4))
     plain = st.filter(decl).withColumn("params", params).select(
         "project_id", "path", "pos", "line", "owner", F.size("params").alias("arity"), "params")
@@ -217,10 +228,10 @@ def constructors(st: DataFrame) -> DataFrame:
 
 
 def _declared_variables(st: DataFrame) -> DataFrame:
-    g = lambda i: F.regexp_extract("flat", VAR_RX, i)
     is_var = F.col("owner").isNotNull() & (F.col("tname") == "") & F.col("term").isin(";", "{") & F.col("flat").contains(" ") & F.col("flat").rlike(VAR_RX)
-    return st.filter(is_var).select(
-        "project_id", "path", "pos", "line", "owner", g(4).alias("var"), _type_name(g(3)).alias("type"), _annotations(g(1)).alias("annotations"),
+    g = lambda i: F.get("g", F.lit(i))
+    return st.filter(is_var).withColumn("g", _groups(F.col("flat"), VAR_RX, 1, 3, 4)).select(
+        "project_id", "path", "pos", "line", "owner", g(2).alias("var"), _type_name(g(1)).alias("type"), _annotations(g(0)).alias("annotations"),
         (F.col("level") == 0).alias("is_field"), F.when(F.col("level") == 0, 0).otherwise(2).alias("rank"))
 
 
@@ -254,13 +265,14 @@ def _all_calls(text: Column) -> Column:
             F.concat(acc["c"], F.regexp_extract_all(acc["t"], F.lit(CALL_RX), 0)).alias("c"))
 
     found = F.aggregate(rounds, start, step, lambda acc: acc["c"])
-    return F.transform(found, lambda x: F.struct(
-        F.regexp_replace(F.regexp_extract(x, CALL_RX, 1), "\\s*\\.\\s*", ".").alias("callee"), F.trim(F.regexp_extract(x, CALL_RX, 2)).alias("args")))
+    parts = F.transform(found, lambda x: F.struct(F.regexp_extract(x, CALL_RX, 1).alias("callee"), F.trim(F.regexp_extract(x, CALL_RX, 2)).alias("args")))
+    spaced = lambda c: F.when(c.contains(" "), F.regexp_replace(c, "\\s*\\.\\s*", ".")).otherwise(c)
+    return F.transform(parts, lambda p: F.struct(spaced(p["callee"]).alias("callee"), p["args"].alias("args")))
 
 
 def _call_rows(st: DataFrame) -> DataFrame:
     header = (F.col("tname") != "") | ((F.col("level") == 0) & (F.col("mname") != ""))
-    body = F.regexp_replace("flat", "@\\w+(?:\\([^()]*\\))?", "")
+    body = F.when(F.col("flat").contains("@"), F.regexp_replace("flat", "@\\w+(?:\\([^()]*\\))?", "")).otherwise(F.col("flat"))
     arity = F.when(F.col("c.args") == "", 0).otherwise(F.size(F.split("c.args", ",", -1)))
     return (
         st.filter(F.col("owner").isNotNull() & ~header & F.col("flat").contains("("))
@@ -269,41 +281,42 @@ def _call_rows(st: DataFrame) -> DataFrame:
     )
 
 
-def calls(st: DataFrame) -> DataFrame:
-    """Method calls; ``chain`` is the call path ``.a().b()`` that ends in this call."""
+def calls(rows: DataFrame) -> DataFrame:
+    """Method calls among the call rows; ``chain`` is the call path ``.a().b()`` that ends in this call."""
     name = F.regexp_extract("callee", "([\\w$]+)$", 1)
     links = F.regexp_extract_all("callee", F.lit(f"([\\w$]+)(?={CALLED}|$)"), 1)
-    return _call_rows(st).filter(~F.col("callee").startswith("new ")).withColumn("name", name).filter(~F.col("name").isin(NOT_CALLS)).select(
+    return rows.filter(~F.col("callee").startswith("new ")).withColumn("name", name).filter(~F.col("name").isin(NOT_CALLS)).select(
         "project_id", "path", "package", "pos", "n", "line", "owner", "method", "name", "arity", "args",
         F.regexp_extract("callee", "^(.*)\\.[\\w$]+$", 1).alias("receiver"),
         F.concat(F.lit("."), F.array_join(links, "()."), F.lit("()")).alias("chain"))
 
 
-def creations(st: DataFrame) -> DataFrame:
+def creations(rows: DataFrame) -> DataFrame:
     """``new T(...)`` with the simple type name and argument count."""
-    return _call_rows(st).filter(F.col("callee").startswith("new ")).select(
+    return rows.filter(F.col("callee").startswith("new ")).select(
         "project_id", "path", "pos", "n", "line", "owner", "method", simple(F.regexp_extract("callee", "^new\\s+([\\w.$]+)$", 1)).alias("type"), "arity")
 
 
 def type_references(st: DataFrame) -> DataFrame:
     """Unqualified type names used by a statement: declarations, creations, casts, type arguments."""
     g = lambda rx, i: F.regexp_extract("flat", rx, i)
+    types_of = lambda params: F.array_join(F.transform(_params(params), lambda p: p["type"]), " ")
     head = F.when(F.col("tname") != "", g(TYPE_RX, 5)).when(
-        (F.col("level") == 0) & F.col("flat").rlike(METHOD_RX), F.concat_ws(" ", g(METHOD_RX, 3), F.array_join(F.transform(_params(g(METHOD_RX, 5)), lambda p: p["type"]), " "))).when(
-        (F.col("level") == 0) & (F.col("mname") != ""), F.array_join(F.transform(_params(g(CTOR_RX, 4)), lambda p: p["type"]), " ")).when(
-        F.col("flat").rlike(VAR_RX), g(VAR_RX, 3)).otherwise("")
+        (F.col("level") == 0) & _named() & F.col("flat").rlike(METHOD_RX), F.concat_ws(" ", g(METHOD_RX, 3), types_of(g(METHOD_RX, 5)))).when(
+        (F.col("level") == 0) & (F.col("mname") != ""), types_of(g(CTOR_RX, 4))).when(F.col("flat").contains(" "), g(VAR_RX, 3)).otherwise("")
+    among = lambda text, word, rx: F.when(F.col(text).contains(word), F.regexp_extract_all(text, F.lit(rx), 1)).otherwise(F.array().cast("array<string>"))
     parts = F.concat(
         F.array(head),
-        F.regexp_extract_all("flat", F.lit("\\bnew\\s+([\\w.]+)"), 1),
-        F.regexp_extract_all("flat", F.lit("\\binstanceof\\s+([\\w.]+)"), 1),
-        F.regexp_extract_all("flat", F.lit("\\bcatch\\s*\\(\\s*(?:final\\s+)?([\\w.| ]+)\\s\\w+\\s*\\)"), 1),
-        F.regexp_extract_all("flat", F.lit("\\(([A-Z]\\w*(?:\\[\\])*)\\)\\s*[\\w(\"]"), 1),
-        F.regexp_extract_all("text", F.lit("<([\\w\\s,.?&<>\\[\\]]+)>"), 1))
+        among("flat", "new", "\\bnew\\s+([\\w.]+)"),
+        among("flat", "instanceof", "\\binstanceof\\s+([\\w.]+)"),
+        among("flat", "catch", "\\bcatch\\s*\\(\\s*(?:final\\s+)?([\\w.| ]+)\\s\\w+\\s*\\)"),
+        among("flat", "(", "\\(([A-Z]\\w*(?:\\[\\])*)\\)\\s*[\\w(\"]"),
+        among("text", "<", "<([\\w\\s,.?&<>\\[\\]]+)>"))
     names = F.array_distinct(F.regexp_extract_all(F.array_join(parts, " ; "), F.lit("(?<![\\w.])([A-Za-z_]\\w*)(?![\\w.])"), 1))
     upper = F.filter(names, lambda x: x.rlike("^[A-Z]"))
     is_import = F.col("text").rlike("^(?:import|package)\\b")
     return (
-        st.filter(~is_import & (F.col("owner").isNotNull() | (F.col("tname") != "")))
+        st.filter(F.col("text").rlike("[A-Z]") & (F.col("owner").isNotNull() | (F.col("tname") != "")) & ~is_import)
         .select("project_id", "path", "package", "pos", "line", F.explode(upper).alias("name"))
     )
 
@@ -326,6 +339,13 @@ class Facts:
     def __init__(self, statements: DataFrame, written: bool = False):
         self.statements = statements
         self._keep = checkpoint if written else lambda df: df
+        self._made: dict[str, DataFrame] = {}
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table derived from these that several checks read, kept like them."""
+        if name not in self._made:
+            self._made[name] = self._keep(make())
+        return self._made[name]
 
     @cached_property
     def types(self) -> DataFrame:
@@ -333,7 +353,7 @@ class Facts:
 
     @cached_property
     def imports(self) -> DataFrame:
-        return imports(self.statements)
+        return self._keep(imports(self.statements))
 
     @cached_property
     def methods(self) -> DataFrame:
@@ -349,19 +369,25 @@ class Facts:
 
     @cached_property
     def fields(self) -> DataFrame:
+        if "variables" in self.__dict__:
+            return self.variables.filter("is_field")
         return fields(self.statements)
 
+    @cached_property
+    def call_rows(self) -> DataFrame:
+        return self._keep(_call_rows(self.statements))
+
     @cached_property
     def calls(self) -> DataFrame:
-        return self._keep(calls(self.statements))
+        return self._keep(calls(self.call_rows))
 
     @cached_property
     def creations(self) -> DataFrame:
-        return creations(self.statements)
+        return creations(self.call_rows)
 
     @cached_property
     def type_refs(self) -> DataFrame:
-        return type_references(self.statements)
+        return self._keep(type_references(self.statements))
 
     @cached_property
     def type_params(self) -> DataFrame:

@@ -122,6 +122,7 @@ def full_report(f, files: DataFrame, deny: DataFrame, hybrid: bool = True, depen
     """
     from codelake.operators import code_rules, contracts
 
+    f.variables  # noqa: B018  several checks read them: made first, so that fields are taken from them
     leaks = reduce(DataFrame.unionByName, [check(f) for check in (code_rules.leak_imports, code_rules.leak_types, code_rules.leak_calls)])
     forbidden = code_rules.forbidden_imports(f, deny).withColumn("kind", F.concat(F.lit("FORBIDDEN "), "rule"))
     parts = {"CONTRACT": contracts.contract_violations(f), "PUBSUB_LEAK": leaks, "FORBIDDEN_IMPORT": forbidden, "OVERENGINEERING": code_rules.listener_misuse(f)}

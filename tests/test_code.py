@@ -223,3 +223,17 @@ def test_statements_after_the_repartition_with_lines_and_scopes(spark):
 def test_fields_are_the_variables_of_level_zero(spark):
     f = facts(spark, {"core/F.java": "package a.core;\nclass F {\n  int a; @X String[] b = {};\n  void m(int c) { int d = 1; }\n}\n"})
     assert rows(f.fields) == rows(f.variables.filter("is_field")) and f.fields.count() == 2
+
+
+def test_report_makes_shared_tables_once(spark, monkeypatch):
+    """The checks of a report share calls, members and the types' ancestors, and find what each finds alone."""
+    made, closure = [], T.closure
+    monkeypatch.setattr(T, "closure", lambda *a: made.append(a) or closure(*a))
+    df = spark.createDataFrame([("p", k, v) for k, v in {**BASE, "core/Wrong.java": BAD}.items()], SCHEMA)
+    deny = spark.createDataFrame([(0, "a.core.*")], "ord int, key string")
+    f = K.extract_facts(df)
+    report = N.full_report(f, df, deny)
+    assert len(made) == 2  # with and without interfaces
+    alone = [row for check in T.CHECKS for row in check(K.extract_facts(df, False)).collect()]
+    assert rows(report.filter("category = 'CONTRACT'"), "path", "line", "message") == sorted(
+        [(r.path, r.line, f"[{r.kind}] {r.symbol}") for r in alone], key=repr)
