@@ -72,13 +72,19 @@ def _ids(rows: DataFrame) -> DataFrame:
     return checkpoint(low.groupBy(*UNIT).agg(F.min("id").alias("id1"), F.max(F.when(F.col("_n") == 2, F.col("id"))).alias("id2")))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """Keys to pick sets by, written; up to a number of them they go to every task, so that the sets need not move."""
+    keys = checkpoint(df)
+    return F.broadcast(keys) if keys.count() <= MOST_KEYS else keys
+
+
 def _units(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows without further copies of a unit: a set shared by a third of the rows is one row in the join below.
 
     Sets move only if the copies are too many to be sent to every task.
     """
     first = ids.filter("id2 IS NOT NULL").select(*UNIT, F.col("id1").alias("first"))
-    copies = checkpoint(rows.select(*UNIT, "id").join(first, list(UNIT)).filter(F.col("id") != F.col("first")).select(*UNIT, "id"))
+    copies = _few(rows.select(*UNIT, "id").join(first, list(UNIT)).filter(F.col("id") != F.col("first")).select(*UNIT, "id"))
     return rows.join(copies, [*UNIT, "id"], "left_anti")
 
 
@@ -95,6 +101,8 @@ ROWS, STEP = 200_000, 1 << 19
 #: Partners of a row that are scored first; the others must be able to beat the best of these.
 FIRST = 4
 LAST_ID = (1 << 63) - 1
+#: Keys of sets that are sent to every task (tens of MB); more are joined by a shuffle of the sets.
+MOST_KEYS = 1 << 20
 
 
 def _counts(rows: DataFrame) -> tuple[np.ndarray, float]:
@@ -324,7 +332,7 @@ def _scores(pairs: DataFrame, q_units: DataFrame, c_units: DataFrame, threshold:
 
     def side(df, x):
         keys = [F.col(f"{x}_{u}").alias(u) for u in UNIT]
-        used = df.join(checkpoint(pairs.select(keys[0]).distinct()), "u0", "left_semi")
+        used = df.join(_few(pairs.select(keys[0]).distinct()), "u0", "left_semi")
         return used.select(*[F.col(c).alias(f"{x}_{c}") for c in (*UNIT, "version", "tokens")])
 
     met = pairs.join(side(q_units, "q"), ["q_u0", "q_u1"]).join(side(c_units, "c"), ["c_u0", "c_u1"]).filter(
@@ -374,12 +382,12 @@ def similar_plans(queries: DataFrame, cache: DataFrame, threshold: float = 0.85,
         number = F.col("b.id1").cast("long") if isinstance(queries.schema["id"].dataType, IntegralType) else F.lit(LAST_ID)
         # a set with copies, or one that may match itself, has a score of 1
         own = c_ids.filter("id2 IS NOT NULL" if skip_self else "true") if same else c_ids.filter("false")
-        bounds = checkpoint(
+        bounds = _few(
             found.filter("crowded = 1").select(*key("q")).distinct().join(best, list(UNIT), "left").join(own.select(*UNIT, F.lit(True).alias("own")), list(UNIT), "left").select(
                 *UNIT, F.when(F.col("own"), 1.0).otherwise(F.coalesce("b.score", F.lit(threshold))).alias("bound"),
                 F.when(F.col("own"), LAST_ID).otherwise(F.coalesce(number, F.lit(LAST_ID))).alias("rival")))
         # no bound is asked of the cache's side
-        c_crowded = None if same else c_units.join(checkpoint(found.filter("crowded = 2").select(*key("c")).distinct()), list(UNIT), "left_semi").withColumn(
+        c_crowded = None if same else c_units.join(_few(found.filter("crowded = 2").select(*key("c")).distinct()), list(UNIT), "left_semi").withColumn(
             "bound", F.lit(2.0)).withColumn("rival", F.lit(0).cast("long"))
         more = pairs(q_units.join(bounds, list(UNIT)), c_crowded, False).select(*PAIR)
         more = checkpoint(more.join(near, list(PAIR), "left_anti"))

@@ -106,3 +106,18 @@ def test_frequent_token_dealt_over_cells(spark, monkeypatch):
         mine = {j: len(set(sig) & set(s)) / len(set(sig) | set(s)) for j, w, s in rows if w == "" or v == "" or (v == w and v is not None)}
         best = min(((-s, j) for j, s in mine.items() if s >= 0.7), default=None)
         assert other.get(i) == (best and (best[1], -best[0]))
+
+
+def test_sets_stay_where_they_are(spark):
+    """Keys are sent to the sets, however small a table Spark would broadcast by itself."""
+    import codelake.operators.similarity as S
+
+    rows = S._rows(spark.createDataFrame([(1, "", ["a", "b"]), (2, "", ["b", "a", "a"]), (3, "", ["c"])], SCHEMA))
+    small = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(small)
+    spark.conf.set(small, "-1")
+    try:
+        units = S._units(rows, S._ids(rows))
+        assert "SortMergeJoin" not in units._jdf.queryExecution().toString() and sorted(r.id for r in units.collect()) == [1, 3]
+    finally:
+        spark.conf.set(small, before)
